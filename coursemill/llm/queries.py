@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, pii, quality, simhash_dedup, substring_dedup, warc
+from . import decontaminate, embedding_dedup, html_extract, mixing, pii, quality, simhash_dedup, substring_dedup, toxicity, warc
 from .common import shared_dir, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -27,6 +35,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.documents_with_repeats(table(spark, sf_dir, "documents"))
 
@@ -49,7 +61,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op4_warc, op6_line_dedup, op7_mix, op8_quality, op9_simhash, op10_embeddings)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_html, op4_warc, op5_toxicity, op6_line_dedup, op7_mix, op8_quality, op9_simhash, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -236,3 +236,34 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(links(distinct, make_plan(distinct, limit), limit, bucket))
     of_fp = distinct.join(found, distinct["rep"] == found["node"], "left").select(F.col("fp"), F.coalesce("component", "rep").alias("component_id"))
     return each.join(of_fp, "fp", "left").select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2, words: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """docs with one row for each component: the row of its smallest id. All columns stay.
+
+    Rows that share an id are one document, of which the smallest row stays. Rows without an
+    id stay where no row with an id has their fingerprint, one for each such fingerprint.
+    """
+    key = F.col(id_col).cast("long")
+    found = simhash_components(docs, id_col, text_col, limit, words, bucket)
+    found = cut(found)
+    kept = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
+    rows = docs.join(kept, key == F.col("_id"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    least = lambda df, by: df.groupBy(by).agg(F.min(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])).alias("r")).select("r.*").toDF(*docs.columns)
+    single = rows.where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = single.unionByName(least(rows.where("_n > 1"), "_id")) if kept.where("_n > 1").limit(1).count() else single
+    if found.where(F.col(id_col).isNull()).limit(1).count():
+        free = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fp").alias("_fp")).distinct()
+        nulls = docs.where(key.isNull())
+        schema = nulls.toDF(*names).schema.add("_fp", "long")
+        at = docs.columns.index(text_col)
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fps = np.array([majority(shingle_hashes(t, words)) for t in text_list(b.column(at))], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*schema.names])
+
+        nulls = nulls.toDF(*names).mapInArrow(of, schema).join(free, "_fp").select("_fp", *names).toDF("_fp", *docs.columns)
+        out = out.unionByName(least(nulls, "_fp"))
+    return out

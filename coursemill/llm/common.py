@@ -96,6 +96,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct integers; numpy's vectorised sort is several times faster here than its unique()."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(first byte, end byte, first document, end document): whole documents up to PIECE bytes, or a part of a long one that ends between words."""
     n, d = len(offsets) - 1, 0

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_TURN = Window.partitionBy("conv_id").orderBy("turn")
-
 
 def numbered_turns(messages: DataFrame) -> DataFrame:
     """user_turn: user messages up to and including the row, so an answer has its question's number."""
-    so_far = BY_TURN.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return messages.withColumn("user_turn", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(so_far).cast("long"))
 
 

@@ -1,11 +1,14 @@
-"""Registry of the named queries."""
+"""The named queries: each binds operators to the driver's tables, with SQL for the same rows where SQL can say it."""
 
-FLAGSHIP = "flagship"
+from . import ledger, review
+from .registry import QUERIES, SQL
+
+FLAGSHIP = "a20_dashboard"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -138,3 +138,99 @@ def masked_source(name: Column, text: Column, hidden: Column) -> Column:
     """[Source: file], and the text below it unless the document is hidden."""
     head = F.concat(F.lit("[Source: "), name, F.lit("]"))
     return F.when(hidden, head).otherwise(F.concat(head, F.lit("\n"), text))
+
+
+def title(text: Column, longest: int = 60) -> Column:
+    """The first characters, with dots where more follow."""
+    return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit("..."))).otherwise(text)
+
+
+def unfenced(raw: Column) -> Column:
+    """Trimmed, without a code fence around it."""
+    return F.trim(F.regexp_replace(raw, r"^\s*```(?:json)?\s*|\s*```\s*$|^\s+|\s+$", ""))
+
+
+def verdict(raw: Column, kinds: tuple) -> Column:
+    """struct(kind, confidence) of a classifier's JSON reply, confidence within 0 and 1; null where it isn't JSON, lacks a field or names an unknown kind."""
+    got = F.from_json(unfenced(raw), "kind string, confidence double")
+    ok = got["kind"].isin(*kinds) & got["confidence"].isNotNull()
+    return F.when(ok, F.struct(got["kind"].alias("kind"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), got["confidence"])).alias("confidence")))
+
+
+def last_line(text: Column) -> Column:
+    return F.trim(F.element_at(F.split(F.regexp_replace(text, r"\r?\n$", ""), "\n"), -1))
+
+
+def sentence_boundary(text: Column, least: int = 100, long: int = 300) -> Column:
+    """May a streamed text be cut at its end? Not in short ones, table rows, open code fences and list items; after a blank line, or a sentence's end in a long one."""
+    in_row = lambda line: line.startswith("|") | line.startswith("- ") | line.startswith("* ")
+    fences = (F.length(text) - F.length(F.replace(text, F.lit("```"), F.lit("")))) / 3
+    body = F.regexp_replace(text, r"\s+$", "")
+    ended = (F.octet_length(text) > long) & body.rlike(r"[.?!]$") & ~in_row(last_line(body))
+    return (F.octet_length(text) >= least) & ~in_row(last_line(text)) & (fences % 2 == 0) & (text.endswith("\n\n") | ended)
+
+
+def tool_summary(message: Column, longest: int = 120) -> Column:
+    """One line for a tool's reply: its error, its number of results, or its first characters."""
+    v = F.try_parse_json(message)
+    got = lambda path, kind: F.try_variant_get(v, path, kind)
+    listed, inside = got("$", "array<variant>"), got("$.results", "array<variant>")
+    left = F.coalesce(got("$.truncated_omitted", "long"), F.lit(0))
+    count = lambda a: F.concat(F.size(a).cast("string"), F.lit(" results"))
+    more = F.when(left > 0, F.concat(F.lit(" ("), left.cast("string"), F.lit(" more omitted)"))).otherwise(F.lit(""))
+    cut = F.when(F.length(message) > longest, F.concat(F.substring(message, 1, longest), F.lit("…"))).otherwise(message)
+    error = F.when(F.schema_of_variant(got("$.error", "variant")) == "STRING", got("$.error", "string"))
+    return F.coalesce(F.concat(F.lit("error: "), error), count(listed), F.concat(count(inside), more), cut)
+
+
+def pdf_download(url: Column, raw_hosts: tuple, page_hosts: tuple) -> Column:
+    """The path on the host from which a code host serves a PDF file, null for any other address.
+
+    raw_hosts serve /owner/repo/ref/path; page_hosts serve files under raw, blob (a viewer,
+    for which raw is asked) and releases.
+    """
+    parts = F.regexp_extract(F.trim(url), r"^https://([^/?#]+)/([^?#]*)", 0)
+    host, path = F.regexp_extract(parts, r"^https://([^/]+)/(.*)$", 1), F.regexp_extract(parts, r"^https://([^/]+)/(.*)$", 2)
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    fit = (parts != "") & ~path.contains("..") & F.lower(name).rlike(r".\.pdf$")
+    served = path.rlike("^[^/]+/[^/]+/(raw(/[^/]+){2,}|releases/download(/[^/]+){2,}|releases/latest/download/[^/]+)$")
+    viewed = path.rlike("^[^/]+/[^/]+/blob(/[^/]+){2,}$")
+    raw = F.size(F.filter(F.split(path, "/"), lambda s: s != "")) >= 4
+    return F.when(fit & host.isin(*raw_hosts) & raw, path).when(fit & host.isin(*page_hosts) & served, path).when(fit & host.isin(*page_hosts) & viewed, F.regexp_replace(path, "^([^/]+/[^/]+)/blob/", "$1/raw/"))
+
+
+def pdf_filename(stored: Column, fallback: Column) -> Column:
+    """The stored name without .url, as a .pdf; the fallback where nothing is left."""
+    name = F.regexp_replace(stored, r"\.url$", "")
+    return F.when(name == "", fallback).when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
+
+
+#: Headings that make a member responsible for a course, as a beginning and in whole.
+RESPONSIBLE_START, RESPONSIBLE = "kurs-/delkursansvarig", "kursansvarig"
+
+
+def member_role(kind: Column, roles: Column) -> Column:
+    """struct(role, owner): students are ta; others are teachers, who may own the course if a role says that they are responsible for it."""
+    resp = F.exists(roles, lambda r: F.lower(F.trim(r)).startswith(RESPONSIBLE_START) | (F.lower(F.trim(r)) == RESPONSIBLE))
+    return F.struct(F.when(kind == "student", "ta").otherwise("teacher").alias("role"), ((kind != "student") & F.coalesce(resp, F.lit(False))).alias("owner"))
+
+
+def prefixed_query(text: Column, model: Column, models: tuple) -> Column:
+    """Models that want queries marked get them so."""
+    return F.when(model.isin(*models), F.concat(F.lit("query: "), text)).otherwise(text)
+
+
+def knob_error(kind: Column, raw: Column, low: Column, high: Column, options: Column) -> Column:
+    """What is wrong with a JSON value for a typed setting; null if nothing is. A text's limit is `high`, in bytes."""
+    v = F.try_parse_json(raw)
+    of = F.schema_of_variant(v)
+    number = F.try_variant_get(v, "$", "double")
+    text = F.when(of == "STRING", F.try_variant_get(v, "$", "string"))
+    span = F.when((number < low) | (number > high), "out_of_range")
+    return (
+        F.when(kind == "bool", F.when(F.coalesce(of != "BOOLEAN", F.lit(True)), "invalid_bool"))
+        .when(kind == "int", F.when(F.coalesce(of != "BIGINT", F.lit(True)), "invalid_int").otherwise(span))
+        .when(kind == "float", F.when(number.isNull() | ~F.coalesce(of.isin("BIGINT", "DOUBLE") | of.startswith("DECIMAL"), F.lit(False)), "invalid_float").otherwise(span))
+        .when(kind == "text", F.when(text.isNull(), "invalid_string").when(F.octet_length(text) > high, "too_long"))
+        .when(kind == "enum", F.when(text.isNull(), "invalid_string").when(~F.array_contains(options, text), "invalid_enum"))
+    )

@@ -43,13 +43,13 @@ def visible_graph(nodes: DataFrame, edges: DataFrame, kinds: list, relations: li
     return shown, e.join(ids, F.col("src") == F.col("_n"), "left_semi").join(ids, F.col("dst") == F.col("_n"), "left_semi")
 
 
-def canonical_edges(verdicts: DataFrame, rejected: DataFrame) -> DataFrame:
+def canonical_edges(verdicts: DataFrame, rejected: DataFrame, least: float = 0.70, least_solution: float = 0.75) -> DataFrame:
     """verdicts(a_id, a_kind, b_id, b_kind, relation, confidence, similarity) -> (src, dst, relation, confidence, similarity).
 
     Confidence 0.5 at least. part_of_unit goes from the smaller id; solution_of starts at a
     sample solution; applied_in goes from theory to practice; prerequisite keeps its side.
-    Similarity is 0.75 at least for solution_of, else 0.70. A pair vetoed in either direction
-    is dropped.
+    Similarity is at least `least_solution` for solution_of, else `least`. A pair vetoed in
+    either direction is dropped.
     """
     rel, a, b = F.col("relation"), F.col("a_id"), F.col("b_id")
     base = F.regexp_replace(rel, "_(ab|ba)$", "")
@@ -58,7 +58,7 @@ def canonical_edges(verdicts: DataFrame, rejected: DataFrame) -> DataFrame:
     src_kind, dst_kind = F.when(flip, F.col("b_kind")).otherwise(F.col("a_kind")), F.when(flip, F.col("a_kind")).otherwise(F.col("b_kind"))
     low = F.least(a, b)
     ok: Column = F.when(base == "solution_of", src_kind == "sample_solution").when(base == "applied_in", src_kind.isin(*THEORY) & dst_kind.isin(*PRACTICE)).when(base.isin("part_of_unit", "prerequisite"), True).otherwise(False)
-    floor = F.when(base == "solution_of", 0.75).otherwise(0.70)
+    floor = F.when(base == "solution_of", least_solution).otherwise(least)
     rows = verdicts.where((F.col("confidence") >= 0.5) & F.coalesce(ok, F.lit(False)) & (F.col("similarity") >= floor))
     rows = rows.select(F.when(base == "part_of_unit", low).otherwise(src).alias("src"), F.when(base == "part_of_unit", F.greatest(a, b)).otherwise(dst).alias("dst"), base.alias("relation"), "confidence", "similarity")
     veto = rejected.select("src", "dst", "relation").unionByName(rejected.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation")).distinct()
@@ -78,3 +78,9 @@ def fresh_decisions(cache: DataFrame, docs: DataFrame) -> DataFrame:
     """Cached decisions whose both classification stamps still hold; two nulls are equal."""
     stamp = lambda side: docs.select(F.col("doc_id").alias(f"{side}_id"), F.col("classified_at").alias(f"{side}_now"))
     return cache.join(stamp("a"), "a_id").join(stamp("b"), "b_id").where("a_at <=> a_now and b_at <=> b_now").select(*cache.columns)
+
+
+def stale_decisions(cache: DataFrame, docs: DataFrame) -> DataFrame:
+    """Cached decisions of which a classification stamp has changed, to or from null included."""
+    stamp = lambda side: docs.select(F.col("doc_id").alias(f"{side}_id"), F.col("classified_at").alias(f"{side}_now"))
+    return cache.join(stamp("a"), "a_id").join(stamp("b"), "b_id").where("not (a_at <=> a_now and b_at <=> b_now)").select(*cache.columns)

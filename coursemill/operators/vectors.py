@@ -113,3 +113,30 @@ def reranked(candidates: DataFrame, order: DataFrame, k: int) -> DataFrame:
     keep = (F.col("_n") <= 1) | (F.col("_any") == 0) | F.col("rerank").isNotNull()
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.when(F.col("_n") > 1, F.col("rerank"))), "idx")
     return rows.where(keep).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).drop("_n", "_any")
+
+
+def course_neighbours(docs: DataFrame, k: int = 4, floor: float = 0.70, most: int = 300) -> DataFrame:
+    """docs(course_id, doc_id, v) -> (course_id, a, b, score), a < b: pairs of one course of which one is among the other's k nearest.
+
+    The first `most` documents of a course take part, by id: this bounds the group that a
+    task multiplies. Vectors of other lengths, null and empty ones are near nothing.
+    """
+    w = Window.partitionBy("course_id").orderBy("doc_id")
+    few = docs.where("v is not null and size(v) > 0").withColumn("at", F.row_number().over(w)).where(F.col("at") <= most)
+    rows = few.select("course_id", "doc_id", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("dim"))
+
+    def near(pdf):
+        x, ids = np.array(pdf["v"].tolist()), pdf["doc_id"].to_numpy(np.int64)
+        score = np.clip(x @ x.T, -1.0, 1.0)
+        np.fill_diagonal(score, -np.inf)
+        score[score < floor] = -np.inf
+        best = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+        i = np.repeat(np.arange(len(ids)), best.shape[1])
+        j = best.ravel()
+        hit = np.isfinite(score[i, j])
+        i, j = i[hit], j[hit]
+        return type(pdf)({"course_id": pdf["course_id"].iloc[:1].repeat(len(i)).to_numpy(), "a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "score": score[i, j]})
+
+    kind = docs.schema["course_id"].dataType.simpleString()
+    found = rows.groupBy("course_id", "dim").applyInPandas(near, f"course_id {kind}, a long, b long, score double")
+    return found.groupBy("course_id", "a", "b").agg(F.max("score").alias("score"))

@@ -1,4 +1,5 @@
 import random
+from itertools import product
 
 import numpy as np
 import xxhash
@@ -78,11 +79,20 @@ def test_links_equal_brute_force_at_each_plan_and_bucket_size(spark):
             assert {i: got.get(i, i) for i in want} == want
 
 
-def test_allocation_prefers_selective_parts():
-    p = np.full(64, 0.5)
-    parts = [list(range(40)), list(range(40, 64))]
-    cost, ts = s.allocate(parts, p, 1_000_000, 2)
-    assert sum(t + 1 for t in ts) == 3 and ts[0] >= ts[1]
+def test_allocation_is_the_cheapest_of_all():
+    """The dynamic programme against every way to deal three allowances to the parts."""
+    r = np.random.default_rng(2)
+    for sizes in ((40, 24), (20, 20, 24), (10, 14, 18, 22)):
+        ends = np.cumsum(sizes).tolist()
+        parts = [list(range(a, b)) for a, b in zip([0, *ends], ends, strict=False)]
+        p = r.uniform(0.1, 0.9, 64)
+        alone = []  # cost of each part at each threshold: the programme over that part alone
+        for part in parts:
+            alone.append([0.0] + [s.allocate([part], p, 50_000, t)[0] for t in range(3)])
+        want = min(sum(alone[i][e] for i, e in enumerate(es)) for es in product(range(4), repeat=len(parts)) if sum(es) == 3)
+        cost, ts = s.allocate(parts, p, 50_000, 2)
+        assert np.isclose(cost, want) and sum(t + 1 for t in ts) == 3
+        assert np.isclose(cost, sum(alone[i][t + 1] for i, t in enumerate(ts)))
 
 
 def test_correlated_bits_share_a_part():

@@ -64,5 +64,17 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_html, op4_warc, op5_toxicity, op6_line_dedup, op7_mix, op8_quality, op9_simhash, op10_embeddings)}
 
 
+#: Five hex digits of a SHA-1 are four digits of base 32.
+OP4 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY sha1(h)) AS first FROM p),
+  v AS (SELECT *, list_transform(range(32), lambda i: (CAST('0x' || x[1 + 5 * (i // 4) : 5 + 5 * (i // 4)] AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS digits FROM d)
+  SELECT page_id, payload_bytes, array_to_string(list_transform(digits, lambda n: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[n + 1]), '') AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM v"""
+#: Every pair of vectors, and what can be reached along the links.
+OP10 = """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), fit AS (SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+  reached AS (SELECT vec_id, vec_id AS c FROM e UNION SELECT b, c FROM reached JOIN links ON a = vec_id),
+  n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a), comp AS (SELECT vec_id, min(c) AS c FROM reached GROUP BY vec_id)
+  SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM comp LEFT JOIN n USING (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": OP4, "op10_embeddings": OP10}

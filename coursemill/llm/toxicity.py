@@ -109,7 +109,7 @@ def _only(chosen: np.ndarray):
 
 
 def train_scorer(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 3) -> Scorer:
-    """Fit on documents where `trainable` (of column _id) holds; about MAX_POSITIVE and MAX_UNLABELLED of them by a hash of the id.
+    """Fit on documents where `trainable` (of column _id) holds: MAX_POSITIVE positives at most and about MAX_UNLABELLED others by a hash of the id.
 
     The prior is the positives' share of the labelled trainable documents. Without a
     positive every score is the prior, or nearly 0 where nothing is labelled.
@@ -123,8 +123,9 @@ def train_scorer(docs: DataFrame, labels: DataFrame, trainable: Column, id_col:
     lot = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
     all_docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(trainable)
     few = all_docs.where(lot < MAX_UNLABELLED / max(docs.count(), 1)).select("_id", F.lit(False).alias("_p"), "_text")
-    toxic = known.where((F.col("_y") == 1) & (lot < MAX_POSITIVE / n[1])).select("_id")
-    toxic = all_docs.join(toxic, "_id", "left_semi").select("_id", F.lit(True).alias("_p"), "_text")
+    # At most MAX_POSITIVE ids go to every task, so texts are picked where they are read.
+    toxic = known.where("_y = 1").orderBy(lot, "_id").limit(MAX_POSITIVE).select("_id")
+    toxic = all_docs.join(F.broadcast(toxic), "_id", "left_semi").select("_id", F.lit(True).alias("_p"), "_text")
     rows = written(_sample_keys(toxic.unionByName(few)), "toxicity-sample")
     total = {r["_p"]: r["count"] for r in rows.groupBy("_p").count().collect()}
     if not total.get(True) or not total.get(False):
@@ -138,10 +139,9 @@ def train_scorer(docs: DataFrame, labels: DataFrame, trainable: Column, id_col:
         return nothing
     chosen = np.full(1 << BITS, -1)
     chosen[features] = np.arange(len(features))
-    got = rows.mapInArrow(_only(chosen), "_id long, _p boolean, features array<int>").toPandas().sort_values(["_id", "_p"], kind="stable")
-    lists, positive = got["features"].tolist(), got["_p"].to_numpy(bool)
-    sizes = np.array([len(x) for x in lists])
-    at, cols = np.repeat(np.arange(len(lists)), sizes), np.concatenate([np.asarray(x, np.int64) for x in lists])
+    got = rows.mapInArrow(_only(chosen), "_id long, _p boolean, features array<int>").toArrow().sort_by([("_id", "ascending"), ("_p", "ascending")])
+    lists, positive = got["features"].combine_chunks(), got["_p"].to_numpy(zero_copy_only=False)
+    at, cols = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(np.int64)
     rng = np.random.default_rng(seed)
     fits = []
     for _ in range(MODELS):

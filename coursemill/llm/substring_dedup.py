@@ -1,9 +1,11 @@
 """Repeated passages by hashing lines and their sentences.
 
-Units are the sentences of each line. A unit's words, lowered and with single spaces, are
-digested; digests are counted over all documents after map-side sums, and the occurrence
-with the smallest (rank, id, start) stays. Every other occurrence is removed, with its
-offsets in the original text (code points, end exclusive) kept beside what is left.
+Units are the sentences of each line, and the whole line where some of its sentences are too
+short to be units. A unit's words, lowered and with single spaces, are digested; digests are
+counted over all documents after map-side sums, and the occurrence with the smallest (rank,
+id, start) stays. Every other occurrence that is part of a repeated passage of MIN_PASSAGE
+words or more is removed, with its offsets in the original text (code points, end exclusive)
+kept beside what is left; a lone short line that many pages share is left alone.
 """
 
 from __future__ import annotations
@@ -13,24 +15,34 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_list, written
 
 #: Shorter units repeat by chance.
 MIN_WORDS = 8
-UNIT = re.compile(r"[^\n]+?(?:[.!?。](?=\s)|(?=\n)|\Z)")
+#: Words that neighbouring repeated units have together at least, and the code points between neighbours at most: room for a sentence too short to be a unit.
+MIN_PASSAGE, GAP = 14, 64
+LINE = re.compile(r"[^\n]+")
+SENTENCE = re.compile(r".+?(?:[.!?。](?=\s)|\Z)")
+
+
+def _unit(part: str, at: int, words: list[str]) -> tuple[int, int, int, bytes]:
+    return at + len(part) - len(part.lstrip()), at + len(part), len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def text_units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, end, words, 16-byte digest) of each unit of at least min_words words."""
-    for m in UNIT.finditer(text):
-        words = m[0].lower().split()
-        if len(words) >= min_words:
-            a, b = m.span()
-            a += len(m[0]) - len(m[0].lstrip())
-            yield a, b, len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    for line in LINE.finditer(text):
+        sizes = []
+        for m in SENTENCE.finditer(line[0]):
+            words = m[0].lower().split()
+            sizes.append(len(words))
+            if len(words) >= min_words:
+                yield _unit(m[0], line.start() + m.start(), words)
+        if len(sizes) > 1 and sum(sizes) >= min_words and 0 < min(filter(None, sizes)) < min_words:
+            yield _unit(line[0], line.start(), line[0].lower().split())
 
 
 def find_units(docs: DataFrame, id_col: str, text_col: str, rank_col: str | None, min_words: int) -> DataFrame:
@@ -49,8 +61,11 @@ def find_units(docs: DataFrame, id_col: str, text_col: str, rank_col: str | None
     return rows.mapInArrow(of, "id long, rank long, start int, end int, words int, digest binary")
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, start, end, words, digest, first_id, first_start): the occurrences to remove.
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS, min_passage: int = MIN_PASSAGE) -> DataFrame:
+    """(id, start, end, words, digest, first_id, first_start): the occurrences to remove; none lies within another.
+
+    Repeated units with at most GAP code points between them are one passage, which counts
+    from `min_passage` words on; 0 takes every repeated unit.
 
     Rows without an id take no part; rows that share an id are read as one document, so an
     identical row repeats nothing. A null rank comes after every rank.
@@ -59,27 +74,36 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct(F.col("rank").isNull().alias("unranked"), "rank", "id", "start")
     # The digest's first half would do as a key; all of it is kept, so equal keys are equal units.
     first = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    first = first.select("digest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
-    return units.join(first, "digest").where("id <> first_id or start <> first_start").select("id", "start", "end", "words", "digest", "first_id", "first_start").distinct()
-
-
-def documents_with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
+    # Written, so that the join has a shuffle of its own, in which Spark splits the rows of a frequent unit.
+    first = written(first.select("digest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")), "repeated-units")
+    gone = units.join(first, "digest").where("id <> first_id or start <> first_start").select("id", "start", "end", "words", "digest", "first_id", "first_start")
+    before = Window.partitionBy("id").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    gone = gone.repartition("id").distinct().withColumn("_reach", F.max("end").over(before))
+    gone = gone.where("_reach is null or end > _reach").drop("_reach")
+    place = Window.partitionBy("id").orderBy("start")
+    new = F.coalesce(F.col("start") - F.lag("end").over(place) > GAP, F.lit(False)).cast("int")
+    gone = gone.withColumn("_new", new).withColumn("_passage", F.sum("_new").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    gone = gone.withColumn("_words", F.sum("words").over(Window.partitionBy("id", "_passage")))
+    return gone.where(F.col("_words") >= min_passage).drop("_new", "_passage", "_words")
+
+
+def documents_with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS, min_passage: int = MIN_PASSAGE) -> DataFrame:
     """(id_col, n_removed, words_removed, removed, kept_in): a row per document that loses text.
 
     removed: start:end of each removed unit in page order, comma-joined; kept_in: the ids
     where those units stay, sorted. Documents that lose nothing have no row; so do empty,
     null and blank texts, and an empty table.
     """
-    gone = repeated_units(docs, id_col, text_col, rank_col, min_words)
+    gone = repeated_units(docs, id_col, text_col, rank_col, min_words, min_passage)
     spans = F.array_sort(F.collect_list(F.struct("start", "end")))
     out = gone.groupBy("id").agg(F.count("*").alias("n_removed"), F.sum("words").alias("words_removed"), spans.alias("s"), F.array_sort(F.collect_set("first_id")).alias("kept_in"))
     joined = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return out.select(F.col("id").alias(id_col), "n_removed", "words_removed", joined.alias("removed"), "kept_in")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS, min_passage: int = MIN_PASSAGE) -> DataFrame:
     """docs with repeated units cut out of the text, and a column removed_spans array<struct<start, end>> (null where nothing was)."""
-    gone = repeated_units(docs, id_col, text_col, rank_col, min_words).groupBy(F.col("id").alias("_gone_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed_spans"))
+    gone = repeated_units(docs, id_col, text_col, rank_col, min_words, min_passage).groupBy(F.col("id").alias("_gone_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed_spans"))
     out = docs.drop("removed_spans").join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
     pick = lambda s: F.substring(F.col(text_col), F.lit(1) + s["start"], s["end"] - s["start"])
     bounds = F.transform(F.concat(F.array(F.lit(0)), F.col("removed_spans.end")), lambda e, i: F.struct(e.alias("start"), F.coalesce(F.get(F.col("removed_spans.start"), i), F.length(text_col)).alias("end")))

@@ -23,35 +23,76 @@ def test_passages_inside_other_text(spark):
         assert all(c in passage for c in cut) and sum(len(c.split()) for c in cut) == row.words_removed >= 60
 
 
-def brute(docs, min_words=s.MIN_WORDS):
+def passages(spans, min_passage, gap=s.GAP):
+    """(start, end, words) of passages that are long enough."""
+    out, run = [], []
+    for span in [*spans, None]:
+        if run and (span is None or span[0] - run[-1][1] > gap):
+            out += run if sum(x[2] for x in run) >= min_passage else []
+            run = []
+        run.append(span)
+    return out
+
+
+def brute(docs, min_words=s.MIN_WORDS, min_passage=0):
+    """Units by plain splitting: each sentence, and a line of which a sentence is too short."""
     seen, out = set(), {}
     for i, t in sorted(set(docs), key=lambda d: d[0]):
-        for a, b, _, digest in s.text_units(t or "", min_words):
-            if digest in seen:
-                out.setdefault(i, []).append(f"{a}:{b}")
-            seen.add(digest)
-    return {i: ",".join(v) for i, v in out.items()}
+        found, at = [], 0
+        for line in (t or "").split("\n"):
+            ends = [k + 1 for k in range(len(line) - 1) if line[k] in ".!?" and line[k + 1].isspace()]
+            spans = [(a, b) for a, b in zip([0, *ends], [*ends, len(line)], strict=True) if line[a:b].split()]
+            if len(spans) > 1 and any(len(line[a:b].split()) < min_words for a, b in spans):
+                spans.insert(0, (0, len(line)))
+            found += [(at + b - len(line[a:b].lstrip()), at + b, " ".join(line[a:b].lower().split())) for a, b in spans if len(line[a:b].split()) >= min_words]
+            at += len(line) + 1
+        known: set = set()
+        again, reach = [], -1
+        for a, b, key in sorted(found, key=lambda u: (u[0], -u[1])):
+            if (key in seen or key in known) and b > reach:
+                again.append((a, b, len(key.split())))
+                reach = b
+            known.add(key)
+        out[i] = passages(again, min_passage)
+        seen |= known
+    return {i: ",".join(f"{a}:{b}" for a, b, _ in v) for i, v in out.items() if v}
+
+
+def test_lines_of_short_sentences(spark):
+    line = "One! Two! Three four. Five six seven! Eight."
+    df = spark.createDataFrame([(1, line), (2, f"Before.\n{line}\nAfter it."), (3, "One! Two! Other words.")], "doc_id long, text string")
+    got = {x.doc_id: x.removed for x in s.documents_with_repeats(df, min_passage=0).collect()}
+    assert got == {2: f"8:{8 + len(line)}"}
 
 
 def test_against_brute_force(spark):
     r = random.Random(10)
     lines = [prose(r, n, "ab") + r.choice([".", "", "!"]) for n in [3, 8, 9, 12] * 8]
     docs = [(i, r.choice(["\n", " ", "\n \n"]).join(r.choice(lines) for _ in range(r.randint(0, 8)))) for i in range(200)]
-    got = {x.doc_id: x.removed for x in s.documents_with_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == brute(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for least in (0, s.MIN_PASSAGE):
+        got = {x.doc_id: x.removed for x in s.documents_with_repeats(df, min_passage=least).collect()}
+        assert got == brute(docs, min_passage=least)
+
+
+def test_a_lone_short_line_stays(spark):
+    r = random.Random(12)
+    line, long = "Subscribe to our letter and never miss any news.", prose(r, 55) + "."
+    docs = [(i, f"{prose(r, 20)}.\n{line}\n{prose(r, 15)}." + (f"\n{long}" if i > 3 else "")) for i in range(6)]
+    assert [x.doc_id for x in s.documents_with_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()] == [5]
 
 
 def test_normalised_and_ranked(spark):
     line = "One TWO three  four five six\tseven eight nine."
     df = spark.createDataFrame([(1, line, 5), (2, line.lower(), 1), (3, "x\n" + line + "\ny", None)], "doc_id long, text string, rank long")
-    got = {x.doc_id: x.removed for x in s.documents_with_repeats(df, rank_col="rank").collect()}
+    got = {x.doc_id: x.removed for x in s.documents_with_repeats(df, rank_col="rank", min_passage=0).collect()}
     assert got == {1: f"0:{len(line)}", 3: f"2:{2 + len(line)}"}
-    kept = {x.doc_id: (x.text, x.removed_spans) for x in s.remove_repeats(df, rank_col="rank").collect()}
+    kept = {x.doc_id: (x.text, x.removed_spans) for x in s.remove_repeats(df, rank_col="rank", min_passage=0).collect()}
     assert kept[1][0] == "" and kept[2] == (line.lower(), None) and kept[3][0] == "x\n\ny" and kept[3][1][0].start == 2
 
 
 def test_awkward_rows(spark):
-    got = {x.doc_id: x.removed for x in s.documents_with_repeats(awkward(spark)).collect()}
+    got = {x.doc_id: x.removed for x in s.documents_with_repeats(awkward(spark), min_passage=0).collect()}
     assert got == {6: "0:49"}  # the repeated row 5 is one document
     assert s.documents_with_repeats(empty(spark)).count() == 0
     assert s.remove_repeats(awkward(spark)).count() == 10

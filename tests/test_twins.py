@@ -6,7 +6,7 @@ from coursemill import plans
 
 from . import twins
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

@@ -30,6 +30,7 @@ BLOCK = frozenset(
 )
 #: What an opening tag closes when it is open inside the nearest container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+PARTS = frozenset("article main nav aside header footer form section dialog".split())
 BARRIER = frozenset("ul ol dl table div section article aside nav header footer main form body html td blockquote menu".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,8192}"|'[^']{0,8192}')*+)>""", re.DOTALL)
@@ -126,6 +127,21 @@ def leaf_blocks(page: str) -> list[Leaf]:
     return out
 
 
+#: Names that sites give to parts of a page.
+ARTICLE_NAMES = "article content post entry story main body text blog news single page prose detail".split()
+OTHER_NAMES = {
+    "nav": "nav menu navbar navigation breadcrumb breadcrumbs links toc pagination pager skip tabs dropdown".split(),
+    "header": "header masthead top topbar banner logo brand site title tagline head".split(),
+    "footer": "footer foot copyright legal bottom colophon credits site imprint".split(),
+    "sidebar": "sidebar side aside related widget recommended popular trending more rail secondary archive tags".split(),
+    "notice": "cookie consent gdpr notice alert popup modal newsletter subscribe overlay warning message paywall toast announcement".split(),
+    "ad": "ad ads advert advertisement sponsor sponsored promo promotion banner commercial adsense dfp".split(),
+    "form": "form search login signup register contact subscribe input field".split(),
+    "comments": "comments comment reply replies discussion responses respond disqus thread reader feedback".split(),
+    "share": "share social sharing follow buttons meta byline author tools".split(),
+}
+
+
 def features(blocks: list[Leaf]) -> list[list[str]]:
     """Names of the features that hold for each block."""
     out = []
@@ -134,7 +150,10 @@ def features(blocks: list[Leaf]) -> list[list[str]]:
         link = b.linked / max(len(b.text), 1)
         f = ["bias", f"tag={b.tag}", f"words={min(n.bit_length(), 7)}", f"link={0 if link < 0.2 else 1 if link < 0.7 else 2}"]
         f += [f"in={t}" for t in dict.fromkeys(b.path)]
+        # The block's tag under the nearest part of the page: a paragraph right in an article differs from a box in it.
+        f.append(f"under={next((t for t in reversed(b.path) if t in PARTS), 'body')}>{b.tag}")
         f += [f"name={w}" for w in dict.fromkeys(b.words)]
+        f += [f"named={kind}" for kind, names in OTHER_NAMES.items() if not set(b.words).isdisjoint(names)]
         f.append(f"end={b.text[-1] if b.text[-1] in '.!?:,;' else 'other'}")
         if "©" in b.text:
             f.append("copyright")
@@ -182,19 +201,6 @@ class Field:
 
 # Labelled pages -------------------------------------------------------------------------
 
-#: Names that sites give to parts of a page.
-ARTICLE_NAMES = "article content post entry story main body text blog news single page prose detail".split()
-OTHER_NAMES = {
-    "nav": "nav menu navbar navigation breadcrumb breadcrumbs links toc pagination pager skip tabs dropdown".split(),
-    "header": "header masthead top topbar banner logo brand site title tagline head".split(),
-    "footer": "footer foot copyright legal bottom colophon credits site imprint".split(),
-    "sidebar": "sidebar side aside related widget recommended popular trending more rail secondary archive tags".split(),
-    "notice": "cookie consent gdpr notice alert popup modal newsletter subscribe overlay warning message paywall toast announcement".split(),
-    "ad": "ad ads advert advertisement sponsor sponsored promo promotion banner commercial adsense dfp".split(),
-    "form": "form search login signup register contact subscribe input field".split(),
-    "comments": "comments comment reply replies discussion responses respond disqus thread reader feedback".split(),
-    "share": "share social sharing follow buttons meta byline author tools".split(),
-}
 OTHER_TAGS = {
     "nav": ("nav", "ul", "div"), "header": ("header", "div"), "footer": ("footer", "div"), "sidebar": ("aside", "div", "section"), "notice": ("div", "section", "dialog"),
     "ad": ("div", "aside", "section", "p"), "form": ("form", "div"), "comments": ("section", "div", "ol"), "share": ("div", "ul"),
@@ -282,7 +288,7 @@ class _Maker:
             else:
                 out.append(f"<figure><img><figcaption>{self.say(1, 2, 15)}</figcaption></figure>")
         # Things that are not the article also stand between its paragraphs.
-        for kind in r.sample(["ad", "share", "notice", "comments", "form", "sidebar"], r.choice([0, 0, 0, 1, 2])):
+        for kind in r.sample(["ad", "share", "notice", "comments", "form", "sidebar"], r.choice([0, 0, 1, 2, 3])):
             out.insert(len(out) if kind == "comments" else r.randint(1, len(out)), self.other(kind))
         tag = r.choice(["article", "article", "article", "main", "div", "section"])
         body = self.named(tag, ARTICLE_NAMES, "".join(out), 0.5 if tag in ("article", "main") else 1.0)

@@ -72,8 +72,11 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, records_per
 
 
 def _stream(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    d = zlib.decompressobj(47)
     view = memoryview(data)
+    if data[:2] != b"\x1f\x8b":  # an archive that isn't compressed
+        yield from (bytes(view[at : at + step]) for at in range(0, len(view), step))
+        return
+    d = zlib.decompressobj(47)
     for at in range(0, len(view), step):
         yield d.decompress(view[at : at + step])
         while d.eof and d.unused_data:  # files may hold one gzip member per record

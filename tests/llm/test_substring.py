@@ -96,3 +96,55 @@ def test_awkward_rows(spark):
     assert got == {6: "0:49"}  # the repeated row 5 is one document
     assert s.documents_with_repeats(empty(spark)).count() == 0
     assert s.remove_repeats(awkward(spark)).count() == 10
+
+
+bare = lambda text: "".join(text.split())
+
+
+def removed_words(spark, docs):
+    """By id: what is removed, without blanks, and its words."""
+    rows = s.documents_with_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    text = dict(docs)
+    return {x.doc_id: ("".join(bare(text[x.doc_id][slice(*map(int, m.split(":")))]) for m in SPANS.findall(x.removed)), x.words_removed) for x in rows}
+
+
+def test_passages_of_short_sentences(spark):
+    r = random.Random(13)
+    sentence = lambda n: prose(r, n).capitalize() + "."
+    short = [sentence(7) for _ in range(8)]
+    for joint in (" ", "\n"):
+        docs = [(i, f"{sentence(12)} {joint.join(short)} {sentence(4)} {sentence(15)}") for i in range(3)]
+        assert removed_words(spark, docs) == {i: (bare(joint.join(short)), 56) for i in (1, 2)}
+    # Not a passage: the same short sentences in other orders.
+    docs = [(i, f"{sentence(12)} {' '.join(r.sample(short, 2))} {sentence(15)} {' '.join(short[i : i + 1])}") for i in range(3)]
+    assert removed_words(spark, docs) == {}
+
+
+def test_long_sentences_apart_by_short_ones(spark):
+    r = random.Random(14)
+    sentence = lambda n, of=prose: of(r, n).capitalize() + "."
+    mixed = " ".join(sentence(n) for n in (9, 7, 7) * 3)
+    docs = [(i, f"{sentence(12)} {mixed} {sentence(15)}") for i in range(3)]
+    assert removed_words(spark, docs) == {i: (bare(mixed), 69) for i in (1, 2)}
+    # A lone short sentence of over GAP code points stays but parts nothing.
+    lone = " ".join("".join(r.choice("abcdef") for _ in range(12)) for _ in range(7)) + "."
+    a, b = sentence(9), sentence(9)
+    docs = [(i, f"{sentence(12)} {a} {lone} {b} {sentence(15)}") for i in range(3)]
+    assert len(lone) > s.GAP and removed_words(spark, docs) == {i: (bare(a + b), 18) for i in (1, 2)}
+
+
+def test_text_without_blanks(spark):
+    r = random.Random(15)
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n)) + "。"
+    passage = "".join(han(n) for n in (24, 9, 9, 30, 20))
+    docs = [(i, f"{han(25)}{passage}{han(40)}") for i in range(3)]
+    assert {i: t for i, (t, _) in removed_words(spark, docs).items()} == {1: passage, 2: passage}
+    token = "".join(r.choice("abcdef0123456789") for _ in range(400))
+    assert {i: t for i, (t, _) in removed_words(spark, [(i, f"{prose(r, 9)}\n{token}\n{prose(r, 9)}") for i in range(2)]).items()} == {1: token}
+
+
+def test_the_first_of_a_text_that_repeats_itself_stays(spark):
+    beat = "Ha ha now. Ho ho ho."
+    docs = [(1, " ".join([beat] * 20))]
+    got, words = removed_words(spark, docs)[1]
+    assert bare(docs[0][1]).endswith(got) and 14 <= words <= 120 - 9

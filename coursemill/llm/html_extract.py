@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -33,7 +33,9 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 PARTS = frozenset("article main nav aside header footer form section dialog".split())
 BARRIER = frozenset("ul ol dl table div section article aside nav header footer main form body html td blockquote menu".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,8192}"|'[^']{0,8192}')*+)>""", re.DOTALL)
+OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile(r"""[>"']""")
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -57,6 +59,51 @@ def _name_words(attrs: str) -> tuple:
     return tuple(out)
 
 
+def tag_finder(page: str) -> Callable[[int], tuple | None]:
+    """A function that gives the next tag from a position on: (start, end, slash, name or None for a comment, attributes).
+
+    Quoted values have any length; where no '>' follows outside quotes, the next one ends the
+    tag. Positions from which that was seen are kept, so ascending calls are linear together.
+    """
+    last, near, dead = page.rfind(">"), [0, -1], set()
+
+    def special(p: int) -> int:
+        if not near[0] <= p <= near[1]:
+            m = SPECIAL.search(page, p)
+            near[:] = p, m.start() if m else len(page)
+        return near[1]
+
+    def close(first: int) -> int:
+        p, seen = first, []
+        while p not in dead:
+            seen.append(p)
+            s = special(p)
+            if s < len(page) and page[s] == ">":
+                return s
+            p = page.find(page[s], s + 1) + 1 if s < len(page) else 0
+            if not p:
+                break
+        dead.update(seen)
+        return page.find(">", first)
+
+    def following(at: int) -> tuple | None:
+        while m := OPEN.search(page, at):
+            start = m.start()
+            if m[0] == "<!--":
+                end = page.find("-->", m.end())
+                return start, end + 3 if end >= 0 else len(page), "", None, ""
+            if start < last:
+                if m[0] in ("<!", "<?"):
+                    return start, page.find(">", start) + 1, "", None, ""
+                n = NAME.match(page, start)
+                end = close(n.end())
+                return start, end + 1, n[1], n[2], page[n.end() : end]
+            at = m.end()
+        return None
+
+    return following
+
+
 def leaf_blocks(page: str) -> list[Leaf]:
     """The leaf blocks of a page in order; unclosed and stray tags are taken as browsers mostly do."""
     stack: list[tuple[str, tuple]] = []
@@ -87,16 +134,17 @@ def leaf_blocks(page: str) -> list[Leaf]:
             link_depth -= t == "a"
         del stack[i:]
 
-    at = 0
-    while m := TAG.search(page, at):
-        text(at, m.start())
-        at = m.end()
-        if m[2] is None:
+    at, following = 0, tag_finder(page)
+    while found := following(at):
+        start, end, slash, name, attrs = found
+        text(at, start)
+        at = end
+        if name is None:
             continue
-        name = m[2].lower()
+        name = name.lower()
         if name in BLOCK:
             flush()
-        if m[1]:
+        if slash:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     pop_to(i)
@@ -105,9 +153,9 @@ def leaf_blocks(page: str) -> list[Leaf]:
                     break
             continue
         if name in HIDDEN:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page)
+            if not attrs.endswith("/"):
+                shut = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
+                at = shut.end() if shut else len(page)
             continue
         if name == "br":
             parts.append(" ")
@@ -121,7 +169,7 @@ def leaf_blocks(page: str) -> list[Leaf]:
                     break
         if name == "a":
             link_depth += 1
-        stack.append((name, _name_words(m[3])))
+        stack.append((name, _name_words(attrs)))
     text(at, len(page))
     flush()
     return out

@@ -48,3 +48,31 @@ def test_pages(spark):
     assert [(r.text, r.n_chars) for r in got if r.page_id in (2, None)] == [("", 0)] * 2
     assert next(r.n_chars for r in got if r.page_id == 3) == 999_999
     assert h.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_attributes_of_any_length():
+    long = "iVBORw0KGgo/+ab>" * 6_250
+    model, plain = h.train_field(), h.main_text(PAGE, h.train_field())
+    assert len(long) == 100_000
+    for quote in "\"'":
+        image = PAGE.replace("<p>Second one", f"<p><img src={quote}data:image/png;base64,{long}{quote}>Second one")
+        menu = PAGE.replace('<nav class="menu">', f'<nav data-state={quote}{long}{quote} class="menu">').replace('id="comments"', f"data-state={quote}{long}{quote} id='comments'")
+        assert h.main_text(image, model) == plain and h.main_text(menu, model) == plain
+        assert [(b.tag, b.path, b.words, b.text) for b in h.leaf_blocks(menu)] == [(b.tag, b.path, b.words, b.text) for b in h.leaf_blocks(PAGE)]
+
+
+def test_broken_tags_end_at_the_next_bracket():
+    assert [b.text for b in h.leaf_blocks('<p>One <a href="x>two</a> three</p>')] == ["One two three"]
+    assert [b.text for b in h.leaf_blocks("a < b <p")] == ["a < b <p"]
+
+
+def test_tags_are_found_in_linear_time():
+    from time import perf_counter
+
+    for piece in ('<a href="', "<a ", "<a<a", "<!", "<a '\"", "<a \">'", "<a '><b \">"):
+        took = []
+        for n in (20_000, 200_000):
+            began = perf_counter()
+            h.leaf_blocks(piece * n)
+            took.append(perf_counter() - began)
+        assert took[1] < 60 * max(took[0], 0.02), piece

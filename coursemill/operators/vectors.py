@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries that are held at a time while all vectors pass by.
 QUERY_BLOCK = 2048
+#: Documents of a course that a task multiplies with as many others, about.
+COURSE_BLOCK = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -140,3 +142,46 @@ def course_neighbours(docs: DataFrame, k: int = 4, floor: float = 0.70, most: in
     kind = docs.schema["course_id"].dataType.simpleString()
     found = rows.groupBy("course_id", "dim").applyInPandas(near, f"course_id {kind}, a long, b long, score double")
     return found.groupBy("course_id", "a", "b").agg(F.max("score").alias("score"))
+
+
+def course_pairs(docs: DataFrame, k: int | None = None, floor: float = 0.70, block: int = COURSE_BLOCK) -> DataFrame:
+    """Like course_neighbours(), of all documents of a course; without k every pair at the floor or above.
+
+    A course is dealt into blocks by hash, and each pair of blocks is a group of its own, so
+    a group is bounded whatever the course's size. With k each group keeps the best k of a
+    document, and only those are merged.
+    """
+    rows = docs.where("v is not null and size(v) > 0").select("course_id", "doc_id", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("dim"))
+    sizes = rows.groupBy(F.col("course_id").alias("_course"), F.col("dim").alias("_dim")).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    dealt = rows.join(sizes, F.col("course_id").eqNullSafe(F.col("_course")) & (F.col("dim") == F.col("_dim")))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select("course_id", "dim", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "v")
+
+    def near(pdf):
+        ids, own, low = pdf["doc_id"].to_numpy(np.int64), pdf["own"].to_numpy(), pdf["low"].iloc[0]
+        x = np.array(pdf["v"].tolist())
+        left = own == low
+        right = left if low == pdf["high"].iloc[0] else ~left
+        p, q = ids[left], ids[right]
+        score = np.clip(x[left] @ x[right].T, -1.0, 1.0)
+        score[~(score >= floor) | (p[:, None] == q[None, :])] = -np.inf
+        if k is None:
+            i, j = np.nonzero(np.isfinite(score))
+            found = [(p[i], q[j], score[i, j])]
+        else:
+            found = []
+            for s, a, b in ((score, p, q), (score.T, q, p)):
+                best = np.lexsort((np.broadcast_to(b, s.shape), -s), axis=1)[:, :k]
+                i, j = np.repeat(np.arange(len(a)), best.shape[1]), best.ravel()
+                hit = np.isfinite(s[i, j])
+                found.append((a[i[hit]], b[j[hit]], s[i[hit], j[hit]]))
+        a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
+        return type(pdf)({"course_id": pdf["course_id"].iloc[:1].repeat(len(a)).to_numpy(), "a": a, "b": b, "score": s})
+
+    kind = docs.schema["course_id"].dataType.simpleString()
+    found = dealt.groupBy("course_id", "dim", "low", "high").applyInPandas(near, f"course_id {kind}, a long, b long, score double")
+    if k is not None:
+        found = found.groupBy("course_id", "a", "b").agg(F.max("score").alias("score"))
+        w = Window.partitionBy("course_id", "a").orderBy(F.desc("score"), "b")
+        found = found.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
+    return found.groupBy("course_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))

@@ -113,7 +113,7 @@ def k5_best_chunk_per_document(spark, d):
 
 @query(f"WITH {LINKED} SELECT a AS a_id, b AS b_id, round(s, 6) AS similarity FROM sims WHERE a < b AND s >= 0.3")
 def j11_similar_documents(spark, d):
-    every = vectors.course_neighbours(linked(spark, d).where("kind is not null"), 300, 0.3)
+    every = vectors.course_pairs(linked(spark, d).where("kind is not null"), floor=0.3)
     return every.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.round("score", 6).alias("similarity"))
 
 
@@ -164,8 +164,8 @@ PARTNERS = f"""{EDGES}, found AS (SELECT b AS doc_id, a AS query_id, row_number(
 def c4_graph_expansion(spark, d):
     """Partners, one hop from the first documents of each query's context; here the context is documents of its course."""
     docs = linked(spark, d).where("kind is not null")
-    near = vectors.course_neighbours(docs, 300, FLOOR)
-    both = near.select(F.col("a").alias("query_id"), F.col("b").alias("doc_id"), "score").unionByName(near.select(F.col("b").alias("query_id"), F.col("a").alias("doc_id"), "score")).where("query_id < 40")
+    q = docs.where("doc_id < 40").select("course_id", F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    both = docs.join(F.broadcast(q), "course_id").where("doc_id <> query_id").select("query_id", "doc_id", vectors.cosine(F.col("q"), F.col("v")).alias("score")).where(F.col("score") >= FLOOR)
     from ..operators.review import top_by
 
     ctx = top_by(both, ["query_id"], [F.desc("score"), "doc_id"], 8).withColumn("bucket", F.lit("context"))

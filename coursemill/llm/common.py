@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,13 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; where none is set (tests), a temporary one is set."""
+    """The checkpoint folder of the session. Where none is set, a local master (tests) gets a temporary one; a cluster is refused, as its executors wouldn't see the driver's folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="coursemill-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="coursemill-"))
     return sc.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from the shared checkpoint folder: later jobs survive lost executors and don't recompute."""
     shared_dir(df.sparkSession)
@@ -36,11 +48,17 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like cut(), as a compressed columnar table; for rows that are read again, some columns at a time."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(docs with its columns named c0, c1, ..., those names): columns of helpers, which begin with an underscore, then clash with none."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
 def text_list(col: pa.Array) -> list[str]:
     """Python strings, null as empty."""
     return [x or "" for x in col.to_pylist()]

@@ -19,13 +19,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, text_list
+from .common import cut, plain, text_list, written
 from .graph import components
 
 BITS = 64
 SEED = 42
-#: Fingerprints that one task compares in a bucket; larger buckets go through masked copies.
+#: Fingerprints that one task compares in a bucket; larger buckets are dealt again by the bits that are still free.
 BUCKET = 1 << 14
 
 
@@ -173,16 +174,31 @@ def _forest(fp: np.ndarray, rep: np.ndarray, limit: int) -> tuple[list, list]:
 
 
 def links(fps: DataFrame, plan: Plan, limit: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """(u, v) over representatives `rep` of distinct fingerprints: what they connect is what all pairs within `limit` bits connect."""
-    masks = plan.masks()
+    """(u, v) over representatives `rep` of distinct fingerprints: what they connect is what all pairs within `limit` bits connect.
+
+    A bucket of more than `bucket` fingerprints is dealt once more: the bits that its mask
+    leaves free are cut into limit + 1 parts, of which two members within the limit share
+    one. That is repeated until no bucket is too large for a task.
+    """
+    spark, masks = fps.sparkSession, plan.masks()
     keys = fps.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "val"))
-    sizes = keys.groupBy("mask", "val").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
-    hot = sizes.count()
-    if hot:
-        sizes = cut(sizes)
-        cold = keys.join(sizes, ["mask", "val"], "left_anti")
-    else:
-        cold = keys
+    cold = None
+    while True:
+        # Distinct fingerprints that agree in all but `limit` bits are 1 << limit at most, so larger buckets have a bit for each part.
+        hot = written(keys.groupBy("mask", "val").agg(F.count("*").alias("n")).where(F.col("n") > max(bucket, 1 << limit)).select("mask", "val"), "hot-buckets")
+        wide = sorted(r["mask"] for r in hot.select("mask").distinct().collect())
+        part = keys.join(hot, ["mask", "val"], "left_anti") if wide else keys
+        cold = part if cold is None else cold.unionByName(part)
+        if not wide:
+            break
+        finer = []
+        for i in wide:
+            free = [b for b in range(BITS) if not masks[i] >> b & 1]
+            for k in range(limit + 1):
+                finer.append((i, len(masks), _signed(masks[i] | sum(1 << b for b in free[k :: limit + 1]))))
+                masks.append(finer[-1][2] & ((1 << BITS) - 1))
+        finer = spark.createDataFrame(finer, "mask int, finer int, bits long")
+        keys = keys.join(hot, ["mask", "val"], "left_semi").join(finer, "mask").select("fp", "rep", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("val"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list = []
@@ -196,15 +212,7 @@ def links(fps: DataFrame, plan: Plan, limit: int = 2, bucket: int = BUCKET) -> D
         if kept:
             yield _bucket_links(kept[2], kept[3], np.array([len(kept[2])]), limit)
 
-    found = cold.select("mask", "val", "fp", "rep").repartition("mask", "val").sortWithinPartitions("mask", "val").mapInArrow(of, "u long, v long")
-    if not hot:
-        return found
-    # A bucket too large for a task: members within the limit share a copy with `limit` bits masked, and all that share one are within it.
-    wide = [_signed(~sum(1 << b for b in gone) & ((1 << 64) - 1)) for gone in combinations(range(BITS), limit)]
-    copies = keys.join(sizes.select("mask", "val"), ["mask", "val"], "left_semi").select("fp", "rep").distinct()
-    copies = copies.select("rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in wide])).alias("k", "x"))
-    first = copies.groupBy("k", "x").agg(F.min("rep").alias("v"))
-    return found.unionByName(copies.join(first, ["k", "x"]).where("rep <> v").select(F.col("rep").alias("u"), "v"))
+    return cold.select("mask", "val", "fp", "rep").repartition("mask", "val").sortWithinPartitions("mask", "val").mapInArrow(of, "u long, v long")
 
 
 def _bucket_links(fp: np.ndarray, rep: np.ndarray, bounds: np.ndarray, limit: int) -> pa.RecordBatch:
@@ -239,31 +247,35 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2, words: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """docs with one row for each component: the row of its smallest id. All columns stay.
+    """docs with one row for each component: the row of its smallest id. All columns stay, whatever their names.
 
-    Rows that share an id are one document, of which the smallest row stays. Rows without an
-    id stay where no row with an id has their fingerprint, one for each such fingerprint.
+    Rows that share an id are one document, of which the row with the smallest JSON stays.
+    Rows without an id stay where no row with an id has their fingerprint, one for each such
+    fingerprint. Null and blank texts are one component. The ids that go are written before
+    texts are read, so Spark knows their size and doesn't shuffle texts for few of them.
     """
-    key = F.col(id_col).cast("long")
-    found = simhash_components(docs, id_col, text_col, limit, words, bucket)
-    found = cut(found)
-    kept = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
-    rows = docs.join(kept, key == F.col("_id"))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    least = lambda df, by: df.groupBy(by).agg(F.min(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])).alias("r")).select("r.*").toDF(*docs.columns)
-    single = rows.where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    out = single.unionByName(least(rows.where("_n > 1"), "_id")) if kept.where("_n > 1").limit(1).count() else single
-    if found.where(F.col(id_col).isNull()).limit(1).count():
-        free = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fp").alias("_fp")).distinct()
-        nulls = docs.where(key.isNull())
-        schema = nulls.toDF(*names).schema.add("_fp", "long")
-        at = docs.columns.index(text_col)
+    rows, names = plain(docs)
+    at = docs.columns.index(id_col), docs.columns.index(text_col)
+    key = F.col(names[at[0]]).cast("long")
+    found = written(simhash_components(docs, id_col, text_col, limit, words, bucket).toDF("_id", "_fp", "_fingerprint", "_component").drop("_fingerprint"), "components")
+    twice = found.where("_id = _component").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id")
+    twice = written(twice, "repeated-ids")
+    gone = written(found.where("_id <> _component").select("_id").distinct().unionByName(twice), "dropped-ids")
+    every = F.struct(*names)
+    least = lambda df, by: df.groupBy(by).agg(F.min_by(every, F.to_json(every)).alias("r")).select("r.*")
+    out = rows.where(key.isNotNull()).join(gone, key == F.col("_id"), "left_anti")
+    if twice.limit(1).count():
+        out = out.unionByName(least(rows.join(twice, key == F.col("_id"), "left_semi"), key))
+    if found.where("_id is null").limit(1).count():
+        free = found.where("_id is null and _component is null").select("_fp").distinct()
+        nulls = rows.where(key.isNull())
+        schema = T.StructType([*nulls.schema, T.StructField("_own", T.LongType())])
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                fps = np.array([majority(shingle_hashes(t, words)) for t in text_list(b.column(at))], np.uint64).view(np.int64)
+                fps = np.array([majority(shingle_hashes(t, words)) for t in text_list(b.column(at[1]).cast(pa.string()))], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*schema.names])
 
-        nulls = nulls.toDF(*names).mapInArrow(of, schema).join(free, "_fp").select("_fp", *names).toDF("_fp", *docs.columns)
-        out = out.unionByName(least(nulls, "_fp"))
-    return out
+        nulls = nulls.mapInArrow(of, schema)
+        out = out.unionByName(least(nulls.join(free, F.col("_own") == F.col("_fp"), "left_semi"), "_own"))
+    return out.toDF(*docs.columns)

@@ -14,13 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, cut, text_buffer, word_spans
+from .common import SPACE_BYTES, text_buffer, word_spans, written
 
 BUCKET_ROWS = 8192
 FAN = 256
+#: Equal units that one row is expanded to at a time.
+REPEATS = 1 << 16
 #: Weights dealt to the sources in order, repeating. Fixed values.
 WEIGHTS = (3, 1, 2)
 
@@ -41,22 +43,40 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     return rows.mapInArrow(of, "id long, source string, size long")
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows(source, ...) with `at`, the source's place from 0 by code point, null last; sorted by range, so no task holds all sources."""
+    order = rows.orderBy(F.col("source").isNull(), F.col("source")).withColumn("_row", F.monotonically_increasing_id())
+    order = written(order.withColumn("_part", F.shiftright("_row", 33)), "sources")
+    before, starts = 0, []
+    for r in order.groupBy("_part").count().orderBy("_part").collect():
+        starts.append((r["_part"], before))
+        before += r["count"]
+    starts = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
+    return order.join(starts, "_part").withColumn("at", F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_row", "_start")
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
-    """(source, rows, source_size, target): the targets are min(most x size, weight x level) with one level for all that makes them sum to share x all sizes.
+    """sizes(source, size) or (source, size, n), n rows of that size each -> (source, rows, source_size, target): the targets are min(most x size, weight x level) with one level for all that makes them sum to share x all sizes.
 
-    This is what sharing by weight, capping and resharing the excess ends at. One row per source.
+    The level grows while sources reach their caps and the others share the excess by
+    weight; each round is one sum over the sources.
     """
-    src = sizes.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    src = src.withColumn("at", F.row_number().over(order) - 1)
-    src = src.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int")))
-    every = Window.partitionBy()
-    by_cap = Window.orderBy("ratio", "at")
-    src = src.withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    capped = F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    src = src.withColumn("level", (share * F.sum("source_size").over(every) - capped) / F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing)))
-    src = src.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "at", "level"))).over(every)["level"])
-    return src.select("source", "rows", "source_size", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), "cap").alias("target"))
+    n = F.col("n") if "n" in sizes.columns else F.lit(1)
+    src = sizes.groupBy("source").agg(F.sum(n).alias("rows"), F.sum(F.col("size") * n).alias("source_size"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
+    src = _placed(src).withColumn("weight", weight)
+    cap = most * F.col("source_size")
+
+    def sums(where: Column) -> tuple[int, float]:
+        r = src.where(where).agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+        return int(r[0]), float(r[1])
+
+    size, weight = sums(F.lit(True))
+    level, before = share * size / weight if weight else 0.0, (-1, -1.0)
+    while (capped := sums(cap < F.col("weight") * F.lit(level))) != before:
+        before, left = capped, weight - capped[1]
+        level = (share * size - most * capped[0]) / left if left > 0 else float("inf")
+    return src.select("source", "rows", "source_size", F.least(cap, F.col("weight") * F.lit(level)).alias("target"))
 
 
 def pivot(p: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -97,28 +117,33 @@ def mix_sources(units: DataFrame, share: float = 1.5, most: float = 2.0, weights
 
     Copies are within one of target / source_size, so a unit never exceeds `most` copies. A
     source's words end within one (small) unit of its target. Order, file layout and reruns
-    don't change the result: buckets and random numbers follow from ids and sizes. A null
-    source is a source of its own and comes last; a unit of size 0 is never taken; units with
-    equal or null ids stay units of their own.
+    don't change the result: buckets and random numbers follow from ids and sizes, and equal
+    units, null ids included, are counted and then numbered, so they spread over buckets too.
+    A null source is a source of its own and comes last; a unit of size 0 is never taken; an
+    empty table gives an empty result.
     """
-    units = units.select(F.col("id"), F.col("source"), F.col("size"))
-    targets = cut(source_targets(units, share, most, weights))
+    units = written(units.groupBy("id", "source", "size").agg(F.count("*").alias("n")), "units")
+    targets = source_targets(units, share, most, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rate = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
-    each = units.withColumnRenamed("source", "src").join(targets, F.col("src").eqNullSafe(F.col("source"))).drop("src").withColumn("rate", rate)
+    each = units.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {REPEATS}"))))
+    if units.where(F.col("n") > REPEATS).limit(1).count():
+        each = each.repartition("id", "source", "size", "step")
+    each = each.withColumn("number", F.explode(F.sequence(F.col("step") * REPEATS, F.least(F.col("n"), (F.col("step") + 1) * REPEATS) - 1)))
+    each = each.withColumnRenamed("source", "src").join(targets, F.col("src").eqNullSafe(F.col("source"))).drop("src").withColumn("rate", rate)
     each = each.withColumn("whole", F.floor("rate")).withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("whole")).otherwise(F.lit(0.0)))
-    each = each.withColumn("whole", F.when(F.col("size") > 0, F.col("whole")).otherwise(F.lit(0))).withColumn("order", F.xxhash64(F.col("id"), F.col("size"), F.lit(seed)))
+    each = each.withColumn("whole", F.when(F.col("size") > 0, F.col("whole")).otherwise(F.lit(0))).withColumn("order", F.xxhash64(F.col("id"), F.col("size"), F.col("number"), F.lit(seed)))
     # Buckets of one size for all sources, so a large source has many.
     each = each.withColumn("group", F.expr(f"pmod(order, cast(ceil(rows / {BUCKET_ROWS}) as bigint))"))
     schema = "id long, source string, size long, source_size long, target double, whole long, p double, order long, group long"
     each = each.select("id", "source", "size", "source_size", "target", "whole", "p", "order", "group")
     groups = max(1, -(-(targets.agg(F.max("rows")).first()[0] or 1) // BUCKET_ROWS))
-    now, done, level = cut(each.groupBy("source", "group").applyInPandas(_round(0, seed), schema)), [], 0
+    now, done, level = written(each.groupBy("source", "group").applyInPandas(_round(0, seed), schema), "rounded"), [], 0
     while groups > 1:
         done.append(now.where("p in (0, 1)"))
         groups, level = -(-groups // FAN), level + 1
         rest = now.where("p not in (0, 1)").withColumn("group", F.expr(f"group div {FAN}"))
-        now = cut(rest.groupBy("source", "group").applyInPandas(_round(level, seed), schema))
+        now = written(rest.groupBy("source", "group").applyInPandas(_round(level, seed), schema), "rounded")
     done.append(now)
     every = done[0]
     for more in done[1:]:

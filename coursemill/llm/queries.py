@@ -6,27 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embedding_dedup, html_extract, mixing, pii, quality, simhash_dedup, substring_dedup, toxicity, warc
-from .common import shared_dir, table
+from .common import shared_path, table, written
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, a row each. Null and empty texts hold none; see contaminated() for ties and repeated rows."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document. A null text counts as empty: no spans, and the digest of the empty string."""
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; "" for a null or empty page."""
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    """Every page written to archives, read back and assembled. A null html is an empty payload; rows that share the smallest page_id of a payload are all responses."""
+    path = shared_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_records(spark, path, with_payload=False))
+    captures = warc.assemble(written(warc.read_records(spark, path, with_payload=False), "records"))
     r = F.col("response")
     refers = F.regexp_extract(r["refers_to"], r"urn:page:(-?\d+)", 1)
     return captures.select(
@@ -36,27 +38,33 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; an empty or null text has the score of no feature, and a null id is held out."""
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose repeated text. Null and empty texts lose none; rows without an id take no part."""
     return substring_dedup.documents_with_repeats(table(spark, sf_dir, "documents"))
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes. Null texts have size 0 and are never taken; a null source comes last."""
     mixed = mixing.mix_sources(mixing.word_counts(table(spark, sf_dir, "documents")))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; empty and null texts are scored too, and a null id is held out."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and blank texts have fingerprint zero."""
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector; null, zero and non-finite vectors link with nothing."""
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 

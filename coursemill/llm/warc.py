@@ -4,21 +4,25 @@ Writing is a DataFrame job: every row of `write_archive` is one record, and Spar
 writer puts the blank lines that end a record after each. A capture has a request, a
 response (or, for a payload that a capture with a smaller id already stored, a revisit) and
 a metadata record; request and metadata name the response in WARC-Concurrent-To. Reading
-walks the records of each file by Content-Length, then joins the three by that identifier.
+streams the pieces between blank lines through Spark's text reader, so a compressed archive
+of any size passes in batches, and walks the records by Content-Length; the three are then
+joined by that identifier.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CRLF = "\r\n"
+from .common import written
+
+CRLF, GAP = "\r\n", b"\r\n\r\n"
 #: The digits of base 32 in Spark's numbers and in RFC 4648.
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_PER_FILE = 20_000
@@ -42,7 +46,8 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", sha1_base32(F.col("html"))).withColumn("bytes", F.octet_length("html").cast("long"))
     first = rows.select("page_id", "digest", "bytes").where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("digest", "first")
+    # Written, so that Spark knows their size and doesn't shuffle payloads for few of them.
+    first = written(first.where("n > 1").select("digest", "first"), "repeated-payloads")
     rows = rows.join(first, "digest", "left").withColumn("row", F.monotonically_increasing_id())
     revisit = (F.col("bytes") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda kind: F.concat(F.lit(f"<urn:capture:{kind}:"), F.col("row").cast("string"), F.lit(">"))
@@ -71,23 +76,14 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, records_per
     out.option("maxRecordsPerFile", records_per_file).mode("overwrite").text(path)
 
 
-def _stream(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+def _pieces(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
     view = memoryview(data)
-    if data[:2] != b"\x1f\x8b":  # an archive that isn't compressed
-        yield from (bytes(view[at : at + step]) for at in range(0, len(view), step))
-        return
-    d = zlib.decompressobj(47)
-    for at in range(0, len(view), step):
-        yield d.decompress(view[at : at + step])
-        while d.eof and d.unused_data:  # files may hold one gzip member per record
-            rest, d = d.unused_data, zlib.decompressobj(47)
-            yield d.decompress(rest)
-    yield d.flush()
-
-
-def _walk(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(header fields by lower-case name, block) of each record."""
-    chunks, buf = _stream(data), bytearray()
+    return (bytes(view[at : at + step]) for at in range(0, len(view), step))
+
+
+def _walk(chunks: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
+    """(header fields by lower-case name, block) of each record of one archive's bytes, which come in chunks."""
+    buf = bytearray()
 
     def need(n: int) -> bool:
         while len(buf) < n:
@@ -98,9 +94,9 @@ def _walk(data: bytes) -> Iterator[tuple[dict, bytes]]:
         return True
 
     while True:
-        while (end := buf.find(b"\r\n\r\n")) < 0 or not end:
+        while (end := buf.find(GAP)) < 0 or not end:
             if not end:
-                del buf[:4]
+                del buf[: len(GAP)]
             elif not need(len(buf) + 1):
                 return
         fields = {}
@@ -118,45 +114,58 @@ RECORD = "kind string, id string, concurrent_to string, refers_to string, uri st
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per WARC record under `path`. payload_bytes and payload_digest come from a response's own payload; a revisit has its header's."""
+    """One row per WARC record under `path`. payload_bytes and payload_digest come from a response's own payload; a revisit has its header's.
+
+    Archives compressed with gzip, as one member or one per record, are read as streams; an
+    archive that isn't compressed is one value of a task, so it has to be under 2 GB.
+    """
     names = [x.split()[0] for x in RECORD.split(", ")]
     types = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(archives: Iterator[Iterator[bytes]]) -> Iterator[pa.RecordBatch]:
         rows: list = []
         size = 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-        for b in batches:
-            for content in b.column(0):
-                for f, block in _walk(content.as_py()):
-                    kind, n, digest, page, payload = f["warc-type"], None, None, None, None
-                    if kind in ("response", "revisit"):
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        if kind == "response":
-                            n, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        else:
-                            digest = f["warc-payload-digest"].removeprefix("sha1:")
-                            n = int(next(x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")))
-                    elif kind == "metadata":
-                        value = block.decode().partition("page-id:")[2].strip()
-                        page = int(value) if value else None
-                    rows.append((kind, f["warc-record-id"], f.get("warc-concurrent-to"), f.get("warc-refers-to"), f.get("warc-target-uri"), f.get("warc-payload-digest"), n, digest, page, payload if with_payload else None))
-                    size += len(block)
-                    if size > 8 << 20 or len(rows) >= 10_000:
-                        yield flush()
-                        rows, size = [], 0
+        for chunks in archives:
+            for f, block in _walk(chunks):
+                kind, n, digest, page, payload = f["warc-type"], None, None, None, None
+                if kind in ("response", "revisit"):
+                    head, _, payload = block.partition(GAP)
+                    if kind == "response":
+                        n, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    else:
+                        digest = f["warc-payload-digest"].removeprefix("sha1:")
+                        n = int(next(x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")))
+                elif kind == "metadata":
+                    value = block.decode().partition("page-id:")[2].strip()
+                    page = int(value) if value else None
+                rows.append((kind, f["warc-record-id"], f.get("warc-concurrent-to"), f.get("warc-refers-to"), f.get("warc-target-uri"), f.get("warc-payload-digest"), n, digest, page, payload if with_payload else None))
+                size += len(block)
+                if size > 8 << 20 or len(rows) >= 10_000:
+                    yield flush()
+                    rows, size = [], 0
         if rows:
             yield flush()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(of, RECORD)
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (file, piece) in the order of each file; a file is never in two tasks."""
+        each = ((f, p) for b in batches for f, p in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        return parsed((p.as_py() + GAP for _, p in of_file) for _, of_file in groupby(each, lambda r: r[0]))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return parsed(_pieces(content.as_py()) for b in batches for content in b.column(0))
+
+    text = spark.read.option("lineSep", CRLF * 2).option("pathGlobFilter", "*.gz").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*[^z]").load(path).select("content")
+    return text.mapInArrow(streamed, RECORD).unionByName(plain.mapInArrow(whole, RECORD))
 
 
 def assemble(recs: DataFrame) -> DataFrame:
     """One nested row per capture: (id, response struct, request struct, metadata struct).
 
     Captures without a request or metadata keep a null there; requests and metadata that name
-    no response of the archive belong to no capture.
+    no response of the archive belong to no capture. The records are read three times, so
+    give them written where reading archives is dear.
     """
     part = F.struct("id", "uri", "page_id")
     response = recs.where("kind in ('response', 'revisit')").select("id", F.struct("kind", "uri", "refers_to", "declared_digest", "payload_bytes", "payload_digest", "payload").alias("response"))

@@ -41,6 +41,16 @@ def test_least_bytes_keeps_small_payloads(spark, tmp_path):
 def test_empty_and_members(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/w")
     assert warc.assemble(warc.read_records(spark, f"{tmp_path}/w")).count() == 0
-    rec = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <x>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    for data in (gzip.compress(rec) * 3, rec * 3):
-        assert [b for _, b in warc._walk(data)] == [b"abc"] * 3
+    rec = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <x>\r\nWARC-Concurrent-To: <r>\r\nContent-Length: 12\r\n\r\npage-id: 7\r\n\r\n\r\n"
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.warc.gz").write_bytes(gzip.compress(rec) * 3)  # a member per record
+    (tmp_path / "m" / "b.warc.gz").write_bytes(gzip.compress(rec * 3))
+    (tmp_path / "m" / "c.warc").write_bytes(rec * 3)
+    assert [(r.kind, r.page_id, r.concurrent_to) for r in warc.read_records(spark, f"{tmp_path}/m").collect()] == [("metadata", 7, "<r>")] * 9
+
+
+def test_blocks_that_end_or_begin_with_blank_lines(spark, tmp_path):
+    bodies = ["\r\n\r\n", "\r\n", "a\r\n", "\r\n\r\n\r\n\r\na", "\r\r\n\r\n\r", "\r\n\r", "\n\r\n\r\n" * 5]
+    warc.write_archive(spark.createDataFrame(list(enumerate(bodies)), "page_id long, html string").selectExpr("page_id", "'u' as url", "html"), f"{tmp_path}/w", records_per_file=5)
+    got = {r.metadata.page_id: bytes(r.response.payload).decode() for r in warc.assemble(warc.read_records(spark, f"{tmp_path}/w")).collect()}
+    assert got == dict(enumerate(bodies))

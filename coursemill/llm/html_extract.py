@@ -35,8 +35,9 @@ BARRIER = frozenset("ul ol dl table div section article aside nav header footer
 
 OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-SPECIAL = re.compile(r"""[>"']""")
-ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+#: From a place between attributes: the tag's end, or one attribute up to its unquoted value's end or its value's opening quote. A quote anywhere else is a character of a name or value.
+STEP = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:(["'])|([^\s>]*+)))?+)""")
+NAMING = frozenset(("class", "id", "role"))
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -52,52 +53,47 @@ class Leaf:
     marks: dict = field(default_factory=dict)
 
 
-def _name_words(attrs: str) -> tuple:
-    out = []
-    for m in ATTR.finditer(attrs):
-        out += [w.lower() for w in WORD.findall(m[2] or m[3] or m[4] or "")]
-    return tuple(out)
-
-
 def tag_finder(page: str) -> Callable[[int], tuple | None]:
-    """A function that gives the next tag from a position on: (start, end, slash, name or None for a comment, attributes).
+    """A function that gives the next tag from a position on: (start, end, slash, name or None for a comment, words of its class, id and role).
 
     Quoted values have any length; where no '>' follows outside quotes, the next one ends the
     tag. Positions from which that was seen are kept, so ascending calls are linear together.
     """
-    last, near, dead = page.rfind(">"), [0, -1], set()
+    last, dead = page.rfind(">"), set()
+    last_quote = {q: page.rfind(q) for q in "\"'"}
 
-    def special(p: int) -> int:
-        if not near[0] <= p <= near[1]:
-            m = SPECIAL.search(page, p)
-            near[:] = p, m.start() if m else len(page)
-        return near[1]
-
-    def close(first: int) -> int:
-        p, seen = first, []
-        while p not in dead:
+    def close(first: int) -> tuple[int, tuple]:
+        p, seen, words = first, [], []
+        while p <= last and p not in dead:
             seen.append(p)
-            s = special(p)
-            if s < len(page) and page[s] == ">":
-                return s
-            p = page.find(page[s], s + 1) + 1 if s < len(page) else 0
-            if not p:
+            m = STEP.match(page, p)
+            if not m:
                 break
+            if m[1]:
+                return m.start(1), tuple(words)
+            a, p = (m.end(), m.end()) if m[3] else (m.start(4), m.end())
+            if m[3]:
+                if a > last_quote[m[3]]:
+                    break
+                p = page.find(m[3], a)
+            if m.end(2) - m.start(2) < 6 and m[2].lower() in NAMING and a > 0:
+                words += [w.lower() for w in WORD.findall(page, a, p)]
+            p += bool(m[3])
         dead.update(seen)
-        return page.find(">", first)
+        return page.find(">", first), tuple(words)
 
     def following(at: int) -> tuple | None:
         while m := OPEN.search(page, at):
             start = m.start()
             if m[0] == "<!--":
                 end = page.find("-->", m.end())
-                return start, end + 3 if end >= 0 else len(page), "", None, ""
+                return start, end + 3 if end >= 0 else len(page), "", None, ()
             if start < last:
                 if m[0] in ("<!", "<?"):
-                    return start, page.find(">", start) + 1, "", None, ""
+                    return start, page.find(">", start) + 1, "", None, ()
                 n = NAME.match(page, start)
-                end = close(n.end())
-                return start, end + 1, n[1], n[2], page[n.end() : end]
+                end, words = close(n.end())
+                return start, end + 1, n[1], n[2], words
             at = m.end()
         return None
 
@@ -136,7 +132,7 @@ def leaf_blocks(page: str) -> list[Leaf]:
 
     at, following = 0, tag_finder(page)
     while found := following(at):
-        start, end, slash, name, attrs = found
+        start, end, slash, name, words = found
         text(at, start)
         at = end
         if name is None:
@@ -153,7 +149,7 @@ def leaf_blocks(page: str) -> list[Leaf]:
                     break
             continue
         if name in HIDDEN:
-            if not attrs.endswith("/"):
+            if page[end - 2] != "/":
                 shut = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
                 at = shut.end() if shut else len(page)
             continue
@@ -169,7 +165,7 @@ def leaf_blocks(page: str) -> list[Leaf]:
                     break
         if name == "a":
             link_depth += 1
-        stack.append((name, _name_words(attrs)))
+        stack.append((name, words))
     text(at, len(page))
     flush()
     return out

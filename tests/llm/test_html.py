@@ -76,3 +76,12 @@ def test_tags_are_found_in_linear_time():
             h.leaf_blocks(piece * n)
             took.append(perf_counter() - began)
         assert took[1] < 60 * max(took[0], 0.02), piece
+
+
+def test_quotes_within_tags():
+    long = "A" * 1_000_000
+    assert [b.text for b in h.leaf_blocks(f"<article><p>One<img src='data:image/png;base64,{long}'></p><p>Two</p></article>")] == ["One", "Two"]
+    assert [b.text for b in h.leaf_blocks("<article><p data-x=it's>One</p><p don't title=a\"b>Two</p></article>")] == ["One", "Two"]
+    assert [b.text for b in h.leaf_blocks("<p title = 'a>b' class=\">\">One</p>")] == ["One"]
+    assert [b.words for b in h.leaf_blocks("<p data-x='class=no' class=side-Bar ID = \"top nav\" role='main'>One</p>")] == [("side", "bar", "top", "nav", "main")]
+    assert [b.text for b in h.leaf_blocks("<p>One</p><p title='never closed>Two</p><p>Three</p>")] == ["One", "Two", "Three"]

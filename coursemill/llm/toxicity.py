@@ -99,6 +99,22 @@ def _sample_keys(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(of, "_id long, _p boolean, features array<int>")
 
 
+def feature_counts(docs: DataFrame, features: list[int]) -> dict[int, int]:
+    """Documents of docs(_text) that hold each feature; each task sends one row per feature at most."""
+    chosen = np.full(1 << BITS, -1)
+    chosen[features] = np.arange(len(features))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(features), np.int64)
+        for batch in batches:
+            for b in slices(batch, "_text"):
+                total += np.bincount(_keys(*text_buffer(b.column(0)), chosen) & 0xFFFFFFFF, minlength=len(features))
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["k", "n"])
+
+    return {features[r["k"]]: r["n"] for r in docs.select("_text").mapInArrow(of, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+
+
 def _only(chosen: np.ndarray):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,8 +127,10 @@ def _only(chosen: np.ndarray):
 def train_scorer(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 3) -> Scorer:
     """Fit on documents where `trainable` (of column _id) holds: MAX_POSITIVE positives at most and about MAX_UNLABELLED others by a hash of the id.
 
-    The prior is the positives' share of the labelled trainable documents. Without a
-    positive every score is the prior, or nearly 0 where nothing is labelled.
+    How often unlabelled text holds a feature is counted over all trainable documents. The
+    prior is the positives' share of the labelled trainable documents. Without a positive
+    every score is the prior, or nearly 0 where nothing is labelled. Of sampled rows that
+    share an id the smallest text counts, so a much repeated id doesn't outweigh the others.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_y")).where(trainable)
     n = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
@@ -121,20 +139,27 @@ def train_scorer(docs: DataFrame, labels: DataFrame, trainable: Column, id_col:
     if not n.get(1):
         return nothing
     lot = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
-    all_docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(trainable)
-    few = all_docs.where(lot < MAX_UNLABELLED / max(docs.count(), 1)).select("_id", F.lit(False).alias("_p"), "_text")
+    all_docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).where(trainable)
+    n_docs = all_docs.count()
+    once = lambda df, p: df.groupBy("_id").agg(F.min("_text").alias("_text")).select("_id", F.lit(p).alias("_p"), "_text")
+    few = once(all_docs.where(lot < MAX_UNLABELLED / max(n_docs, 1)), False)
     # At most MAX_POSITIVE ids go to every task, so texts are picked where they are read.
     toxic = known.where("_y = 1").orderBy(lot, "_id").limit(MAX_POSITIVE).select("_id")
-    toxic = all_docs.join(F.broadcast(toxic), "_id", "left_semi").select("_id", F.lit(True).alias("_p"), "_text")
+    toxic = once(all_docs.join(F.broadcast(toxic), "_id", "left_semi"), True)
     rows = written(_sample_keys(toxic.unionByName(few)), "toxicity-sample")
     total = {r["_p"]: r["count"] for r in rows.groupBy("_p").count().collect()}
     if not total.get(True) or not total.get(False):
         return nothing
-    each = rows.select("_p", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("_p").alias("p"), F.count_if(~F.col("_p")).alias("u"))
-    lift = ((F.col("p") + 0.5) / (total[True] + 1)) / ((F.col("u") + 0.5) / (total[False] + 1))
     least = max(2, total[True] // 400)
-    best = each.where((F.col("p") >= least) & (lift > max(2, LIFT / prior))).orderBy((F.col("p") * F.log(lift)).desc(), "f").limit(MAX_FEATURES)
-    features = sorted(r["f"] for r in best.collect())
+    each = rows.where("_p").select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("p")).where(F.col("p") >= least)
+    held = {r["f"]: r["p"] for r in each.collect()}  # of 2^BITS features at most
+    spread = feature_counts(all_docs, sorted(held)) if held else {}
+    found = []
+    for f, p in held.items():
+        lift = (p + 0.5) / (total[True] + 1) / ((spread.get(f, 0) + 0.5) / (n_docs + 1))
+        if lift > max(2, LIFT / prior):
+            found.append((-p * np.log(lift), f))
+    features = sorted(f for _, f in sorted(found)[:MAX_FEATURES])
     if not features:
         return nothing
     chosen = np.full(1 << BITS, -1)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_list
+from .common import plain, text_list
 
 #: The base kinds, in the order that breaks ties of start.
 KINDS = ("email", "ip", "card", "phone")
@@ -169,8 +169,7 @@ def mask(text: str, spans: list[tuple[int, str, int]]) -> str:
 
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data in the text masked; a null text stays null, other columns stay as they are."""
-    at = docs.columns.index(text_col)
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    at, (rows, _) = docs.columns.index(text_col), plain(docs)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()
@@ -178,5 +177,4 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([t and mask(t, finder.spans(t)) for t in b.column(at).to_pylist()], b.schema.field(at).type)
             yield b.set_column(at, b.schema.field(at), new)
 
-    plain = docs.toDF(*names)
-    return plain.mapInArrow(of, plain.schema).toDF(*docs.columns)
+    return rows.mapInArrow(of, rows.schema).toDF(*docs.columns)

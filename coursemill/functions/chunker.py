@@ -1,7 +1,8 @@
 """Chunks of about 2000 bytes with overlap, in UTF-8 bytes that never split a character.
 
 A text is cleaned of boilerplate lines, cut into paragraphs, and packed: paragraphs share a
-chunk while they fit; a paragraph that doesn't fit is cut at a blank line, a sentence or a
+chunk while they fit, not counting the line break between them; the next chunk begins with
+the end of the one before, and what is then too long is cut at a blank line, a sentence or a
 space. Every step moves on by a character at least, so a cut always ends.
 """
 
@@ -21,7 +22,7 @@ LINE, REPEATS = 80, 3
 
 def clean_text(text: str) -> str:
     """Without short lines that occur three times or more."""
-    lines = text.split("\n")
+    lines = [x.removesuffix("\r") for x in text.removesuffix("\n").split("\n")]
     count = Counter(t for t in map(str.strip, lines) if t)
     return "\n".join(x for x in lines if not ((t := x.strip()) and count[t] >= REPEATS and len(t.encode()) < LINE))
 
@@ -59,12 +60,10 @@ def chunk_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]
 
     for p in paragraphs(clean_text(text)):
         data = p.encode("utf-8", "replace")
-        if held and len(held) + 1 + len(data) <= size:
-            held += b"\n" + data
-            continue
-        keep(held)
-        tail = held[_whole(held, len(held) - overlap) :] if held else b""
-        held = tail + b"\n" + data if tail and len(tail) + 1 + len(data) <= size else data
+        if held and len(held) + len(data) > size:
+            keep(held)
+            held = held[_whole(held, len(held) - overlap) :]
+        held = held + b"\n" + data if held else data
         while len(held) > size:
             cut = split_point(held, size)
             keep(held[:cut])
@@ -75,6 +74,17 @@ def chunk_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]
     return out
 
 
+def cleaned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, text): clean_text() of every document; null stays null."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "text": [t if t is None else clean_text(t) for t in b["text"]]})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(of, "id long, text string").withColumnRenamed("id", id_col)
+
+
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(id_col, chunk_index, text): a row per chunk; a document without text has none."""
 

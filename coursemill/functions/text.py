@@ -21,6 +21,11 @@ def topic_tokens(text: Column) -> Column:
     return F.filter(F.transform(words, lambda w: F.regexp_replace(w, "^'+|'+$", "")), lambda w: F.octet_length(w) > 2)
 
 
+def paragraphs(text: Column) -> Column:
+    """What blank lines part, trimmed, without empty parts."""
+    return F.filter(F.transform(F.split(text, "\n\n"), stripped), lambda p: p != "")
+
+
 def bigrams(tokens: Column) -> Column:
     """Neighbouring tokens joined by a space."""
     return F.when(F.size(tokens) > 1, F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.size(tokens) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
@@ -40,8 +45,8 @@ def excerpt(text: Column, whole: int = 10_000, head: int = 8_500, tail: int = 1_
 
 
 def slug(text: Column, longest: int = 120) -> Column:
-    """Runs of anything but ASCII letters, digits, _ and - become one _; none at the ends; "untitled" where nothing is left."""
-    s = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
+    """Runs of anything but letters, digits, _ and - become one _; none at the ends; "untitled" where nothing is left."""
+    s = F.regexp_replace(F.regexp_replace(text, r"[^\p{IsAlphabetic}\p{N}_-]+", "_"), "^_+|_+$", "")
     return F.substring(F.coalesce(F.nullif(s, F.lit("")), F.lit("untitled")), 1, longest)
 
 
@@ -75,11 +80,26 @@ def url_id(url: Column) -> Column:
     return F.coalesce(p, F.nullif(F.regexp_extract(path, "([^/]*)$", 1), F.lit("")))
 
 
+#: Tokens of a course code that mark a variant of the course.
+SECTION_MARKERS = ("MAR", "DIST", "HI", "S", "AB", "CD")
+
+
 def course_code(title: Column) -> Column:
-    """Upper case without bracketed parts, split at hyphens and spaces, marker tokens dropped unless all are, joined by hyphens; null if empty."""
-    flat = F.upper(F.regexp_replace(title, r"\[[^\]]*\]|\([^)]*\)", " "))
-    parts = F.filter(F.split(flat, r"[-\s]+"), lambda p: p != "")
-    real = F.filter(parts, lambda p: ~p.rlike("^([VH]T[0-9]*|DIST|CAMPUS)$"))
+    """Upper case without what brackets hold, split at hyphens and white space, marker tokens dropped unless all are, joined by hyphens; null if empty.
+
+    Brackets of any kind nest and close each other; an open one hides the rest, and one that
+    closes nothing is dropped.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(at: Column, c: Column) -> Column:
+        opens, closes = c.isin("(", "[", "{"), c.isin(")", "]", "}")
+        depth = F.when(opens, at["depth"] + 1).when(closes, F.greatest(at["depth"] - 1, F.lit(0))).otherwise(at["depth"])
+        return F.struct(depth.alias("depth"), F.when(opens | closes | (at["depth"] > 0), at["out"]).otherwise(F.concat(at["out"], c)).alias("out"))
+
+    flat = F.upper(F.aggregate(F.split(title, ""), start, step)["out"])
+    parts = F.filter(F.split(flat, r"(?U)[-\s]+"), lambda p: p != "")
+    real = F.filter(parts, lambda p: ~p.isin(*SECTION_MARKERS))
     return F.nullif(F.array_join(F.when(F.size(real) > 0, real).otherwise(parts), "-"), F.lit(""))
 
 
@@ -110,28 +130,65 @@ def yes(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"^[^\p{L}]+|[^\p{L}]+$", "")) == "yes"
 
 
-def tail_repeats(text: Column, prior: Column, tail: int = 150, least: int = 75) -> Column:
-    """Is the end of a text (trimmed, long enough) already in what came before?"""
-    end = F.trim(F.right(text, F.lit(tail)))
-    return (F.length(end) >= least) & (F.position(end, prior) > 0)
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def tail_repeat(text: Column, prior: Column, tail: int = 150) -> Column:
+    """The byte where the end of a text begins, if what came before holds that end already, else null.
+
+    The end is the last `tail` bytes, from the beginning of a character, without white space
+    around it; half as many bytes have to be left, and a text under `tail` bytes repeats nothing.
+    """
+    data = text.cast("binary")
+    n = F.octet_length(text)
+    inside = lambda at: F.hex(F.substring(data, at + 1, F.lit(1))).between("80", "BF")
+    start = F.when(~inside(n - tail), n - tail)
+    for back in (1, 2, 3):
+        start = start.when(~inside(n - tail - back), n - tail - back)
+    end = stripped(F.substring(data, start + 1, n).cast("string"))
+    return F.when((n >= tail) & (F.octet_length(end) >= tail // 2) & prior.contains(end), start)
 
 
 def headings(text: Column) -> Column:
-    """Normalised headings: lines that start with # or are bold, lower case, other characters as single spaces."""
-    found = F.regexp_extract_all(text, F.lit(r"(?m)^(?:#+\s+(.+)|\*\*(.+)\*\*)\s*$"), F.lit(0))
-    plain = F.transform(found, lambda h: F.trim(F.regexp_replace(F.lower(h), r"[^\p{L}\p{N}]+", " ")))
-    return F.filter(plain, lambda h: F.size(F.split(h, " ")) >= 2)
+    """Normalised headings: lines that start with # or are bold in whole, lower case, with single spaces for other characters than letters and digits."""
+    lines = F.transform(F.split(text, "\n"), stripped)
+    marked = F.filter(lines, lambda x: x.startswith("#") | (x.startswith("**") & x.endswith("**") & (F.octet_length(x) > 4)))
+    inner = F.transform(marked, lambda x: F.when(x.startswith("#"), x).otherwise(F.substring(x, F.lit(3), F.length(x) - 4)))
+    plain = F.transform(inner, lambda x: F.btrim(F.regexp_replace(F.lower(x), r"[^\p{IsAlphabetic}\p{N}]+", " ")))
+    return F.filter(plain, lambda x: x != "")
+
+
+def heading_repeat(text: Column, prior: Column) -> Column:
+    """The first heading of two words or more that what came before has too; null if none."""
+    there = headings(prior)
+    return F.get(F.filter(headings(text), lambda h: h.contains(" ") & F.array_contains(there, h)), F.lit(0))
 
 
 def source_header(text: Column) -> Column:
     """The file named in a leading [Source: file] line; null where there is none."""
-    return F.nullif(F.regexp_extract(text, r"^\[Source: ([^\]]+)\]", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, r"\A\[Source: (.+?)\](?:\n|\z)", 1), F.lit(""))
 
 
-def citation_numbers(text: Column) -> Column:
-    """Numbers cited as [n], [#n], (#n) or 【n】, in order."""
-    found = F.regexp_extract_all(text, F.lit("\\[#?([0-9]+)\\]|\\(#([0-9]+)\\)|【#?([0-9]+)】"), F.lit(0))
-    return F.transform(found, lambda m: F.regexp_extract(m, "([0-9]+)", 1).try_cast("int"))
+#: The brackets that a citation may open and close with.
+OPENING, CLOSING = "[\\[【〔]", "[\\]】〕]"
+
+
+def citation_numbers(text: Column, chunks: Column | None = None) -> Column:
+    """Numbers cited as n or #n in brackets, which needn't be of one kind, in order.
+
+    With the chunks shown, a file name in brackets (any case, blanks around it) counts as the
+    number of the first chunk whose [Source: file] header names it.
+    """
+    if chunks is not None:
+        named = F.transform(chunks, lambda c, i: F.struct(source_header(c).alias("name"), (i + 1).cast("string").alias("n")))
+        named = F.filter(named, lambda x: x["name"].isNotNull() & ~x["name"].rlike(f"#|{CLOSING}"))
+        # Sources are taken in order, so of two with one name the first gets the citations.
+        cited = lambda x: F.concat(F.lit(f"(?iu){OPENING}\\s*\\Q"), F.btrim(x["name"]), F.lit(f"\\E\\s*{CLOSING}"))
+        text = F.aggregate(named, text, lambda s, x: F.regexp_replace(s, cited(x), F.concat(F.lit("[#"), x["n"], F.lit("]"))))
+    found = F.regexp_extract_all(text, F.lit(f"{OPENING}#?([0-9]+){CLOSING}"), F.lit(1))
+    return F.transform(found, lambda m: m.try_cast("int"))
 
 
 def masked_source(name: Column, text: Column, hidden: Column) -> Column:
@@ -141,8 +198,8 @@ def masked_source(name: Column, text: Column, hidden: Column) -> Column:
 
 
 def title(text: Column, longest: int = 60) -> Column:
-    """The first characters, with dots where more follow."""
-    return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit("..."))).otherwise(text)
+    """The first characters, trimmed and with dots where more follow."""
+    return F.when(F.length(text) > longest, F.concat(stripped(F.substring(text, 1, longest)), F.lit("..."))).otherwise(text)
 
 
 def unfenced(raw: Column) -> Column:

@@ -66,12 +66,10 @@ def canonical_edges(verdicts: DataFrame, rejected: DataFrame, least: float = 0.7
 
 
 def fully_rejected(rejected: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs vetoed as solution_of both ways and as part_of_unit; other relations don't matter."""
+    """(a, b), a < b: pairs vetoed as solution_of and as part_of_unit, each in either direction; other relations don't matter."""
     a, b = F.least("src", "dst"), F.greatest("src", "dst")
-    n = rejected.groupBy(a.alias("a"), b.alias("b")).agg(
-        F.max((F.col("relation") == "solution_of") & (F.col("src") < F.col("dst"))).alias("x"), F.max((F.col("relation") == "solution_of") & (F.col("src") > F.col("dst"))).alias("y"), F.max(F.col("relation") == "part_of_unit").alias("z")
-    )
-    return n.where("x and y and z").select("a", "b")
+    n = rejected.groupBy(a.alias("a"), b.alias("b")).agg(F.max(F.col("relation") == "solution_of").alias("x"), F.max(F.col("relation") == "part_of_unit").alias("y"))
+    return n.where("x and y").select("a", "b")
 
 
 def fresh_decisions(cache: DataFrame, docs: DataFrame) -> DataFrame:

@@ -17,6 +17,26 @@ def claim_oldest(rows: DataFrame, n: int, created: str = "created", key: str = "
     return rows.where("status = 'pending'").orderBy(created, key).limit(n)
 
 
+def claims(rows: DataFrame, claimants: list, n: int, created: str = "created", key: str = "doc_id") -> DataFrame:
+    """The oldest pending rows, `n` for each claimant in turn, with `claimant`: a row has one claimant at most."""
+    first = claim_oldest(rows, n * len(claimants), created, key)
+    place = F.row_number().over(Window.orderBy(created, key)) - 1  # over the few claimed rows alone
+    return first.withColumn("claimant", F.element_at(F.array(*map(F.lit, claimants)), (F.floor(place / n) + 1).cast("int")))
+
+
+def claimed(rows: DataFrame, taken: DataFrame, now: Column, key: str = "doc_id") -> DataFrame:
+    """rows after a claim: what was taken is in work since now."""
+    hit = taken.select(key, F.lit(True).alias("_hit"))
+    out = rows.join(hit, key, "left").withColumns({"status": F.when(F.col("_hit"), "processing").otherwise(F.col("status")), "started": F.when(F.col("_hit"), now).otherwise(F.col("started"))})
+    return out.select(*rows.columns)
+
+
+def take_due(queue: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(what is due and leaves the queue, what stays); a row without a time stays."""
+    due = F.coalesce(F.col("due") <= now, F.lit(False))
+    return queue.where(due), queue.where(~due)
+
+
 def due_list(rows: DataFrame, at: str, before: Column, key: str) -> DataFrame:
     """Rows never done, then those last done before a time, oldest first."""
     return rows.where(F.col(at).isNull() | (F.col(at) < before)).orderBy(F.asc_nulls_first(at), key)

@@ -49,14 +49,20 @@ def merged_members(members: DataFrame, source, target) -> DataFrame:
 
 
 def upload_actions(uploads: DataFrame, docs: DataFrame) -> DataFrame:
-    """uploads(upload_id, source_ref, content_hash) -> (upload_id, action, doc_id): reuse a document with the reference and hash or with the hash; replace one with the reference and another hash, which becomes an orphan; else insert. The smallest id of several."""
-    live = docs.where("not orphaned")
-    by_ref = live.where("source_ref is not null").groupBy("source_ref").agg(F.min(F.struct("doc_id", "content_hash")).alias("r"))
-    by_hash = live.groupBy("content_hash").agg(F.min("doc_id").alias("h"))
-    u = uploads.join(by_ref, "source_ref", "left").join(by_hash, "content_hash", "left")
-    same = F.col("r.content_hash") == F.col("content_hash")
-    action = F.when(F.col("r").isNotNull(), F.when(same, "reuse").otherwise("replace")).when(F.col("h").isNotNull(), "reuse").otherwise("insert")
-    return u.select("upload_id", action.alias("action"), F.when(F.col("r").isNotNull(), F.col("r.doc_id")).otherwise(F.col("h")).alias("doc_id"))
+    """uploads(upload_id, course_id, source_system, source_ref, content_hash) -> (upload_id, action, doc_id, orphaned_id).
+
+    A document of the course with the system, the reference and the hash is reused. One with
+    another hash becomes an orphan; then an active document of the course with the hash is
+    reused, else one is inserted (doc_id null). A null system or reference finds nothing; of
+    several documents the smallest id counts.
+    """
+    live, source = docs.where("not orphaned"), ["course_id", "source_system", "source_ref"]
+    by_ref = live.where("source_system is not null and source_ref is not null").groupBy(*source).agg(F.min(F.struct("doc_id", "content_hash")).alias("r"))
+    by_hash = live.groupBy("course_id", "content_hash").agg(F.min("doc_id").alias("h"))
+    u = uploads.join(by_ref, source, "left").join(by_hash, ["course_id", "content_hash"], "left")
+    same = F.coalesce(F.col("r.content_hash") == F.col("content_hash"), F.lit(False))
+    action = F.when(same | F.col("h").isNotNull(), "reuse").otherwise("insert")
+    return u.select("upload_id", action.alias("action"), F.when(same, F.col("r.doc_id")).otherwise(F.col("h")).alias("doc_id"), F.when(~same, F.col("r.doc_id")).alias("orphaned_id"))
 
 
 def vanished(docs: DataFrame, keep: DataFrame) -> DataFrame:
@@ -134,9 +140,9 @@ def discovered(files: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def merge_suggestions(courses: DataFrame) -> DataFrame:
-    """courses(course_id, semester, code, name) -> (semester, code, members, n): courses of one semester and code, two at least; a null semester is one too."""
-    rows = courses.where("code is not null").groupBy("semester", "code").agg(F.array_sort(F.collect_list(F.struct("name", "course_id"))).alias("m"), F.count("*").alias("n"))
-    return rows.where("n >= 2").select("semester", "code", F.transform("m", lambda x: x["course_id"]).alias("members"), "n")
+    """courses(course_id, semester, core, code, name) -> (semester, core, members, n): courses of one semester and core of the code, two at least, by code, then name; a null semester is one too."""
+    rows = courses.where("core is not null").groupBy("semester", "core").agg(F.array_sort(F.collect_list(F.struct("code", "name", "course_id"))).alias("m"), F.count("*").alias("n"))
+    return rows.where("n >= 2").select("semester", "core", F.transform("m", lambda x: x["course_id"]).alias("members"), "n")
 
 
 def suggestion_state(courses: DataFrame, docs: DataFrame, latest: int = 3, stale_after: float = 24.0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .durable import cut
+from .durable import cut, written
 
 
 def terms(messages: DataFrame) -> DataFrame:
@@ -26,22 +26,21 @@ def candidates(posting: DataFrame) -> DataFrame:
 def popular(messages: DataFrame, most: int = 15) -> DataFrame:
     """(place, term, n): up to `most` topics, pairs first, then by conversations, then by term; a topic needs two conversations that no topic before it has.
 
-    Postings stay distributed: each round is a count and a top-1, and drops the chosen term's
-    conversations. Rounds don't exceed `most`.
+    Postings stay distributed and are written once: each round is a count without the chosen
+    terms' conversations and a top-1. Rounds don't exceed `most`.
     """
     posting = terms(messages)
-    posting = cut(posting.join(candidates(posting), "term"))
-    free, chosen = posting, []
-    order = [F.instr("term", " ") > 0, F.col("n"), F.col("term")]
+    posting = written(posting.join(candidates(posting), "term"), "postings")
+    chosen: list[tuple[int, str, int]] = []
     while len(chosen) < most:
+        taken = posting.where(F.col("term").isin([t for _, t, _ in chosen])).select("conv_id").distinct()
+        free = posting.join(taken, "conv_id", "left_anti") if chosen else posting
         live = free.groupBy("term", "n").agg(F.count("*").alias("left")).where(F.col("left") >= 2)
         # A term that was passed over before has lost conversations since, never gained some.
-        best = live.orderBy(order[0].desc(), order[1].desc(), order[2]).select("term", "n").first()
+        best = live.orderBy((F.instr("term", " ") > 0).desc(), F.desc("n"), "term").select("term", "n").first()
         if best is None:
             break
         chosen.append((len(chosen) + 1, best["term"], best["n"]))
-        taken = posting.where(F.col("term") == best["term"]).select("conv_id")
-        free = cut(free.join(taken, "conv_id", "left_anti"))
     return messages.sparkSession.createDataFrame(chosen, "place long, term string, n long")
 
 

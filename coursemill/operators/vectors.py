@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are held at a time while all vectors pass by.
-QUERY_BLOCK = 2048
+#: Queries that are held at a time while all vectors pass by, and those that are multiplied at once.
+QUERY_BLOCK, QUERY_PIECE = 16_384, 1024
 #: Documents of a course that a task multiplies with as many others, about.
 COURSE_BLOCK = 1024
 
@@ -61,36 +61,40 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None =
 
 
 def _best(rows: list, vectors: DataFrame, k: int, floor: float | None, skip_self: bool) -> DataFrame:
-    dims: dict[int, tuple] = {}
-    for dim in {len(r.v) for r in rows}:
+    pieces: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for dim in sorted({len(r.v) for r in rows}):
         own = [r for r in rows if len(r.v) == dim]
-        dims[dim] = np.array([r.q for r in own], np.int64), np.array([r.v for r in own], float)
+        ids, x = np.array([r.q for r in own], np.int64), np.array([r.v for r in own], float)
+        pieces += [(dim, ids[a : a + QUERY_PIECE], x[a : a + QUERY_PIECE]) for a in range(0, len(own), QUERY_PIECE)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = {d: (np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)) for d, (q, _) in dims.items()}
+        kept = [(np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)) for _, q, _ in pieces]
         for batch in batches:
             vec = batch.column(1).fill_null([])
             size = np.diff(vec.offsets.to_numpy())
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for d, (q, x) in dims.items():
+            for d in {d for d, _, _ in pieces}:
                 mine = np.flatnonzero(size == d)
                 for part in np.array_split(mine, max(1, len(mine) // 4096)):
                     if not len(part):
                         continue
                     y = vec.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                    s = x @ y.T
-                    s[~np.isfinite(s)] = -np.inf
-                    if floor is not None:
-                        s[s < floor] = -np.inf
-                    if skip_self:
-                        s[q[:, None] == ids[part][None, :]] = -np.inf
-                    score = np.concatenate([kept[d][0], s], axis=1)
-                    who = np.concatenate([kept[d][1], np.broadcast_to(ids[part], s.shape)], axis=1)
-                    order = np.lexsort((who, -score), axis=1)[:, :k]
-                    kept[d] = np.take_along_axis(score, order, 1), np.take_along_axis(who, order, 1)
-        for d, (score, who) in kept.items():
+                    for at, (dim, q, x) in enumerate(pieces):
+                        if dim != d:
+                            continue
+                        s = x @ y.T
+                        s[~np.isfinite(s)] = -np.inf
+                        if floor is not None:
+                            s[s < floor] = -np.inf
+                        if skip_self:
+                            s[q[:, None] == ids[part][None, :]] = -np.inf
+                        score = np.concatenate([kept[at][0], s], axis=1)
+                        who = np.concatenate([kept[at][1], np.broadcast_to(ids[part], s.shape)], axis=1)
+                        order = np.lexsort((who, -score), axis=1)[:, :k]
+                        kept[at] = np.take_along_axis(score, order, 1), np.take_along_axis(who, order, 1)
+        for (_, q, _), (score, who) in zip(pieces, kept, strict=True):
             r, c = np.nonzero(np.isfinite(score))
-            yield pa.RecordBatch.from_arrays([pa.array(dims[d][0][r]), pa.array(who[r, c]), pa.array(score[r, c])], ["q", "i", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(who[r, c]), pa.array(score[r, c])], ["q", "i", "score"])
 
     return vectors.mapInArrow(of, "q long, i long, score double")
 

@@ -15,6 +15,25 @@ def k6_claim_oldest(spark, d):
     return queues.claim_oldest(course_docs(spark, d), 5, "n_chars").select("doc_id")
 
 
+@query(
+    f"""WITH {COURSE_DOCS}, p AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS r FROM course_docs WHERE status = 'pending')
+  SELECT doc_id, (['a', 'b', 'c'])[(r - 1) % 15 // 5 + 1] AS claimant, CASE WHEN r <= 15 THEN 1 ELSE 2 END AS round FROM p WHERE r <= 30"""
+)
+def st4_claims(spark, d):
+    """Three claimants in two rounds: what one has claimed no other gets."""
+    rows = course_docs(spark, d).select("doc_id", "status", "n_chars").withColumn("started", F.lit(None).cast("long"))
+    one = queues.claims(rows, ["a", "b", "c"], 5, "n_chars")
+    two = queues.claims(queues.claimed(rows, one, F.lit(1).cast("long")), ["a", "b", "c"], 5, "n_chars")
+    return one.select("doc_id", "claimant", F.lit(1).alias("round")).unionByName(two.select("doc_id", "claimant", F.lit(2).alias("round")))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 8 <> 0 THEN c_custkey % 100 END AS due, coalesce(c_custkey % 8 <> 0 AND c_custkey % 100 <= 42, false) AS taken FROM customer")
+def st3_take_due(spark, d):
+    k = F.col("c_custkey")
+    taken, left = queues.take_due(table(spark, d, "customer").select("c_custkey", F.when(k % 8 != 0, k % 100).alias("due")), F.lit(42))
+    return taken.withColumn("taken", F.lit(True)).unionByName(left.withColumn("taken", F.lit(False)))
+
+
 DUE = "(SELECT s_suppkey, CASE WHEN s_suppkey % 6 <> 0 THEN s_suppkey * 37 % 100 END AS synced FROM supplier)"
 
 
@@ -154,9 +173,26 @@ def guard_turns(spark, d):
     return table(spark, d, "events").join(e, "event_id").select(F.col("user_id").alias("conv_id"), "turn", (F.col("event_type") == "error").alias("intent"), near.alias("near"), (F.col("event_id") % 3 == 0).alias("engaged"))
 
 
-@query()
+def latch_sql(turn: str) -> str:
+    """The guard folded over each user's events, the n-th of which is its n-th turn; `turn` is what a turn is called."""
+    return f"""WITH RECURSIVE t AS (SELECT user_id AS conv_id, row_number() OVER w AS i, {turn} AS turn, event_type = 'error' AS intent, CASE WHEN event_type = 'view' THEN [CAST(json_extract_string(props, '$.k') AS BIGINT) % 6] ELSE [] END AS near, event_id % 3 = 0 AS engaged FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  n AS (SELECT conv_id, i, unnest(near) AS doc FROM t), h AS (SELECT t.conv_id, t.i, doc FROM t JOIN n ON n.conv_id = t.conv_id AND n.i BETWEEN t.i - 4 AND t.i GROUP BY ALL HAVING count(*) >= 2), win AS (SELECT conv_id, i, list(doc ORDER BY doc) AS docs FROM h GROUP BY ALL),
+  s AS (SELECT t.*, coalesce(win.docs, []) AS won, t.intent OR win.docs IS NOT NULL AS flagged FROM t LEFT JOIN win USING (conv_id, i)),
+  f AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS turn, false AS active, false AS flagged, CAST([] AS BIGINT[]) AS docs, CAST(NULL AS BIGINT) AS lifted_at, '' AS events FROM (SELECT DISTINCT conv_id FROM t)
+    UNION ALL SELECT s.conv_id, s.i, s.turn, s.flagged OR (f.active AND NOT s.engaged), s.flagged, CASE WHEN s.flagged AND NOT f.active THEN CASE WHEN len(s.won) > 0 THEN s.won ELSE s.near END ELSE f.docs END, CASE WHEN s.flagged AND NOT f.active THEN NULL WHEN f.active AND s.engaged THEN s.turn ELSE f.lifted_at END,
+      array_to_string(list_filter([CASE WHEN s.intent THEN 'intent_detected' END, CASE WHEN f.active THEN CASE WHEN s.engaged THEN 'constraint_lifted' ELSE 'engagement_refused' END END,
+        CASE WHEN s.flagged AND NOT (f.active AND NOT s.engaged) THEN 'constraint_activated:' || CASE WHEN s.intent AND len(s.won) > 0 THEN 'intent_and_proximity' WHEN s.intent THEN 'intent' ELSE 'proximity' END END], lambda x: x IS NOT NULL), ',')
+    FROM f JOIN s ON s.conv_id = f.conv_id AND s.i = f.i + 1)
+  SELECT conv_id, turn, active, flagged, array_to_string(docs, ',') AS docs, lifted_at, events FROM f WHERE i > 0"""
+
+
+def latch_rows(states):
+    return states.withColumns({"docs": F.array_join(F.transform("docs", lambda x: x.cast("string")), ","), "events": F.array_join("events", ",")})
+
+
+@query(latch_sql("row_number() OVER w"))
 def w5_guard_latch(spark, d):
-    return guard.latch_by_conversation(guard_turns(spark, d))
+    return latch_rows(guard.latch_by_conversation(guard_turns(spark, d)))
 
 
 # Metrics --------------------------------------------------------------------------------

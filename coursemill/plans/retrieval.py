@@ -8,18 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, retrieval, vectors
-from .bindings import CHUNKS, KINDS, chunks, nth, table
+from ..functions import text
+from ..operators import graph, ingest, retrieval, vectors
+from ..operators.durable import shared_path
+from ..sources import tables
+from .bindings import CHUNKS, COURSE_DOCS, KINDS, chunks, course_docs, nth, table
 from .registry import query
+from .text import BARE, REPLIES, replies
 
-FLOOR, QUERIES_N, K = 0.2, 20, 10
+FLOOR, EACH, K = 0.2, 50, 10
 SIGNALS = "('assignment_brief', 'lab_brief', 'exam')"
 BUCKET_SQL = f"CASE WHEN kind IN ('sample_solution', 'unknown') THEN 'dropped' WHEN kind IN {SIGNALS} THEN 'signal' WHEN NOT classified THEN 'dropped' ELSE 'context' END"
-FOUND = f"""{CHUNKS}, q AS (SELECT vec_id AS query_id, v FROM chunks WHERE vec_id < {QUERIES_N}),
+FOUND = f"""{CHUNKS}, q AS (SELECT vec_id AS query_id, v FROM chunks WHERE vec_id % {EACH} = 0),
   hits AS (SELECT query_id, c.vec_id, c.doc_id, c.filename, {BUCKET_SQL} AS bucket, list_dot_product(q.v, c.v) AS score FROM q JOIN chunks c ON c.vec_id <> q.query_id WHERE NOT c.orphaned),
   found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM hits WHERE score >= {FLOOR}) WHERE rank <= {K})"""
-#: Documents of the linker: each vector is one, five courses.
-LINKED = f"""ldocs AS (SELECT vec_id AS doc_id, vec_id % 5 AS course_id, CASE WHEN vec_id % 19 = 0 THEN NULL ELSE ([{", ".join(f"'{k}'" for k in KINDS)}])[label + 1] END AS kind, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+#: Documents of the linker: each vector is one, 200 in a course, so the linker's bound of 300 leaves none out.
+LINKED = f"""ldocs AS (SELECT vec_id AS doc_id, vec_id // 200 AS course_id, CASE WHEN vec_id % 19 = 0 THEN NULL ELSE ([{", ".join(f"'{k}'" for k in KINDS)}])[label + 1] END AS kind, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
   eligible AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY doc_id) AS place FROM ldocs WHERE kind IS NOT NULL) WHERE place <= 300),
   sims AS (SELECT a.doc_id AS a, b.doc_id AS b, list_dot_product(a.v, b.v) AS s FROM eligible a JOIN eligible b ON a.course_id = b.course_id AND a.doc_id <> b.doc_id),
   pairs AS (SELECT least(a, b) AS a_id, greatest(a, b) AS b_id, max(s) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM sims WHERE s >= {FLOOR}) WHERE r <= 4 GROUP BY 1, 2)"""
@@ -35,7 +39,7 @@ EDGES = f"""{VERDICTS}, sided AS (SELECT *, regexp_replace(relation, '_(ab|ba)$'
 
 def found(spark, d, k=K):
     c = chunks(spark, d)
-    q = c.where(F.col("vec_id") < QUERIES_N).select(F.col("vec_id").alias("query_id"), "v")
+    q = c.where(F.col("vec_id") % EACH == 0).select(F.col("vec_id").alias("query_id"), "v")
     best = vectors.top_k(q, c.where("not orphaned"), k, FLOOR, skip_self=True)
     facts = c.select("vec_id", "doc_id", "filename", retrieval.bucket(F.col("kind"), F.col("classified"), F.lit(True)).alias("bucket"))
     return best.join(facts, "vec_id")
@@ -43,7 +47,7 @@ def found(spark, d, k=K):
 
 def linked(spark, d):
     i = F.col("vec_id")
-    return table(spark, d, "embeddings").select(i.alias("doc_id"), (i % 5).alias("course_id"), F.when(i % 19 != 0, nth(KINDS, F.col("label"))).alias("kind"), F.col("embedding").cast("array<double>").alias("v"))
+    return table(spark, d, "embeddings").select(i.alias("doc_id"), F.expr("vec_id div 200").alias("course_id"), F.when(i % 19 != 0, nth(KINDS, F.col("label"))).alias("kind"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 def pairs(spark, d):
@@ -154,7 +158,7 @@ def st16_adversarial_filter(spark, d):
     return retrieval.passed(c, c.withColumn("adversarial", F.col("vec_id") % 7 == 2).withColumn("took_ms", (F.col("vec_id") * 11) % 1000))
 
 
-PARTNERS = f"""{EDGES}, found AS (SELECT b AS doc_id, a AS query_id, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM sims WHERE a < 40 AND s >= {FLOOR}),
+PARTNERS = f"""{EDGES}, found AS (SELECT b AS doc_id, a AS query_id, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM sims WHERE a % {EACH} = 0 AND s >= {FLOOR}),
   src AS (SELECT query_id, doc_id, rank AS place FROM found WHERE rank <= 3), ways AS (SELECT src, dst FROM edges WHERE NOT rejected AND relation IN ('part_of_unit', 'applied_in') UNION SELECT dst, src FROM edges WHERE NOT rejected AND relation = 'part_of_unit'),
   p AS (SELECT query_id, dst AS partner, min(place) AS near FROM src JOIN ways ON ways.src = src.doc_id GROUP BY 1, 2),
   fresh AS (SELECT * FROM p WHERE partner % 11 <> 4 AND NOT EXISTS (SELECT 1 FROM found f WHERE f.query_id = p.query_id AND f.doc_id = p.partner AND f.rank <= 8))"""
@@ -164,8 +168,8 @@ PARTNERS = f"""{EDGES}, found AS (SELECT b AS doc_id, a AS query_id, row_number(
 def c4_graph_expansion(spark, d):
     """Partners, one hop from the first documents of each query's context; here the context is documents of its course."""
     docs = linked(spark, d).where("kind is not null")
-    q = docs.where("doc_id < 40").select("course_id", F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
-    both = docs.join(F.broadcast(q), "course_id").where("doc_id <> query_id").select("query_id", "doc_id", vectors.cosine(F.col("q"), F.col("v")).alias("score")).where(F.col("score") >= FLOOR)
+    q = docs.where(F.col("doc_id") % EACH == 0).select("course_id", F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    both = docs.join(q, "course_id").where("doc_id <> query_id").select("query_id", "doc_id", vectors.cosine(F.col("q"), F.col("v")).alias("score")).where(F.col("score") >= FLOOR)
     from ..operators.review import top_by
 
     ctx = top_by(both, ["query_id"], [F.desc("score"), "doc_id"], 8).withColumn("bucket", F.lit("context"))
@@ -185,7 +189,7 @@ def c5_linker(spark, d):
     """Candidate pairs, near copies and vetoed pairs dropped, and who decides on each: a rule, the cache or the model."""
     v = verdicts(spark, d).where("similarity < 0.45")
     veto = v.where("(a_id + b_id) % 5 = 0 and a_id % 2 = 0").select("a_id", "b_id")
-    ways = [("a_id", "b_id", "solution_of"), ("b_id", "a_id", "solution_of"), ("a_id", "b_id", "part_of_unit")]
+    ways = [("b_id", "a_id", "solution_of"), ("a_id", "b_id", "part_of_unit")]
     rejected = veto.select(F.explode(F.array(*[F.struct(F.col(s).alias("src"), F.col(t).alias("dst"), F.lit(r).alias("relation")) for s, t, r in ways])).alias("r")).select("r.*")
     gone = graph.fully_rejected(rejected).toDF("a_id", "b_id")
     v = v.join(gone, ["a_id", "b_id"], "left_anti")
@@ -197,16 +201,15 @@ def c5_linker(spark, d):
     return v.select("a_id", "b_id", F.when(auto, "none").otherwise(F.col("relation")).alias("relation"), F.when(auto, "auto").when(F.col("cached") & (F.col("b_id") > 0), "cache").otherwise("model").alias("decided_by"))
 
 
-@query(f"WITH {LINKED} SELECT a_id, b_id FROM pairs WHERE (a_id + b_id) % 3 = 0")
+@query(f"WITH {LINKED} SELECT a_id, b_id FROM pairs WHERE (a_id + b_id) % 4 < 2")
 def c7_fully_rejected(spark, d):
+    """Pairs with a veto of both relations, in one direction or the other; the rest lack one, or have vetoes that don't count."""
     p = pairs(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    full = p.where("(src + dst) % 3 = 0")
-    back = full.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    r = lambda df, name: df.withColumn("relation", F.lit(name))
-    # The other pairs lack one of the three vetoes, or have vetoes that don't count.
-    other = p.where("(src + dst) % 3 <> 0")
-    every = r(full, "solution_of").unionByName(r(back, "solution_of")).unionByName(r(back, "part_of_unit")).unionByName(r(other, "solution_of")).unionByName(r(other, "part_of_unit")).unionByName(r(other, "applied_in"))
-    return graph.fully_rejected(every).toDF("a_id", "b_id")
+    kind = (F.col("src") + F.col("dst")) % 4
+    veto = lambda s, t, name: F.struct(F.col(s).alias("src"), F.col(t).alias("dst"), F.lit(name).alias("relation"))
+    rows = F.when(kind == 0, F.array(veto("src", "dst", "solution_of"), veto("dst", "src", "part_of_unit"))).when(kind == 1, F.array(veto("dst", "src", "solution_of"), veto("src", "dst", "part_of_unit")))
+    rows = rows.when(kind == 2, F.array(veto("src", "dst", "solution_of"), veto("dst", "src", "solution_of"))).otherwise(F.array(veto("src", "dst", "part_of_unit"), veto("src", "dst", "applied_in")))
+    return graph.fully_rejected(p.select(F.explode(rows).alias("r")).select("r.*")).toDF("a_id", "b_id")
 
 
 @query(f"WITH {EDGES} SELECT src, dst, relation, rejected OR ((src * dst) % 5 = 0 AND relation = 'part_of_unit') AS rejected FROM edges WHERE NOT (rejected AND dst % 7 = 0)")
@@ -250,7 +253,7 @@ def p22_adjacency(spark, d):
 @query(
     f"""WITH {EDGES}, st AS (SELECT DISTINCT doc_id, course_id FROM ldocs), n AS (SELECT course_id, count(*) AS nodes FROM ldocs GROUP BY 1), e AS (SELECT course_id, count(*) AS edges FROM edges JOIN ldocs ON doc_id = src GROUP BY 1),
   stale AS (SELECT course_id, count(*) AS stale FROM verdicts JOIN ldocs ON doc_id = a_id WHERE (a_id + b_id) % 4 <> 1 GROUP BY 1)
-  SELECT n.course_id, nodes, coalesce(edges, 0) AS edges, coalesce(stale, 0) AS stale, n.course_id = 3 OR coalesce(stale, 0) > 0 AS pending FROM n LEFT JOIN e USING (course_id) LEFT JOIN stale USING (course_id)"""
+  SELECT n.course_id, nodes, coalesce(edges, 0) AS edges, coalesce(stale, 0) AS stale, n.course_id = 1 OR coalesce(stale, 0) > 0 AS pending FROM n LEFT JOIN e USING (course_id) LEFT JOIN stale USING (course_id)"""
 )
 def c14_graph_view(spark, d):
     """Nodes, edges and cached decisions that no longer hold by course; pending if a relink is queued or something is stale (j9)."""
@@ -262,17 +265,48 @@ def c14_graph_view(spark, d):
     s = graph.stale_decisions(cache, stamp).join(course, F.col("a_id") == F.col("doc_id")).groupBy("course_id").agg(F.count("*").alias("stale"))
     out = docs.groupBy("course_id").agg(F.count("*").alias("nodes")).join(e, "course_id", "left").join(s, "course_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("course_id", "nodes", zero("edges"), zero("stale"), ((F.col("course_id") == 3) | (F.coalesce("stale", F.lit(0)) > 0)).alias("pending"))
+    return out.select("course_id", "nodes", zero("edges"), zero("stale"), ((F.col("course_id") == 1) | (F.coalesce("stale", F.lit(0)) > 0)).alias("pending"))
 
 
-@query(f"WITH {CHUNKS} SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) AS rank FROM chunks q JOIN chunks c ON q.vec_id < 5) WHERE rank <= 20")
+@query(f"WITH {CHUNKS} SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) AS rank FROM chunks q JOIN chunks c ON q.vec_id % {EACH} = 0) WHERE rank <= 20")
 def c15_chunk_search(spark, d):
     """Top chunks without threshold or reranking."""
     c = chunks(spark, d)
-    return vectors.top_k(c.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "v"), c, 20).select("query_id", "vec_id", "rank")
+    return vectors.top_k(c.where(F.col("vec_id") % EACH == 0).select(F.col("vec_id").alias("query_id"), "v"), c, 20).select("query_id", "vec_id", "rank")
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, chunk_index, vec_id FROM (SELECT doc_id, chunk_index // 2 AS chunk_index, vec_id, row_number() OVER (PARTITION BY doc_id, chunk_index // 2 ORDER BY vec_id DESC) AS r FROM chunks) WHERE r = 1")
 def s10_scroll_by_document(spark, d):
     c = chunks(spark, d).select("doc_id", F.expr("chunk_index div 2").alias("chunk_index"), "vec_id")
     return retrieval.scrolled(c, version="vec_id").select("doc_id", "chunk_index", "vec_id").orderBy("doc_id", "chunk_index")
+
+
+POOL = "x AS (SELECT doc_id, unnest(range(1, 65)) AS i, v FROM {0}), m AS (SELECT doc_id, i, avg(v[i]) AS x FROM x GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM m GROUP BY doc_id), pool AS (SELECT doc_id, round(max(x / norm), 6) + 0 AS largest FROM m JOIN n USING (doc_id) GROUP BY doc_id)"
+
+
+@query(
+    f"""WITH {COURSE_DOCS}, {CHUNKS}, {REPLIES}, p AS (SELECT doc_id, CASE WHEN json_valid({BARE}) THEN json_extract_string({BARE}, '$.kind') END AS k, CASE WHEN json_valid({BARE}) THEN json_extract_string({BARE}, '$.confidence') END AS c FROM replies),
+  d AS (SELECT doc_id, doc_id % 23 = 0 AS blank, CASE WHEN doc_id % 3 <> 0 AND k IN {KINDS} AND c IS NOT NULL THEN k ELSE kind END AS kind FROM course_docs JOIN p USING (doc_id)), live AS (SELECT c.doc_id, vec_id, v FROM chunks c JOIN d USING (doc_id) WHERE NOT blank), {POOL.format('live')},
+  pts AS (SELECT doc_id, count(*) AS points FROM live JOIN d USING (doc_id) WHERE kind IS DISTINCT FROM 'sample_solution' GROUP BY 1), l AS (SELECT doc_id, count(*) AS chunks FROM live GROUP BY 1)
+  SELECT d.doc_id, d.kind, CASE WHEN blank OR l.chunks > 0 THEN 'ready' ELSE 'failed' END AS status, coalesce(l.chunks, 0) AS chunks, coalesce(points, 0) AS points, largest FROM d LEFT JOIN l USING (doc_id) LEFT JOIN pts USING (doc_id) LEFT JOIN pool USING (doc_id)"""
+)
+def c1_pool_and_upsert(spark, d):
+    """The end of an ingest: classifier's verdicts, points, pooled vectors and status; `c1_ingest` cuts the chunks."""
+    i = F.col("doc_id")
+    verdict = replies(spark, d).select("doc_id", text.verdict(F.col("raw"), KINDS)["kind"].alias("verdict"))
+    docs = course_docs(spark, d).join(verdict, "doc_id").select("doc_id", (i % 23 == 0).alias("blank"), "kind", (i % 3 == 0).alias("locked"), "verdict")
+    documents, points = ingest.ingested(docs, chunks(spark, d).select("doc_id", "chunk_index", "v"))
+    n = points.groupBy("doc_id").agg(F.count("*").alias("points"))
+    return documents.join(n, "doc_id", "left").select("doc_id", "kind", "status", "chunks", F.coalesce("points", F.lit(0)).alias("points"), (F.round(F.array_max("pooled"), 6) + 0).alias("largest"))
+
+
+@query(
+    f"""WITH {CHUNKS} SELECT 'course_' || doc_id % 4 || CASE WHEN doc_id % 3 > 1 THEN '_v' || doc_id % 3 ELSE '' END AS collection, count(*) AS points, CAST(sum(vec_id) AS BIGINT) AS ids, round(sum(v[1]), 6) AS first FROM chunks WHERE kind IS DISTINCT FROM 'sample_solution' GROUP BY 1"""
+)
+def s11_vector_sink(spark, d):
+    """Points appended in two batches and read back, a partition for each collection and version."""
+    path, c = shared_path(spark, "points"), chunks(spark, d).where("kind is distinct from 'sample_solution'").select("doc_id", "vec_id", "v")
+    for odd in (0, 1):
+        tables.append_points(c.where(F.col("vec_id") % 2 == odd), (F.col("doc_id") % 4).cast("string"), F.col("doc_id") % 3, path)
+    back = spark.read.schema("doc_id long, vec_id long, v array<double>, collection string").parquet(path)
+    return back.groupBy("collection").agg(F.count("*").alias("points"), F.sum("vec_id").alias("ids"), F.round(F.sum(F.get("v", F.lit(0))), 6).alias("first"))

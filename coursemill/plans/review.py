@@ -75,13 +75,13 @@ def a20_dashboard(spark, d):
 @query(
     f"""WITH {OPEN}, {FLAGS}, o AS (SELECT conv_id, count(*) AS unaddressed_down FROM open_down GROUP BY conv_id), x AS (SELECT DISTINCT conv_id FROM flags WHERE flag = 'extraction_attempt')
   SELECT c.conv_id, x.conv_id IS NOT NULL AS extraction, coalesce(unaddressed_down, 0) AS unaddressed_down FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN o USING (conv_id) LEFT JOIN x ON x.conv_id = c.conv_id
-  ORDER BY extraction DESC, unaddressed_down DESC, c.conv_id LIMIT 50"""
+  ORDER BY extraction DESC, unaddressed_down DESC, c.conv_id"""
 )
 def k9_review_order(spark, d):
     extraction = flags(spark, d).where("flag = 'extraction_attempt'").select("conv_id", F.lit(True).alias("extraction")).distinct()
     n = review.unaddressed(feedback(spark, d), notes(spark, d)).groupBy("conv_id").agg(F.count("*").alias("unaddressed_down"))
     out = conversation_ids(spark, d).join(n, "conv_id", "left").join(extraction, "conv_id", "left").select("conv_id", F.coalesce("extraction", F.lit(False)).alias("extraction"), F.coalesce("unaddressed_down", F.lit(0)).alias("unaddressed_down"))
-    return out.orderBy(F.desc("extraction"), F.desc("unaddressed_down"), "conv_id").limit(50)
+    return out.orderBy(F.desc("extraction"), F.desc("unaddressed_down"), "conv_id")
 
 
 @query(f"WITH {COURSE_DOCS} SELECT s.status, count(doc_id) AS n FROM (SELECT unnest([{', '.join(repr(s) for s in STATUSES)}]) AS status) s LEFT JOIN course_docs USING (status) GROUP BY s.status")

@@ -10,7 +10,7 @@ from ..operators import review, rules, sync
 from ..sources import tables
 from .bindings import COURSE_DOCS, course_docs, nth, table
 from .registry import query
-from .text import CODE_LIST, CODES
+from .text import CODE_LIST, CORES, listed
 
 ROLES = ("student", "ta", "teacher")
 RULES = [(1, "teacher", True), (2, "ta", True), (3, "teacher", False), (4, "student", True), (5, "teacher", True)]
@@ -123,21 +123,21 @@ def j1_members_with_names(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
 
 
-@query("SELECT DISTINCT n_nationkey, n_name FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 3 <> 0 AND c_custkey < 60 WHERE n_nationkey % 7 = 2 OR c_custkey IS NOT NULL")
+@query("SELECT DISTINCT n_nationkey, n_name FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 AND c_mktsegment = 'BUILDING' WHERE n_nationkey % 7 = 2 OR c_custkey IS NOT NULL")
 def j3_own_or_taught_courses(spark, d):
     """Courses that one owns, or teaches or assists in."""
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
-    taught = table(spark, d, "customer").where("c_custkey % 3 <> 0 and c_custkey < 60").select(F.col("c_nationkey").alias("n_nationkey"), F.lit(True).alias("taught")).distinct()
+    taught = table(spark, d, "customer").where("c_acctbal > 9000 and c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("n_nationkey"), F.lit(True).alias("taught")).distinct()
     return n.join(taught, "n_nationkey", "left").where("n_nationkey % 7 = 2 or taught").select(F.col("n_nationkey"), "n_name")
 
 
 @query(
-    """SELECT c_mktsegment, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS names, count(DISTINCT n_regionkey) AS regions, min(c_custkey) AS first FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
-  WHERE c_custkey % 50 = 7 GROUP BY c_mktsegment HAVING count(DISTINCT n_regionkey) > 1"""
+    """SELECT band, c_mktsegment, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS names, count(DISTINCT n_regionkey) AS regions, min(c_custkey) AS first FROM (SELECT *, CAST(floor(c_acctbal / 20) AS BIGINT) AS band FROM customer) JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+  GROUP BY ALL HAVING count(DISTINCT n_regionkey) > 1"""
 )
 def j10_over_scoped(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 50 = 7").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    g = c.groupBy("c_mktsegment").agg(F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("names"), F.count_distinct("n_regionkey").alias("regions"), F.min("c_custkey").alias("first"))
+    c = table(spark, d, "customer").withColumn("band", F.floor(F.col("c_acctbal") / 20).cast("long")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    g = c.groupBy("band", "c_mktsegment").agg(F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("names"), F.count_distinct("n_regionkey").alias("regions"), F.min("c_custkey").alias("first"))
     return g.where("regions > 1")
 
 
@@ -185,18 +185,22 @@ def j15_move_unless_there(spark, d):
     return sync.move_unless_there(r, 3, 4, ["event_type", "k"])
 
 
-UPLOADS = f"""{COURSE_DOCS}, live AS (SELECT * FROM course_docs WHERE NOT orphaned), up AS (SELECT doc_id AS upload_id, CASE WHEN doc_id % 4 <> 3 THEN source_ref END AS source_ref, CASE doc_id % 4 WHEN 1 THEN sha256('new' || doc_id) WHEN 2 THEN sha256('x' || doc_id) ELSE content_hash END AS content_hash FROM course_docs WHERE doc_id % 3 = 0),
-  ref AS (SELECT source_ref, min(doc_id) AS doc_id, arg_min(content_hash, doc_id) AS h FROM live WHERE source_ref IS NOT NULL GROUP BY 1), hash AS (SELECT content_hash, min(doc_id) AS doc_id FROM live GROUP BY 1)"""
+UPLOADS = f"""{COURSE_DOCS}, live AS (SELECT * FROM course_docs WHERE NOT orphaned), up AS (SELECT doc_id AS upload_id, CASE WHEN doc_id % 9 = 4 THEN 'de' ELSE course_id END AS course_id, CASE doc_id % 7 WHEN 3 THEN 'elsewhere' WHEN 5 THEN NULL ELSE source_system END AS source_system, CASE WHEN doc_id % 4 <> 3 THEN source_ref END AS source_ref,
+    CASE doc_id % 4 WHEN 1 THEN sha256('new' || doc_id) WHEN 2 THEN coalesce((SELECT o.content_hash FROM course_docs o WHERE o.doc_id = c.doc_id + 20), 'x') ELSE content_hash END AS content_hash FROM course_docs c),
+  ref AS (SELECT course_id, source_system, source_ref, min(doc_id) AS doc_id, arg_min(content_hash, doc_id) AS h FROM live WHERE source_ref IS NOT NULL AND source_system IS NOT NULL GROUP BY 1, 2, 3), hash AS (SELECT course_id, content_hash, min(doc_id) AS doc_id FROM live GROUP BY 1, 2)"""
 
 
 @query(
-    f"""WITH {UPLOADS} SELECT upload_id, CASE WHEN r.doc_id IS NOT NULL THEN CASE WHEN r.h = u.content_hash THEN 'reuse' ELSE 'replace' END WHEN h.doc_id IS NOT NULL THEN 'reuse' ELSE 'insert' END AS action, coalesce(r.doc_id, h.doc_id) AS doc_id
-  FROM up u LEFT JOIN ref r USING (source_ref) LEFT JOIN hash h ON h.content_hash = u.content_hash"""
+    f"""WITH {UPLOADS} SELECT upload_id, CASE WHEN coalesce(r.h = u.content_hash, false) OR h.doc_id IS NOT NULL THEN 'reuse' ELSE 'insert' END AS action, CASE WHEN coalesce(r.h = u.content_hash, false) THEN r.doc_id ELSE h.doc_id END AS doc_id, CASE WHEN r.h <> u.content_hash THEN r.doc_id END AS orphaned_id
+  FROM up u LEFT JOIN ref r USING (course_id, source_system, source_ref) LEFT JOIN hash h ON h.course_id = u.course_id AND h.content_hash = u.content_hash"""
 )
 def c2_upload_dedup(spark, d):
+    """Uploads that repeat, edit or move documents: some name another course or system, some have the bytes of another document."""
     c, i = course_docs(spark, d), F.col("doc_id")
-    new = F.when(i % 4 == 1, F.sha2(F.concat(F.lit("new"), i.cast("string")), 256)).when(i % 4 == 2, F.sha2(F.concat(F.lit("x"), i.cast("string")), 256)).otherwise(F.col("content_hash"))
-    up = c.where(i % 3 == 0).select(i.alias("upload_id"), F.when(i % 4 != 3, F.col("source_ref")).alias("source_ref"), new.alias("content_hash"))
+    other = c.select((i - 20).alias("doc_id"), F.col("content_hash").alias("other"))
+    new = F.when(i % 4 == 1, F.sha2(F.concat(F.lit("new"), i.cast("string")), 256)).when(i % 4 == 2, F.coalesce("other", F.lit("x"))).otherwise(F.col("content_hash"))
+    system = F.when(i % 7 == 3, "elsewhere").when(i % 7 != 5, F.col("source_system"))
+    up = c.join(other, "doc_id", "left").select(i.alias("upload_id"), F.when(i % 9 == 4, "de").otherwise(F.col("course_id")).alias("course_id"), system.alias("source_system"), F.when(i % 4 != 3, F.col("source_ref")).alias("source_ref"), new.alias("content_hash"))
     return sync.upload_actions(up, c)
 
 
@@ -375,15 +379,16 @@ def s14_zipped_arrays(spark, d):
 
 
 @query(
-    f"""WITH c AS (SELECT o_orderkey AS course_id, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderpriority END AS semester, {CODES.replace('o_orderkey', 'o_custkey')} AS raw, o_orderkey % 100 AS name FROM orders WHERE o_orderkey < 400),
-  k AS (SELECT *, CASE raw WHEN 'DA[HT23]-ISP' THEN 'DA-ISP' WHEN 'AB CD (net)' THEN 'AB-CD' WHEN 'vt24-ht23' THEN 'VT24-HT23' WHEN 'IB-VT2' THEN 'IB' WHEN 'x dist 7' THEN 'X-7' WHEN 'P R-DIST' THEN 'P-R' END AS code FROM c)
-  SELECT semester, code, string_agg(CAST(course_id AS VARCHAR), ',' ORDER BY name, course_id) AS members, count(*) AS n FROM k WHERE code IS NOT NULL GROUP BY semester, code HAVING count(*) >= 2"""
+    f"""WITH c AS (SELECT o_orderkey AS course_id, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderpriority END AS semester, 'K' || o_custkey || ' ' || {listed(CODE_LIST, 'o_orderkey')} AS code, nullif('K' || o_custkey || '-' || {listed(tuple('' if c is None else 'AB' if c == 'S-AB' else c for c in CORES), 'o_orderkey')}, '') AS raw, o_orderkey % 3 AS name FROM orders),
+  k AS (SELECT *, regexp_replace(CASE WHEN code LIKE '%S-AB' THEN 'K' || split_part(substring(code, 2), ' ', 1) ELSE raw END, '-$', '') AS core FROM c)
+  SELECT semester, core, string_agg(CAST(course_id AS VARCHAR), ',' ORDER BY encode(code), name, course_id) AS members, count(*) AS n FROM k GROUP BY semester, core HAVING count(*) >= 2"""
 )
 def a24_merge_suggestions(spark, d):
+    """Courses of all orders; a code holds its customer, so groups stay small however many there are."""
     k = F.col("o_orderkey")
-    c = table(spark, d, "orders").where(k < 400).select(k.alias("course_id"), F.when(k % 10 != 0, F.col("o_orderpriority")).alias("semester"), T.course_code(nth(CODE_LIST, F.col("o_custkey") % 7)).alias("code"), (k % 100).alias("name"))
-    m = sync.merge_suggestions(c)
-    return m.select("semester", "code", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "n").orderBy(F.desc("n"), "code")
+    c = table(spark, d, "orders").select(k.alias("course_id"), F.when(k % 10 != 0, F.col("o_orderpriority")).alias("semester"), F.concat(F.lit("K"), F.col("o_custkey").cast("string"), F.lit(" "), nth(CODE_LIST, k % len(CODE_LIST))).alias("code"), (k % 3).alias("name"))
+    m = sync.merge_suggestions(c.withColumn("core", T.course_code(F.col("code"))))
+    return m.select("semester", "core", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "n").orderBy(F.desc("n"), "core")
 
 
 @query(

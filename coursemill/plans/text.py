@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import html
+import io
+import tarfile
+
 from pyspark.sql import functions as F
 
 from ..functions import chunker
 from ..functions import text as T
 from ..operators import retrieval, topics
+from ..operators.durable import shared_path
+from ..sources import archives
 from ..sources import text as sources
 from .bindings import COURSE_DOCS, KINDS, course_docs, nth, table
 from .registry import query
@@ -43,9 +49,19 @@ def s5_extension(spark, d):
     return course_docs(spark, d).select("doc_id", T.extension(F.col("filename")).alias("ext"))
 
 
-@query(f"WITH {COURSE_DOCS} SELECT filename, lower(coalesce(nullif(regexp_extract(filename, '\\.([^./\\\\]+)$', 1), ''), 'bin')) IN ('txt', 'md', 'gz') AS supported FROM course_docs")
+@query(f"WITH {COURSE_DOCS} SELECT filename, lower(coalesce(nullif(regexp_extract(filename, '\\.([^./\\\\]+)$', 1), ''), 'bin')) IN ('txt', 'md', 'rst', 'csv', 'tsv') AS supported FROM course_docs")
 def s2_supported_types(spark, d):
-    return course_docs(spark, d).select("filename", T.extension(F.col("filename")).isin("txt", "md", "gz").alias("supported"))
+    return course_docs(spark, d).select("filename", T.extension(F.col("filename")).isin(*sources.PLAIN).alias("supported"))
+
+
+@query("SELECT count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS characters, count(DISTINCT line) AS different FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)")
+def s2_text_files(spark, d):
+    """The documents written as .txt files, beside files that are no plain text, and read back."""
+    path = shared_path(spark, "texts")
+    table(spark, d, "documents").select("text").write.text(f"{path}/plain")
+    table(spark, d, "nation").select("n_name").write.option("compression", "gzip").text(f"{path}/other")
+    line = sources.text_files(spark, path).select(F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"))
+    return line.agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("characters"), F.count_distinct("line").alias("different"))
 
 
 @query()
@@ -68,12 +84,35 @@ def t2_boilerplate_lines(spark, d):
     return short.where(F.col("n") >= chunker.REPEATS).groupBy("doc_id").agg(F.count("*").alias("boilerplate"))
 
 
+LINES = "list_transform(string_split(regexp_replace(text, '\\n$', ''), chr(10)), lambda x: regexp_replace(x, '\\r$', ''))"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, {LINES} AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM l), t AS (SELECT *, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS t FROM e),
+  n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS n FROM t) SELECT doc_id, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE t = '' OR n < 3 OR strlen(t) >= 80), '')) AS text_hash FROM n GROUP BY doc_id"""
+)
+def t2_clean_text(spark, d):
+    c = chunker.cleaned_documents(table(spark, d, "documents").select("doc_id", "text"))
+    return c.select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
 @query("SELECT page_id, len(list_filter(list_transform(string_split(html, '</p>'), lambda p: trim(p, ' ' || chr(10))), lambda p: p <> '')) AS n FROM pages")
-def t3_paragraphs(spark, d):
+def t3_html_paragraphs(spark, d):
     parts = F.filter(F.transform(F.split("html", "</p>"), lambda p: F.btrim(p, F.lit(" \n"))), lambda p: p != "")
     return table(spark, d, "pages").select("page_id", F.size(parts).cast("long").alias("n"))
 
 
+SPREAD = "replace(replace(text, '. ', chr(10) || chr(10) || ' '), ', ', chr(10) || chr(10) || chr(10))"
+
+
+@query(f"SELECT doc_id, len(p) AS n, sha256(array_to_string(p, '|')) AS hash FROM (SELECT doc_id, list_filter(list_transform(string_split({SPREAD}, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)")
+def t3_paragraphs(spark, d):
+    """Paragraphs of the documents with blank lines in place of marks: two line breaks for one mark, three for another."""
+    text = F.replace(F.replace("text", F.lit(". "), F.lit("\n\n ")), F.lit(", "), F.lit("\n\n\n"))
+    p = table(spark, d, "documents").select("doc_id", T.paragraphs(text).alias("p"))
+    return p.select("doc_id", F.size("p").cast("long").alias("n"), F.sha2(F.array_join("p", "|"), 256).alias("hash"))
+
+
 @query("SELECT doc_id, sha256(text) AS content_hash, count(*) OVER (PARTITION BY sha256(text)) AS copies FROM documents")
 def t5_content_hash(spark, d):
     h = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
@@ -150,9 +189,9 @@ def t15_verdicts(spark, d):
     return v.select("doc_id", "v.kind", "v.confidence")
 
 
-@query("SELECT conv_id, turn, lower(regexp_replace(s, '^[^\\p{L}]+|[^\\p{L}]+$', '', 'g')) = 'yes' AS yes FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN ' **Yes**. ' WHEN 1 THEN 'yes and no' ELSE left(text, 3) END AS s FROM conversations)")
+@query("SELECT conv_id, turn, lower(regexp_replace(s, '^[^\\p{L}]+|[^\\p{L}]+$', '', 'g')) = 'yes' AS yes FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN ' **Yes**. ' WHEN 1 THEN 'yes and no' ELSE text END AS s FROM conversations)")
 def t16_yes(spark, d):
-    s = F.when(F.col("turn") % 3 == 0, " **Yes**. ").when(F.col("turn") % 3 == 1, "yes and no").otherwise(F.substring("text", 1, 3))
+    s = F.when(F.col("turn") % 3 == 0, " **Yes**. ").when(F.col("turn") % 3 == 1, "yes and no").otherwise(F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", T.yes(s).alias("yes"))
 
 
@@ -172,31 +211,50 @@ def t17_sentence_boundary(spark, d):
     return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", T.sentence_boundary(F.col("s")).alias("boundary"))
 
 
+HEADED = """h AS (SELECT conv_id, turn, side, list_filter(list_transform(list_filter(list_transform(string_split(s, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),
+  lambda x: starts_with(x, '#') OR (starts_with(x, '**') AND suffix(x, '**') AND strlen(x) > 4)), lambda x: trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g'))), lambda x: x <> '') AS h FROM s)"""
+
+
 @query(
-    """WITH s AS (SELECT conv_id, turn, '# ' || left(text, 30) || chr(10) || 'text' || chr(10) || '**Key Points: ' || turn || '**' AS s FROM conversations WHERE NOT contains(left(text, 30), chr(10))),
-  h AS (SELECT conv_id, turn, list_transform(regexp_extract_all(s, '(?m)^(?:#+\\s+(.+)|\\*\\*(.+)\\*\\*)\\s*$', 0), lambda x: trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS h FROM s)
-  SELECT conv_id, turn, array_to_string(list_filter(h, lambda x: len(string_split(x, ' ')) >= 2), '|') AS headings FROM h"""
+    f"""WITH s AS (SELECT conv_id, turn, 'new' AS side, '#Part ' || conv_id % 3 || chr(10) || text || chr(10) || '   ##  Key: Points!' || chr(10) || '**Sum**' || chr(10) || '** Next Steps ' || turn % 2 || '**  ' || chr(10) || '****' AS s FROM conversations
+    UNION ALL SELECT conv_id, turn, 'prior', text || chr(10) || '**part 1**' || chr(10) || '# Sum' || chr(10) || '###next -- steps 1' || chr(10) || 'Key points' FROM conversations), {HEADED}
+  SELECT n.conv_id, n.turn, array_to_string(n.h, '|') AS headings, list_filter(n.h, lambda x: contains(x, ' ') AND list_contains(p.h, x))[1] AS repeated FROM h n JOIN h p ON p.conv_id = n.conv_id AND p.turn = n.turn AND p.side = 'prior' WHERE n.side = 'new'"""
 )
 def t18_headings(spark, d):
-    head = F.substring("text", 1, 30)
-    s = F.concat(F.lit("# "), head, F.lit("\ntext\n**Key Points: "), F.col("turn").cast("string"), F.lit("**"))
-    rows = table(spark, d, "conversations").where(~head.contains("\n")).select("conv_id", "turn", s.alias("s"))
-    return rows.select("conv_id", "turn", F.array_join(T.headings(F.col("s")), "|").alias("headings"))
+    """Headings of a text, and the first of them that an earlier text had."""
+    say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    new = say("#Part ", (F.col("conv_id") % 3).cast("string"), "\n", F.col("text"), "\n   ##  Key: Points!\n**Sum**\n** Next Steps ", (F.col("turn") % 2).cast("string"), "**  \n****")
+    prior = say(F.col("text"), "\n**part 1**\n# Sum\n###next -- steps 1\nKey points")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", new.alias("new"), prior.alias("prior"))
+    return rows.select("conv_id", "turn", F.array_join(T.headings(F.col("new")), "|").alias("headings"), T.heading_repeat(F.col("new"), F.col("prior")).alias("repeated"))
 
 
-@query("SELECT doc_id, length(trim(right(text, 150))) >= 75 AND contains(CASE WHEN doc_id % 2 = 0 THEN text ELSE left(text, 400) END, trim(right(text, 150))) AS repeats FROM documents")
+#: The shortest end of 150 bytes or more, in characters.
+END = "list_filter(range(1, 151), lambda k: strlen(right(new, k)) >= 150)[1]"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || repeat(' ', CAST(doc_id % 100 AS INTEGER)) WHEN 2 THEN left(text, 80) ELSE left(text, 150) END AS new, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN left(text, length(text) // 2) ELSE text || '.' || text END AS prior FROM documents),
+  e AS (SELECT *, {END} AS k FROM s), x AS (SELECT *, regexp_replace(right(new, k), '^\\s+|\\s+$', '', 'g') AS x FROM e)
+  SELECT doc_id, CASE WHEN k IS NOT NULL AND strlen(x) >= 75 AND contains(prior, x) THEN strlen(new) - strlen(right(new, k)) END AS repeats_from FROM x"""
+)
 def t19_tail_repeats(spark, d):
-    prior = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 400))
-    return table(spark, d, "documents").select("doc_id", T.tail_repeats(F.col("text"), prior).alias("repeats"))
+    i, t = F.col("doc_id"), F.col("text")
+    new = F.when(i % 4 == 0, t).when(i % 4 == 1, F.concat(t, F.repeat(F.lit(" "), (i % 100).cast("int")))).when(i % 4 == 2, F.substring(t, 1, 80)).otherwise(F.substring(t, 1, 150))
+    prior = F.when(i % 3 == 0, t).when(i % 3 == 1, F.substring(t, F.lit(1), F.expr("length(text) div 2").cast("int"))).otherwise(F.concat(t, F.lit("."), t))
+    rows = table(spark, d, "documents").select("doc_id", new.alias("new"), prior.alias("prior"))
+    return rows.select("doc_id", T.tail_repeat(F.col("new"), F.col("prior")).cast("long").alias("repeats_from"))
 
 
 @query(
-    """SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(s, '\\[#?([0-9]+)\\]|\\(#([0-9]+)\\)|【#?([0-9]+)】', 0), lambda m: regexp_extract(m, '[0-9]+')), ',') AS cited
-  FROM (SELECT conv_id, turn, 'see [' || turn || '], (#' || conv_id || ') and 【#7】 but not (3)' AS s FROM conversations)"""
+    """SELECT conv_id, turn, array_to_string(list_filter([turn, conv_id, 7, CASE conv_id % 5 WHEN 1 THEN 1 WHEN 2 THEN 3 END, 1], lambda x: x IS NOT NULL), ',') AS cited FROM conversations"""
 )
 def t20_citations(spark, d):
-    s = F.concat(F.lit("see ["), F.col("turn").cast("string"), F.lit("], (#"), F.col("conv_id").cast("string"), F.lit(") and 【#7】 but not (3)"))
-    found = F.transform(T.citation_numbers(s), lambda x: x.cast("string"))
+    """Numbers cited in brackets of several kinds, and files by name; of two sources of one name the first counts."""
+    say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    s = say("see [", F.col("turn").cast("string"), "], 〔#", F.col("conv_id").cast("string"), "), 〔#", F.col("conv_id").cast("string"), "】, (#9) and [#7】 but not (3), 【File_", (F.col("conv_id") % 5).cast("string"), ".PDF】, [some prose], [ file_1.pdf ]")
+    chunks = F.array(*map(F.lit, ("[Source: file_1.pdf]\nText.", "no header", "[Source: FILE_2.pdf]", "[Source: file_1.pdf]\nMore.", "[Source: file_3.pdf] not a header")))
+    found = F.transform(T.citation_numbers(s, chunks), lambda x: x.cast("string"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("cited"))
 
 
@@ -206,9 +264,9 @@ def t21_source_header(spark, d):
     return c.select("doc_id", "shown", F.coalesce(T.source_header(F.col("shown")), F.col("filename")).alias("source"))
 
 
-@query("SELECT page_id, left(coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'untitled'), 120) AS slug FROM pages")
+@query("SELECT doc_id, left(coalesce(nullif(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'untitled'), 120) AS slug FROM documents")
 def t22_slug(spark, d):
-    return table(spark, d, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT c_custkey, TRY_CAST(nullif(regexp_extract(s, '([0-9]+)$', 1), '') AS BIGINT) AS n FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name || 'x' ELSE c_name END AS s FROM customer)")
@@ -272,16 +330,18 @@ def t29_pseudonyms(spark, d):
     return topics.pseudonyms(table(spark, d, "customer").select(F.lower("c_name").alias("name")), FIRST, SECOND, "salt")
 
 
-CODES = "(['DA[HT23]-ISP', 'AB CD (net)', 'vt24-ht23', 'IB-VT2', 'x dist 7', '[all]', 'P R-DIST'])[CAST(o_orderkey % 7 AS INTEGER) + 1]"
-CODE_LIST = ("DA[HT23]-ISP", "AB CD (net)", "vt24-ht23", "IB-VT2", "x dist 7", "[all]", "P R-DIST")
+CODE_LIST = ("MAR-ALGO", "NETSEC-DIST", "LOGIC (AB)", "LOGIC-S", "IB-VT2", "a (b [c) d] e", "x{y]z", "open (rest", "close) more", "S-AB", "(all)", "åö hi 7", "DA[HT23]-ISP")
+#: What is left of each, by hand; null for the one that is empty.
+CORES = ("ALGO", "NETSEC", "LOGIC", "LOGIC", "IB-VT2", "A-E", "XZ", "OPEN", "CLOSE-MORE", "S-AB", None, "ÅÖ-7", "DA-ISP")
 
 
-@query(
-    f"""WITH p AS (SELECT o_orderkey, list_filter(regexp_split_to_array(upper(regexp_replace({CODES}, '\\[[^\\]]*\\]|\\([^)]*\\)', ' ', 'g')), '[-\\s]+'), lambda x: x <> '') AS p FROM orders),
-  r AS (SELECT o_orderkey, p, list_filter(p, lambda x: NOT regexp_matches(x, '^([VH]T[0-9]*|DIST|CAMPUS)$')) AS r FROM p) SELECT o_orderkey, nullif(array_to_string(CASE WHEN len(r) > 0 THEN r ELSE p END, '-'), '') AS code FROM r"""
-)
+def listed(names: tuple, i: str) -> str:
+    return f"([{', '.join('NULL' if n is None else repr(n) for n in names)}])[CAST({i} % {len(names)} AS INTEGER) + 1]"
+
+
+@query(f"SELECT o_orderkey, {listed(CORES, 'o_orderkey')} AS code FROM orders")
 def t33_course_code(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", T.course_code(nth(CODE_LIST, F.col("o_orderkey") % 7)).alias("code"))
+    return table(spark, d, "orders").select("o_orderkey", T.course_code(nth(CODE_LIST, F.col("o_orderkey") % len(CODE_LIST))).alias("code"))
 
 
 LABELS = ("VT2024", " ht2023 ", "HT1999", "Spring", "vt20245", "HT2099")
@@ -323,7 +383,7 @@ def t37_tool_summary(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.tool_summary(m).alias("summary"))
 
 
-@query("SELECT conv_id, CASE WHEN length(t) > 60 THEN left(t, 60) || '...' ELSE t END AS title FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)")
+@query("SELECT conv_id, CASE WHEN length(t) > 60 THEN regexp_replace(left(t, 60), '^\\s+|\\s+$', '', 'g') || '...' ELSE t END AS title FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)")
 def w8_title(spark, d):
     first = users(spark, d).groupBy("conv_id").agg(F.min_by("text", "turn").alias("t"))
     return first.select("conv_id", T.title(F.col("t")).alias("title"))
@@ -369,3 +429,34 @@ def s13_collection_name(spark, d):
     from ..sources.tables import collection_name
 
     return course_docs(spark, d).select("doc_id", collection_name(F.col("course_id"), F.col("doc_id") % 3).alias("collection"))
+
+
+def packed(pdf):
+    """A backup of a few pages: two sections, of which the second is hidden, and an activity for each page."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        for name, body in backup_files(zip(pdf["page_id"].tolist(), pdf["url"], strict=True)):
+            info = tarfile.TarInfo(name)
+            info.size = len(body.encode())
+            tar.addfile(info, io.BytesIO(body.encode()))
+    return pdf.iloc[:1][["path"]].assign(content=[out.getvalue()])
+
+
+def backup_files(pages):
+    for k in (1, 2):
+        yield f"sections/section_{k}/section.xml", f'<section id="{k}"><visible>{2 - k}</visible></section>'
+    for i, url in pages:
+        date = f'{{"op":"&amp;","c":[{{"type":"date","d":"&gt;=","t":{i % 100}}}]}}' if i % 3 == 0 else "$@NULL@$"
+        yield f"activities/page_{i}/module.xml", f'<module id="{i}"><modulename>page</modulename><sectionid>{2 if i % 4 == 3 else 1}</sectionid><visible>{int(i % 5 != 0)}</visible><availability>{date}</availability></module>'
+        yield f"activities/page_{i}/page.xml", f'<activity id="{i}"><page id="{i}"><name>{html.escape(url)}</name><content>Body of {i}</content></page></activity>'
+
+
+@query(
+    """SELECT 'backup-' || page_id // 20 AS archive, 'activities/page_' || page_id AS folder, 'page' AS kind, left(coalesce(nullif(regexp_replace(regexp_replace(url, '[^\\p{L}\\p{N}_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'untitled'), 120) AS title, 'Body of ' || page_id AS text
+  FROM pages WHERE page_id % 5 <> 0 AND page_id % 4 <> 3 AND (page_id % 3 <> 0 OR page_id % 100 <= 50)"""
+)
+def s6_archives(spark, d):
+    """Activities that are visible at time 50 in backups of 20 pages each."""
+    pages = table(spark, d, "pages").select(F.concat(F.lit("backup-"), F.expr("page_id div 20").cast("string")).alias("path"), "page_id", "url")
+    files = pages.groupBy("path").applyInPandas(packed, "path string, content binary")
+    return archives.visible_items(archives.archive_rows(files), 50)

@@ -33,8 +33,8 @@ def _members(content: bytes) -> Iterator[tuple[str, ElementTree.Element]]:
                     continue
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, entry, tag, key, fields map): one row per section, activity module, activity body and file record of the archives under a folder."""
+def archive_rows(files: DataFrame) -> DataFrame:
+    """files(path, content) -> (archive, entry, tag, key, fields map): one row per section, activity module, activity body and file record of the archives."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -47,13 +47,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         rows.append((archive, name, node.tag, node.attrib.get("id"), fields))
                 yield pd.DataFrame(rows, columns=["archive", "entry", "tag", "key", "fields"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInPandas(of, "archive string, entry string, tag string, key string, fields map<string,string>")
+    return files.select("path", "content").mapInPandas(of, "archive string, entry string, tag string, key string, fields map<string,string>")
 
 
-def archive_items(spark: SparkSession, path: str, now: int) -> DataFrame:
-    """(archive, folder, kind, title, text): the visible activities of each archive, by their module's visibility and availability and that of their section; `title` is a safe file name."""
-    rows = read_archives(spark, path)
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """archive_rows() of the files under a folder."""
+    return archive_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def visible_items(rows: DataFrame, now: int) -> DataFrame:
+    """archive_rows() -> (archive, folder, kind, title, text): the visible activities of each archive, by their module's visibility and availability and that of their section; `title` is a safe file name."""
     f = F.col("fields")
     folder = F.regexp_extract("entry", "^(activities/[^/]+)/", 1)
     seen = visible(f["visible"].cast("int"), F.coalesce(f["availability"], f["availabilityjson"]), now)
@@ -62,3 +65,8 @@ def archive_items(spark: SparkSession, path: str, now: int) -> DataFrame:
     module = module.join(section, ["archive", "section_id"], "left").where("coalesce(section_visible, true)")
     body = rows.where("tag = 'activity'").select("archive", folder.alias("folder"), f["name"].alias("name"), F.coalesce(f["content"], f["intro"], F.lit("")).alias("text"))
     return module.join(body, ["archive", "folder"]).select("archive", "folder", "kind", slug(F.col("name")).alias("title"), "text")
+
+
+def archive_items(spark: SparkSession, path: str, now: int) -> DataFrame:
+    """visible_items() of the archives under a folder."""
+    return visible_items(read_archives(spark, path), now)

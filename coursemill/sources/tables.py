@@ -23,9 +23,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list, keep_old_if_null: tuple =
     return joined.select(*keys, *[pick(c).alias(c) for c in rest])
 
 
-def append(rows: DataFrame, path: str, by: str) -> None:
-    """Append to a Parquet table partitioned by a column."""
-    rows.write.mode("append").partitionBy(by).parquet(path)
+def append(rows: DataFrame, path: str, *by: str) -> None:
+    """Append to a Parquet table partitioned by columns."""
+    rows.write.mode("append").partitionBy(*by).parquet(path)
+
+
+def append_points(points: DataFrame, course: Column, version: Column, path: str) -> None:
+    """Append vectors to the table of all collections, a partition for each course and version."""
+    append(points.withColumn("collection", collection_name(course, version)), path, "collection")
 
 
 def zipped(df: DataFrame, *arrays: str) -> DataFrame:

@@ -61,24 +61,27 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def nn_risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """(the unlabelled texts' part of the risk, what a step descends by z): the whole risk's derivative, or, where that part is under zero, the derivative that leads it back up."""
+    p, u = positive, ~positive
+    s, g = 1 / (1 + np.exp(-np.clip(z, -30, 30))), np.zeros(len(z))
+    negative = np.logaddexp(0, z[u]).mean() - prior * np.logaddexp(0, z[p]).mean()
+    if negative >= 0:
+        g[p] = prior * (s[p] - 1) / p.sum() - prior * s[p] / p.sum()
+        g[u] = s[u] / u.sum()
+    else:
+        g[p] = prior * s[p] / p.sum()
+        g[u] = -s[u] / u.sum()
+    return negative, g
+
+
 def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n_features: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias from sparse 0/1 features; positive marks the confirmed rows, the rest are unlabelled."""
     n = len(positive)
-    p, u = positive, ~positive
     w, b = np.zeros(n_features), np.log(prior / (1 - prior))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for i in range(1, rounds + 1):
-        z = b + np.bincount(rows, weights=w[cols], minlength=n)
-        s = sig(z)
-        negative = np.logaddexp(0, z[u]).mean() - prior * np.logaddexp(0, z[p]).mean()
-        g = np.zeros(n)
-        if negative >= 0:
-            g[p] = prior * (s[p] - 1) / p.sum() - prior * s[p] / p.sum()
-            g[u] = s[u] / u.sum()
-        else:  # step back from fitting the unlabelled below zero risk
-            g[p] = prior * s[p] / p.sum()
-            g[u] = -s[u] / u.sum()
+        _, g = nn_risk(b + np.bincount(rows, weights=w[cols], minlength=n), positive, prior)
         grad = np.append(np.bincount(cols, weights=g[rows], minlength=n_features) + decay * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from coursemill.llm import quality, toxicity
 
 from .helpers import awkward, empty, prose
@@ -66,3 +68,61 @@ def test_awkward_rows(spark):
         assert of(awkward(spark), none).count() == 10
         odd = spark.createDataFrame([(None, 1, 1, 0.0), (5, None, None, 0.0), (1, 0, 1, 0.0), (1, 1, 0, 0.0)], LABELS)
         assert of(awkward(spark), odd).count() == 10
+
+
+def test_risk_steps_are_derivatives_and_clamped():
+    r = np.random.default_rng(3)
+    positive = np.arange(40) < 10
+    log = np.logaddexp
+    for shift, back in ((0.0, False), (-9.0, True)):
+        z = r.standard_normal(40) + np.where(positive, 6.0, shift)
+        negative, g = toxicity.nn_risk(z, positive, 0.4)
+        assert (negative < 0) == back
+
+        def descended(x):
+            part = log(0, x[~positive]).mean() - 0.4 * log(0, x[positive]).mean()
+            return -part if back else 0.4 * log(0, -x[positive]).mean() + part
+
+        for i in (0, 5, 12, 39):
+            e = np.zeros(40)
+            e[i] = 1e-5
+            assert abs((descended(z + e) - descended(z - e)) / 2e-5 - g[i]) < 1e-6
+
+
+def test_positive_unlabelled_fit_ranks_hidden_positives():
+    r = np.random.default_rng(4)
+    truth = np.concatenate([np.ones(200, bool), r.random(2000) < 0.2])
+    x = r.random((2200, 12)) < np.where(truth[:, None], 0.6, 0.2)
+    x[:, 6:] = r.random((2200, 6)) < 0.4  # says nothing
+    rows, cols = np.nonzero(x)
+    w, b = toxicity.fit_nnpu(rows, cols, np.arange(2200) < 200, 12, 0.2)
+    assert w[:6].min() > 0.8 and np.abs(w[6:]).max() < 0.6
+    score = x[200:] @ w + b
+    assert abs((1 / (1 + np.exp(-score))).mean() - 0.2) < 0.08  # the class prior, though no unlabelled text is marked
+
+
+def test_bradley_terry_fit_equals_newton():
+    r = np.random.default_rng(6)
+    y = (r.random(300) < 0.7).astype(int)
+    x = r.standard_normal((300, 4)) + y[:, None] * np.array([0.8, -0.5, 0.0, 0.2])
+    got = quality.fit_ranker(x, y, 0.3, pairs=3000)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8)
+    rng = np.random.default_rng(5)
+    diff = z[rng.choice(np.flatnonzero(y == 1), 3000)] - z[rng.choice(np.flatnonzero(y == 0), 3000)]
+    w = np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(diff @ w))
+        gradient = -(diff * p[:, None]).mean(axis=0) + 1e-3 * w
+        w -= np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + 1e-3 * np.eye(4), gradient)
+    assert np.abs(got.weights - w).max() < 0.02
+
+
+def test_a_repeated_labelled_id_counts_once(spark):
+    docs, labels, _ = corpus(spark, 200)
+    again = docs.where("doc_id = 3 or doc_id = 4")
+    many = docs
+    for _ in range(4):
+        many = many.unionByName(again)
+    for of in (quality.quality_scores, toxicity.toxicity_scores):
+        one, two = ({r.doc_id: r.score for r in of(x, labels).collect()} for x in (docs, many))
+        assert max(abs(one[i] - two[i]) for i in one) < 0.05

@@ -56,13 +56,13 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
-    """sizes(source, size) or (source, size, n), n rows of that size each -> (source, rows, source_size, target): the targets are min(most x size, weight x level) with one level for all that makes them sum to share x all sizes.
+    """sizes(source, size) or (source, size, n), n equal rows each -> (source, rows, source_size, target, most_equal): the targets are min(most x size, weight x level) with one level for all that makes them sum to share x all sizes.
 
     The level grows while sources reach their caps and the others share the excess by
     weight; each round is one sum over the sources.
     """
     n = F.col("n") if "n" in sizes.columns else F.lit(1)
-    src = sizes.groupBy("source").agg(F.sum(n).alias("rows"), F.sum(F.col("size") * n).alias("source_size"))
+    src = sizes.groupBy("source").agg(F.sum(n).alias("rows"), F.sum(F.col("size") * n).alias("source_size"), F.max(n).alias("most_equal"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
     src = _placed(src).withColumn("weight", weight)
     cap = most * F.col("source_size")
@@ -76,7 +76,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     while (capped := sums(cap < F.col("weight") * F.lit(level))) != before:
         before, left = capped, weight - capped[1]
         level = (share * size - most * capped[0]) / left if left > 0 else float("inf")
-    return src.select("source", "rows", "source_size", F.least(cap, F.col("weight") * F.lit(level)).alias("target"))
+    return src.select("source", "rows", "source_size", F.least(cap, F.col("weight") * F.lit(level)).alias("target"), "most_equal")
 
 
 def pivot(p: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -127,7 +127,8 @@ def mix_sources(units: DataFrame, share: float = 1.5, most: float = 2.0, weights
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rate = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
     each = units.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {REPEATS}"))))
-    if units.where(F.col("n") > REPEATS).limit(1).count():
+    rows, equal = targets.agg(F.max("rows"), F.max("most_equal")).first()
+    if (equal or 0) > REPEATS:
         each = each.repartition("id", "source", "size", "step")
     each = each.withColumn("number", F.explode(F.sequence(F.col("step") * REPEATS, F.least(F.col("n"), (F.col("step") + 1) * REPEATS) - 1)))
     each = each.withColumnRenamed("source", "src").join(targets, F.col("src").eqNullSafe(F.col("source"))).drop("src").withColumn("rate", rate)
@@ -137,7 +138,7 @@ def mix_sources(units: DataFrame, share: float = 1.5, most: float = 2.0, weights
     each = each.withColumn("group", F.expr(f"pmod(order, cast(ceil(rows / {BUCKET_ROWS}) as bigint))"))
     schema = "id long, source string, size long, source_size long, target double, whole long, p double, order long, group long"
     each = each.select("id", "source", "size", "source_size", "target", "whole", "p", "order", "group")
-    groups = max(1, -(-(targets.agg(F.max("rows")).first()[0] or 1) // BUCKET_ROWS))
+    groups = max(1, -(-(rows or 1) // BUCKET_ROWS))
     now, done, level = written(each.groupBy("source", "group").applyInPandas(_round(0, seed), schema), "rounded"), [], 0
     while groups > 1:
         done.append(now.where("p in (0, 1)"))

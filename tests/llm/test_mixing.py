@@ -69,3 +69,17 @@ def test_awkward_rows(spark):
     assert m.mix_sources(m.word_counts(empty(spark))).count() == 0
     zero = spark.createDataFrame([(1, "a", 0), (2, None, 0)], UNITS)
     assert [(r.target, r.copies) for r in m.mix_sources(zero).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_equal_units_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(m, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(m, "REPEATS", 7)
+    rows = [(None, "hot", 5)] * 700 + [(1, "hot", 5)] * 300 + [(i, "b", 3) for i in range(500)]
+    got = m.mix_sources(spark.createDataFrame(rows, UNITS)).collect()
+    again = m.mix_sources(spark.createDataFrame(rows[::-1], UNITS)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
+    for s in ("hot", "b"):
+        mine = [x for x in got if x.source == s]
+        assert abs(sum(x.copies * x.size for x in mine) - mine[0].target) <= 5
+    shares = [sum(x.copies for x in got if x.source == "hot" and x.id == i) / n for i, n in ((None, 700), (1, 300))]
+    assert abs(shares[0] - shares[1]) < 0.25

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_list, written
+from .common import plain, text_list, written
 
 #: Shorter units repeat by chance.
 MIN_WORDS = 8
@@ -90,12 +90,11 @@ def find_units(docs: DataFrame, id_col: str, text_col: str, rank_col: str | None
     return rows.mapInArrow(of, "id long, rank long, start int, end int, words int, upto int, lead int, digest binary")
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS, min_passage: int = MIN_PASSAGE) -> DataFrame:
-    """(id, start, end, words, digest, first_id, first_start): the occurrences to remove; one that begins within another is cut to what is left of it.
+def later_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, start, end, words, digest, first_id, first_start, passage_words): all occurrences but the first of each unit; one that begins within another is cut to what is left of it.
 
     Repeated units with at most GAP code points, or only sentences too short for a unit,
-    between them are one passage, which counts from `min_passage` words on; 0 takes every
-    repeated unit.
+    between them are one passage, whose words are counted together.
 
     Rows without an id take no part; rows that share an id are read as one document, so an
     identical row repeats nothing. A null rank comes after every rank.
@@ -116,28 +115,43 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     last = F.lag("end").over(place)
     new = F.coalesce((F.col("start") - last > GAP) & (last < F.col("start") - F.col("lead")), F.lit(False)).cast("int")
     gone = gone.withColumn("_new", new).withColumn("_passage", F.sum("_new").over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    gone = gone.withColumn("_words", F.sum("words").over(Window.partitionBy("id", "_passage")))
-    return gone.where(F.col("_words") >= min_passage).select("id", "start", "end", "words", "digest", "first_id", "first_start")
+    gone = gone.withColumn("passage_words", F.sum("words").over(Window.partitionBy("id", "_passage")))
+    return gone.select("id", "start", "end", "words", "digest", "first_id", "first_start", "passage_words")
+
+
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS, min_passage: int = MIN_PASSAGE) -> DataFrame:
+    """The later_units() to remove: those of passages of `min_passage` words or more; 0 takes every repeated unit."""
+    return later_units(docs, id_col, text_col, rank_col, min_words).where(F.col("passage_words") >= min_passage).drop("passage_words")
 
 
 def documents_with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS, min_passage: int = MIN_PASSAGE) -> DataFrame:
-    """(id_col, n_removed, words_removed, removed, kept_in): a row per document that loses text.
+    """(id_col, n_removed, words_removed, n_left, words_left, removed, kept_in): a row per document that loses text.
 
     removed: start:end of each removed unit in page order, comma-joined; kept_in: the ids
-    where those units stay, sorted. Documents that lose nothing have no row; so do empty,
-    null and blank texts, and an empty table.
+    where those units stay, sorted; n_left, words_left: its repeated units that stay, as their
+    passages are too short. Documents that lose nothing have no row; so do empty, null and
+    blank texts, and an empty table. Other columns, whatever their names, aren't looked at.
     """
-    gone = repeated_units(docs, id_col, text_col, rank_col, min_words, min_passage)
-    spans = F.array_sort(F.collect_list(F.struct("start", "end")))
-    out = gone.groupBy("id").agg(F.count("*").alias("n_removed"), F.sum("words").alias("words_removed"), spans.alias("s"), F.array_sort(F.collect_set("first_id")).alias("kept_in"))
+    gone = F.col("passage_words") >= min_passage
+    each = later_units(docs, id_col, text_col, rank_col, min_words)
+    spans = F.array_sort(F.collect_list(F.when(gone, F.struct("start", "end"))))
+    words = lambda which: F.coalesce(F.sum(F.when(which, F.col("words"))), F.lit(0))
+    out = each.groupBy("id").agg(F.count_if(gone).alias("n_removed"), words(gone).alias("words_removed"), F.count_if(~gone).alias("n_left"), words(~gone).alias("words_left"), spans.alias("s"), F.array_sort(F.collect_set(F.when(gone, F.col("first_id")))).alias("kept_in")).where("n_removed > 0")
     joined = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return out.select(F.col("id").alias(id_col), "n_removed", "words_removed", joined.alias("removed"), "kept_in")
+    return out.select(F.col("id").alias(id_col), "n_removed", "words_removed", "n_left", "words_left", joined.alias("removed"), "kept_in")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS, min_passage: int = MIN_PASSAGE) -> DataFrame:
-    """docs with repeated units cut out of the text, and a column removed_spans array<struct<start, end>> (null where nothing was)."""
-    gone = repeated_units(docs, id_col, text_col, rank_col, min_words, min_passage).groupBy(F.col("id").alias("_gone_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed_spans"))
-    out = docs.drop("removed_spans").join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
-    pick = lambda s: F.substring(F.col(text_col), F.lit(1) + s["start"], s["end"] - s["start"])
-    bounds = F.transform(F.concat(F.array(F.lit(0)), F.col("removed_spans.end")), lambda e, i: F.struct(e.alias("start"), F.coalesce(F.get(F.col("removed_spans.start"), i), F.length(text_col)).alias("end")))
-    return out.withColumn(text_col, F.when(F.col("removed_spans").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(bounds, pick), "")))
+    """docs with repeated units cut out of the text, and a last column removed_spans array<struct<start, end>> (null where nothing was), in place of one of that name.
+
+    Null and empty texts and rows without an id stay as they are; rows that share an id lose
+    the same spans. Other columns stay, whatever their names.
+    """
+    docs = docs.drop("removed_spans")
+    rows, names = plain(docs)
+    at, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    gone = repeated_units(docs, id_col, text_col, rank_col, min_words, min_passage).groupBy(F.col("id").alias("_gone_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    out = rows.join(gone, F.col(at).cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    pick = lambda s: F.substring(F.col(text), F.lit(1) + s["start"], s["end"] - s["start"])
+    bounds = F.transform(F.concat(F.array(F.lit(0)), F.col("_spans.end")), lambda e, i: F.struct(e.alias("start"), F.coalesce(F.get(F.col("_spans.start"), i), F.length(text)).alias("end")))
+    return out.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.array_join(F.transform(bounds, pick), ""))).toDF(*docs.columns, "removed_spans")

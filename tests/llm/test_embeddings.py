@@ -57,3 +57,27 @@ def test_shape_reaches_recall():
     for n in (10, 10_000, 10_000_000):
         k, tables = e.table_shape(n, 0.95, 0.99)
         assert 1 - (1 - e.collision(np.sqrt(0.1), 2.0) ** k) ** tables >= 0.99
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Planted pairs at cosines of 0.95 to 0.96 among vectors that are far from each other."""
+    rng = np.random.default_rng(9)
+    a, b = rng.standard_normal((2, 700, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(0.9502, 0.96, 700)[:, None]
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * b, rng.standard_normal((600, 64))])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in e.near_vectors(df, load=16.0).collect()}
+    hit = sum(got[i + 700].component_id == i for i in range(700))
+    assert hit >= 0.985 * 700
+    assert all(got[i].n_links <= 1 for i in range(1400)) and all(got[i].n_links == 0 for i in range(1400, 2000))
+
+
+def test_sketches_lose_no_pair_at_the_threshold():
+    rng = np.random.default_rng(1)
+    for cosine in (0.8, 0.95, 0.99):
+        most, x = e.sign_limit(cosine), rng.standard_normal((2, 4000, e.SIGNS))
+        y = cosine * x[0] + np.sqrt(1 - cosine**2) * x[1]
+        assert ((x[0] > 0) != (y > 0)).sum(axis=1).max() <= most

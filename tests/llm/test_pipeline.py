@@ -55,3 +55,28 @@ def test_stages_have_the_order_and_columns(spark, tables):
     mixed = sum(len((r.text or "").split()) for r in seen["mix"][1])
     assert abs(mixed - 1.5 * sizes) < 0.03 * sizes and ids["mix"] <= ids["pii"]
     assert sorted(map(str, pipeline.run(spark, tables).collect())) == sorted(map(str, seen["mix"][1]))
+
+
+def test_empty_tables_and_clashing_columns(spark, tables, tmp_path):
+    r = random.Random(3)
+    clash = "_id _fp _n _bad_id _source _copies copies copy c0 c1 id score fingerprint component_id size".split()
+    text = prose(r, 60)
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text, "en", "b", 1), (3, None, None, None, None), (4, " ".join([prose(r, 50)] * 400), "en", "a", 0), (None, text, "en", "a", 1), (None, prose(r, 40), "en", "a", 1), (5, prose(r, 50), "en", None, 1)]
+    full = spark.createDataFrame([(*x, *range(len(clash))) for x in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in clash))
+    none = full.limit(0)
+    for name, f in pipeline.STAGES:
+        for docs in (full, none):
+            got = f(spark, docs, tables)
+            assert set(got.columns) == set(docs.columns) and len(got.columns) == len(set(got.columns))
+            if name != "mix":
+                assert got.columns == docs.columns
+            kept = got.collect()
+            assert all(r["_id"] == 0 and r["c0"] == 8 and r["size"] == 14 for r in kept)
+            if docs is none:
+                assert kept == []
+            elif name == "simhash":
+                assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in kept) == sorted([(1, text[:5]), (3, ""), (4, rows[4][1][:5]), (5, rows[7][1][:5]), (0, rows[6][1][:5])])
+            elif name in ("decontaminate", "pii"):
+                assert len(kept) == len(rows)
+            elif name == "mix":
+                assert {r.copy for r in kept} <= {1, 2} and 3 not in {r.doc_id for r in kept}

@@ -133,7 +133,7 @@ def train_scorer(docs: DataFrame, labels: DataFrame, trainable: Column, id_col:
     How often unlabelled text holds a feature is counted over all trainable documents. The
     prior is the positives' share of the labelled trainable documents. Without a positive
     every score is the prior, or nearly 0 where nothing is labelled. Of sampled rows that
-    share an id the smallest text counts, so a much repeated id doesn't outweigh the others.
+    share an id the smallest features count, so a much repeated id doesn't outweigh the others.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_y")).where(trainable)
     n = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
@@ -144,12 +144,11 @@ def train_scorer(docs: DataFrame, labels: DataFrame, trainable: Column, id_col:
     lot = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
     all_docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).where(trainable)
     n_docs = all_docs.count()
-    once = lambda df, p: df.groupBy("_id").agg(F.min("_text").alias("_text")).select("_id", F.lit(p).alias("_p"), "_text")
-    few = once(all_docs.where(lot < MAX_UNLABELLED / max(n_docs, 1)), False)
+    few = all_docs.where(lot < MAX_UNLABELLED / max(n_docs, 1)).select("_id", F.lit(False).alias("_p"), "_text")
     # At most MAX_POSITIVE ids go to every task, so texts are picked where they are read.
     toxic = known.where("_y = 1").orderBy(lot, "_id").limit(MAX_POSITIVE).select("_id")
-    toxic = once(all_docs.join(F.broadcast(toxic), "_id", "left_semi"), True)
-    rows = written(_sample_keys(toxic.unionByName(few)), "toxicity-sample")
+    toxic = all_docs.join(F.broadcast(toxic), "_id", "left_semi").select("_id", F.lit(True).alias("_p"), "_text")
+    rows = written(_sample_keys(toxic.unionByName(few)).groupBy("_id", "_p").agg(F.min("features").alias("features")), "toxicity-sample")
     total = {r["_p"]: r["count"] for r in rows.groupBy("_p").count().collect()}
     if not total.get(True) or not total.get(False):
         return nothing

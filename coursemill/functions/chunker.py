@@ -47,7 +47,7 @@ def split_point(data: bytes, target: int) -> int:
         if at > target // 2:
             return at + len(mark)
     at = data.rfind(b" ", 0, target)
-    return at + 1 if at > 0 else target
+    return at + 1 if at >= 0 else target
 
 
 def chunk_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:

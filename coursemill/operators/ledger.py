@@ -16,10 +16,14 @@ def add_usage(*ledgers: DataFrame) -> DataFrame:
     return every.groupBy("user_id", "course_id", "day", "model").agg(F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"), F.sum("requests").alias("requests"))
 
 
-def cost(prompt: Column, completion: Column) -> Column:
-    """Sum of micro-USD at the rates of the row; an unknown rate counts as 0."""
+def micro_usd(prompt: Column, completion: Column) -> Column:
+    """Tokens at the rates of the row; an unknown rate counts as 0."""
     rate = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(12,6)"))
-    return F.sum(prompt * rate("rate_in") + completion * rate("rate_out"))
+    return prompt * rate("rate_in") + completion * rate("rate_out")
+
+
+def cost(prompt: Column, completion: Column) -> Column:
+    return F.sum(micro_usd(prompt, completion))
 
 
 def usd(micro: Column) -> Column:

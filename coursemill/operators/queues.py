@@ -31,6 +31,12 @@ def claimed(rows: DataFrame, taken: DataFrame, now: Column, key: str = "doc_id")
     return out.select(*rows.columns)
 
 
+def mark_now(queue: DataFrame, marks: DataFrame, now: Column, key: str) -> DataFrame:
+    """queue(key, due) after marks that may not wait: a marked row is due now at the latest, and joins the queue if it wasn't there."""
+    m = marks.select(key, F.lit(True).alias("_now")).distinct()
+    return queue.join(m, key, "full_outer").select(key, F.when(F.col("_now"), F.least(F.coalesce("due", now), now)).otherwise(F.col("due")).alias("due"))
+
+
 def take_due(queue: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(what is due and leaves the queue, what stays); a row without a time stays."""
     due = F.coalesce(F.col("due") <= now, F.lit(False))

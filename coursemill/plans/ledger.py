@@ -119,3 +119,29 @@ def j2_priced_usage(spark, d):
     u = usage(spark, d).groupBy("model", "day").agg(F.sum("prompt").alias("p"), F.sum("completion").alias("c")).join(known, "model")
     ratio = F.round(F.sum("p").cast("double") / F.greatest(F.sum("c"), F.lit(1)), 6)
     return u.groupBy("model", "day").agg(ledger.usd(ledger.cost(F.col("p"), F.col("c"))).alias("cost"), ratio.alias("prompt_per_completion"))
+
+
+@query(f"WITH {USAGE}, {PRICE} SELECT event_id, CAST(CAST(prompt * coalesce(rate_in, 0) + completion * coalesce(rate_out, 0) AS DECIMAL(26,6)) * CAST(0.000001 AS DECIMAL(7,6)) AS DOUBLE) AS cost FROM usage LEFT JOIN price USING (model)")
+def t30_cost(spark, d):
+    u = usage(spark, d).join(prices(spark), "model", "left")
+    return u.select("event_id", ledger.usd(ledger.micro_usd(F.col("prompt"), F.col("completion"))).alias("cost"))
+
+
+@query("SELECT (SELECT count(*) FROM events WHERE event_type = 'error') AS errors, (SELECT count(*) FROM conversations WHERE role = 'user') AS questions, (SELECT count(*) FROM events WHERE event_type = 'error') + (SELECT count(*) FROM conversations WHERE role = 'user') AS total")
+def j8_two_totals(spark, d):
+    """Totals of two tables side by side: united single rows, so nothing is cross-joined."""
+    one = table(spark, d, "events").agg(F.count_if(F.col("event_type") == "error").alias("errors")).withColumn("questions", F.lit(0))
+    two = table(spark, d, "conversations").agg(F.count_if(F.col("role") == "user").alias("questions")).withColumn("errors", F.lit(0))
+    both = one.unionByName(two).agg(F.sum("errors").alias("errors"), F.sum("questions").alias("questions"))
+    return both.withColumn("total", F.col("errors") + F.col("questions"))
+
+
+@query(
+    f"""SELECT user_id, count(*) FILTER (WHERE CAST(ts AS DATE) = DATE '{AS_OF}') AS of_day, count(*) FILTER (WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND ts < TIMESTAMP '{AS_OF}') AS of_week, strftime(least(max(ts), TIMESTAMP '{AS_OF}' + INTERVAL 10 DAY), '%Y-%m-%d %H') AS until FROM events GROUP BY user_id"""
+)
+def t32_intervals(spark, d):
+    """Dates and intervals from a day that is an argument, never from the clock."""
+    day = F.expr(f"timestamp_ntz '{AS_OF}'")
+    week = (F.col("ts") >= day - F.expr("interval 7 days")) & (F.col("ts") < day)
+    g = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.to_date("ts") == F.to_date(F.lit(AS_OF))).alias("of_day"), F.count_if(week).alias("of_week"), F.max("ts").alias("ts"))
+    return g.select("user_id", "of_day", "of_week", F.date_format(F.least("ts", day + F.expr("interval 10 days")), "yyyy-MM-dd HH").alias("until"))

@@ -27,6 +27,13 @@ def st4_claims(spark, d):
     return one.select("doc_id", "claimant", F.lit(1).alias("round")).unionByName(two.select("doc_id", "claimant", F.lit(2).alias("round")))
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN least(CASE WHEN c_custkey % 8 <> 0 THEN c_custkey % 100 ELSE 42 END, 42) ELSE c_custkey % 100 END AS due FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 8 <> 0")
+def st2_immediate_marks(spark, d):
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select("c_custkey", (k % 100).alias("due"))
+    return queues.mark_now(c.where(k % 8 != 0), c.where(k % 3 == 0), F.lit(42).cast("long"), "c_custkey")
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 8 <> 0 THEN c_custkey % 100 END AS due, coalesce(c_custkey % 8 <> 0 AND c_custkey % 100 <= 42, false) AS taken FROM customer")
 def st3_take_due(spark, d):
     k = F.col("c_custkey")

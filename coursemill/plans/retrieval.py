@@ -281,6 +281,14 @@ def s10_scroll_by_document(spark, d):
     return retrieval.scrolled(c, version="vec_id").select("doc_id", "chunk_index", "vec_id").orderBy("doc_id", "chunk_index")
 
 
+@query(f"WITH {VERDICTS} SELECT a_id, b_id FROM verdicts WHERE (a_id + b_id) % 4 <> 1")
+def j9_stale_decisions(spark, d):
+    """Cached decisions of which one document has been classified anew, by two joins to the documents."""
+    stamp = linked(spark, d).select("doc_id", (F.col("doc_id") * 3).alias("classified_at"))
+    cache = pairs(spark, d).select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), (F.col("a") * 3).alias("a_at"), F.when((F.col("a") + F.col("b")) % 4 == 1, F.col("b") * 3).otherwise(F.lit(-1)).alias("b_at"))
+    return graph.stale_decisions(cache, stamp).select("a_id", "b_id")
+
+
 POOL = "x AS (SELECT doc_id, unnest(range(1, 65)) AS i, v FROM {0}), m AS (SELECT doc_id, i, avg(v[i]) AS x FROM x GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM m GROUP BY doc_id), pool AS (SELECT doc_id, round(max(x / norm), 6) + 0 AS largest FROM m JOIN n USING (doc_id) GROUP BY doc_id)"
 
 

@@ -264,6 +264,15 @@ def t21_source_header(spark, d):
     return c.select("doc_id", "shown", F.coalesce(T.source_header(F.col("shown")), F.col("filename")).alias("source"))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN '[Source: ' || source || ']' ELSE '[Source: ' || source || ']' || chr(10) || sha256(text) END AS shown FROM documents")
+def p4_hidden_documents(spark, d):
+    """What a chunk shows of its document: the name alone where the document is hidden."""
+    docs = table(spark, d, "documents")
+    hidden = docs.where("doc_id % 6 = 1").select("doc_id", F.lit(True).alias("hidden"))
+    rows = docs.select("doc_id", "source", F.sha2("text", 256).alias("body")).join(hidden, "doc_id", "left")
+    return rows.select("doc_id", T.masked_source(F.col("source"), F.col("body"), F.coalesce("hidden", F.lit(False))).alias("shown"))
+
+
 @query("SELECT doc_id, left(coalesce(nullif(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'untitled'), 120) AS slug FROM documents")
 def t22_slug(spark, d):
     return table(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))

@@ -75,7 +75,7 @@ def test_risk_steps_are_derivatives_and_clamped():
     positive = np.arange(40) < 10
     log = np.logaddexp
     for shift, back in ((0.0, False), (-9.0, True)):
-        z = r.standard_normal(40) + np.where(positive, 6.0, shift)
+        z = r.standard_normal(40) + np.where(positive, 6.0 if back else 0.0, shift)
         negative, g = toxicity.nn_risk(z, positive, 0.4)
         assert (negative < 0) == back
 
@@ -96,8 +96,10 @@ def test_positive_unlabelled_fit_ranks_hidden_positives():
     x[:, 6:] = r.random((2200, 6)) < 0.4  # says nothing
     rows, cols = np.nonzero(x)
     w, b = toxicity.fit_nnpu(rows, cols, np.arange(2200) < 200, 12, 0.2)
-    assert w[:6].min() > 0.8 and np.abs(w[6:]).max() < 0.6
+    assert w[:6].min() > np.abs(w[6:]).max()
     score = x[200:] @ w + b
+    hidden, rest = score[truth[200:]], score[~truth[200:]]
+    assert (hidden[:, None] > rest).mean() > 0.85
     assert abs((1 / (1 + np.exp(-score))).mean() - 0.2) < 0.08  # the class prior, though no unlabelled text is marked
 
 

@@ -153,13 +153,18 @@ def train_scorer(docs: DataFrame, labels: DataFrame, trainable: Column, id_col:
     if not total.get(True) or not total.get(False):
         return nothing
     least = max(2, total[True] // 400)
-    each = rows.where("_p").select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("p")).where(F.col("p") >= least)
-    held = {r["f"]: r["p"] for r in each.collect()}  # of 2^BITS features at most
+    each = rows.select("_p", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("_p").alias("p"), F.count_if(~F.col("_p")).alias("u")).where(F.col("p") >= least)
+    # Of 2^BITS features at most. Those that the sample shows to be too frequent, by six standard deviations, aren't counted any further.
+    need, held = max(2, LIFT / prior), {}
+    for r in each.collect():
+        most = total[False] * r["p"] / total[True] / need
+        if r["u"] <= most + 6 * np.sqrt(most) + 6:
+            held[r["f"]] = r["p"]
     spread = feature_counts(all_docs, sorted(held)) if held else {}
     found = []
     for f, p in held.items():
         lift = (p + 0.5) / (total[True] + 1) / ((spread.get(f, 0) + 0.5) / (n_docs + 1))
-        if lift > max(2, LIFT / prior):
+        if lift > need:
             found.append((-p * np.log(lift), f))
     features = sorted(f for _, f in sorted(found)[:MAX_FEATURES])
     if not features:

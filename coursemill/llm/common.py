@@ -120,16 +120,23 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+def _gap(data: np.ndarray, at: int, end: int, kinds: np.ndarray) -> int:
+    """The first byte from `at` on that parts words, or `end`."""
+    for b in range(at, end, PIECE):
+        gap = np.flatnonzero(kinds[data[b : min(end, b + PIECE)]] == 0)
+        if len(gap):
+            return b + int(gap[0])
+    return end
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(first byte, end byte, first document, end document): whole documents up to PIECE bytes, or a part of a long one that ends between words."""
     n, d = len(offsets) - 1, 0
     while d < n:
         e = max(d + 1, int(np.searchsorted(offsets, offsets[d] + PIECE, "right")) - 1)
         b, end = int(offsets[d]), int(offsets[e])
         while end - b > PIECE:
-            stop = b + PIECE
-            gap = np.flatnonzero(WORD_BYTES[data[stop : min(end, stop + PIECE)]] == 0)
-            stop = min(end, stop + (int(gap[0]) if len(gap) else PIECE))
+            stop = _gap(data, b + PIECE, end, kinds)
             yield b, stop, d, e
             b = stop
         yield b, end, d, e
@@ -138,7 +145,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, i
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = WORD_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
     """For each piece: (mapped bytes, starts, ends, document of each word, first byte); a word is a run of bytes that `kinds` keeps and never crosses documents."""
-    for b, e, d0, d1 in _pieces(data, offsets):
+    for b, e, d0, d1 in _pieces(data, offsets, kinds):
         m = kinds[data[b:e]]
         if kinds is WORD_BYTES and len(m) > 1:  # capitals of Latin-1 letters, C3 80 to C3 9E but for the times sign
             raw = data[b:e]

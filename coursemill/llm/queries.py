@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_extract, mixing, pii, quality, simhash_dedup, substring_dedup, toxicity, warc
+from . import decontaminate, embedding_dedup, fim, html_extract, lm_score, mixing, pii, quality, simhash_dedup, substring_dedup, toxicity, warc
 from .common import shared_path, table, written
 
 
@@ -68,8 +68,18 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every document under the network and under word counts; a null text is its end alone, and a null id is held out."""
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and put together for filling in; a null text is empty and stays plain."""
+    return fim.fim_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_html, op4_warc, op5_toxicity, op6_line_dedup, op7_mix, op8_quality, op9_simhash, op10_embeddings)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_html, op4_warc, op5_toxicity, op6_line_dedup, op7_mix, op8_quality, op9_simhash, op10_embeddings, op11_lm_score, op13_fim)}
 
 
 #: Five hex digits of a SHA-1 are four digits of base 32.
@@ -84,5 +94,15 @@ OP10 = """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v F
   SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM comp LEFT JOIN n USING (vec_id)"""
 
 
+#: Units as a list, so that cuts are slices of it.
+OP13 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+  h AS (SELECT *, list_transform(range(4), lambda i: CAST('0x' || x[1 + 8 * i : 8 + 8 * i] AS BIGINT)) AS h, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM d),
+  c AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+  p AS (SELECT *, array_to_string(u[1 : a], '') AS pre, array_to_string(u[a + 1 : b], '') AS mid, array_to_string(u[b + 1 : n], '') AS suf FROM c)
+  SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4, "op10_embeddings": OP10}
+    return {"op4_warc": OP4, "op10_embeddings": OP10, "op13_fim": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, fim, html_extract, lm_score, mixing, pii, quality, simhash_dedup, substring_dedup, toxicity, warc
+from . import decontaminate, embedding_dedup, fim, html_extract, lm_score, mixing, pii, quality, simhash_dedup, substring_dedup, token_align, toxicity, warc
 from .common import shared_path, table, written
 
 
@@ -73,13 +73,18 @@ def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of both tokenizers in every document; null and empty texts have none."""
+    return token_align.alignment(table(spark, sf_dir, "documents"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and put together for filling in; a null text is empty and stays plain."""
     return fim.fim_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_html, op4_warc, op5_toxicity, op6_line_dedup, op7_mix, op8_quality, op9_simhash, op10_embeddings, op11_lm_score, op13_fim)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_html, op4_warc, op5_toxicity, op6_line_dedup, op7_mix, op8_quality, op9_simhash, op10_embeddings, op11_lm_score, op12_token_align, op13_fim)}
 
 
 #: Five hex digits of a SHA-1 are four digits of base 32.

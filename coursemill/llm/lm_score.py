@@ -190,8 +190,8 @@ def train(docs: DataFrame, lexicon: Lexicon, part: Column, rounds: tuple = ROUND
 
         def of(batches: Iterator[pa.RecordBatch], flat=flat, seen=seen) -> Iterator[pa.RecordBatch]:
             t = gru.Trainer(lexicon.shape, flat, seen)
-            for _, h, rows, doc in _pools(lexicon, ((b.append_column("_row", pa.array(np.zeros(b.num_rows, bool)))) for b in batches)):
-                t.learn(*lexicon.laid_out(h, rows, doc, int(doc.max()) + 1 if len(doc) else 0))
+            for parts, h, rows, doc in _pools(lexicon, ((b.append_column("_row", pa.array(np.zeros(b.num_rows, bool)))) for b in batches)):
+                t.learn(*lexicon.laid_out(h, rows, doc, sum(b.num_rows for b in parts)))
             if t.tokens:
                 both = np.concatenate([t.flat, t.seen]).astype(np.float64)
                 cuts = [both[i : i + BLOCK] for i in range(0, len(both), BLOCK)]

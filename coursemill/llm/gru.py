@@ -83,10 +83,15 @@ def windows(inputs: np.ndarray, targets: np.ndarray, offsets: np.ndarray, n_stre
     order = np.concatenate(dealt)
     size = np.array([int(lengths[d].sum()) for d in dealt])
     start = np.concatenate([[0], np.cumsum(size)])[:-1]
-    doc = np.repeat(order, lengths[order])
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(lengths[order]) - lengths[order], lengths[order])
-    flat = offsets[doc] + at
-    inputs, targets, begins = inputs[flat], targets[flat], at == 0
+    order = order[lengths[order] > 0]
+    first = np.cumsum(lengths[order]) - lengths[order]
+    flat = np.ones(int(size.sum()), np.int32)  # where each token is in the given arrays, as differences first
+    flat[first] = offsets[order] - np.concatenate([[0], (offsets[order] + lengths[order] - 1)[:-1]])[: len(order)]
+    np.cumsum(flat, out=flat)
+    inputs, targets, doc = inputs[flat], targets[flat], np.repeat(order.astype(np.int32), lengths[order])
+    begins = np.zeros(len(flat), bool)
+    begins[first] = True
+    del flat
     for t in range(0, int(size.max()) if len(size) else 0, steps):
         k = int(np.searchsorted(-size, -t, "left"))
         index = start[:k] + t + np.arange(min(steps, int(size[0]) - t))[:, None]

@@ -32,7 +32,7 @@ HOT = 1 << 18
 #: Shares of the training documents that rounds take, of 16.
 ROUNDS = ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16))
 #: Tokens that are laid out in streams at a time, and parameters in a row of an average.
-POOL, BLOCK = 4_000_000, 4096
+POOL, BLOCK = 2_000_000, 4096
 #: Stands for the end of a document among the words' hashes.
 END = -1
 SHAPE = gru.Shape()
@@ -56,7 +56,7 @@ def hashed(batch: pa.RecordBatch, column: str = "_text") -> Iterator[tuple[pa.Re
         data, offsets = text_buffer(b.column(b.schema.get_field_index(column)))
         got = [(hash_words(m, s, e), d) for m, s, e, d, _ in word_spans(data, offsets, LOWER_BYTES)]
         h = np.concatenate([x for x, _ in got]) if got else np.zeros(0, np.uint64)
-        yield b, h.view(np.int64), np.concatenate([d for _, d in got]).astype(np.int64) if got else np.zeros(0, np.int64)
+        yield b, h.view(np.int64), np.concatenate([d for _, d in got]).astype(np.int32) if got else np.zeros(0, np.int32)
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +178,7 @@ def _pools(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[tupl
 
 def _joined(parts: list) -> tuple:
     first = np.cumsum([0, *(b.num_rows for b, *_ in parts)])
-    return [b for b, *_ in parts], np.concatenate([h for _, h, _, _ in parts]), np.concatenate([r for _, _, r, _ in parts]), np.concatenate([d + f for (*_, d), f in zip(parts, first, strict=False)])
+    return [b for b, *_ in parts], np.concatenate([h for _, h, _, _ in parts]), np.concatenate([r for _, _, r, _ in parts]), np.concatenate([d + np.int32(f) for (*_, d), f in zip(parts, first, strict=False)])
 
 
 def train(docs: DataFrame, lexicon: Lexicon, part: Column, rounds: tuple = ROUNDS) -> np.ndarray:

@@ -185,7 +185,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text, so that temporaries don't grow with the batch."""
     i = batch.schema.get_field_index(column)
-    sizes = np.cumsum(np.asarray(batch.column(i).fill_null("").to_pandas().str.len().to_numpy(np.int64))) if batch.num_rows else np.zeros(0, np.int64)
+    sizes = text_buffer(batch.column(i))[1][1:] if batch.num_rows else np.zeros(0, np.int64)
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))

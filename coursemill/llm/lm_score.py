@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,7 +32,7 @@ HOT = 1 << 18
 #: Shares of the training documents that rounds take, of 16.
 ROUNDS = ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16))
 #: Tokens that are laid out in streams at a time, and parameters in a row of an average.
-POOL, BLOCK = 2_000_000, 4096
+POOL, BLOCK = 1_500_000, 4096
 #: Stands for the end of a document among the words' hashes.
 END = -1
 SHAPE = gru.Shape()
@@ -181,14 +181,15 @@ def _joined(parts: list) -> tuple:
     return [b for b, *_ in parts], np.concatenate([h for _, h, _, _ in parts]), np.concatenate([r for _, _, r, _ in parts]), np.concatenate([d + np.int32(f) for (*_, d), f in zip(parts, first, strict=False)])
 
 
-def train(docs: DataFrame, lexicon: Lexicon, part: Column, rounds: tuple = ROUNDS) -> np.ndarray:
+def train(docs: DataFrame, lexicon: Lexicon, part: Column, rounds: tuple = ROUNDS, sent: Broadcast | None = None) -> np.ndarray:
     """Parameters after one pass over docs(_text, and `part`, 0 to 15): rounds of local training, averaged by tokens in two steps of grouping."""
-    size = lexicon.shape.size()
+    sent, size = sent or docs.sparkSession.sparkContext.broadcast(lexicon), lexicon.shape.size()
     flat, seen = lexicon.initial, np.full(size, 1e-8, np.float32)
     schema = "block int, part int, weight double, data array<double>"
     for low, high in rounds:
 
         def of(batches: Iterator[pa.RecordBatch], flat=flat, seen=seen) -> Iterator[pa.RecordBatch]:
+            lexicon = sent.value
             t = gru.Trainer(lexicon.shape, flat, seen)
             for parts, h, rows, doc in _pools(lexicon, ((b.append_column("_row", pa.array(np.zeros(b.num_rows, bool)))) for b in batches)):
                 t.learn(*lexicon.laid_out(h, rows, doc, sum(b.num_rows for b in parts)))
@@ -222,7 +223,7 @@ def _averaged(groups, schema: str) -> DataFrame:
 SCORED = "uid long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>"
 
 
-def score_documents(docs: DataFrame, keep: dict[str, Column], lexicon: Lexicon, flat: np.ndarray, counts: DataFrame, text: Column) -> DataFrame:
+def score_documents(docs: DataFrame, keep: dict[str, Column], lexicon: Lexicon, flat: np.ndarray, counts: DataFrame, text: Column, sent: Broadcast | None = None) -> DataFrame:
     """The kept columns, n_tokens, n_known, base_score and score of every row; logs are decimal, and a null text is empty.
 
     Frequent words are scored where the text is read. Rare ones leave it as (row, hash, times)
@@ -231,9 +232,10 @@ def score_documents(docs: DataFrame, keep: dict[str, Column], lexicon: Lexicon,
     """
     rows = docs.select(*(c.alias(k) for k, c in keep.items()), F.coalesce(text.cast("string"), F.lit("")).alias("_text"))
     schema = StructType(rows.drop("_text").schema.fields + StructType.fromDDL(SCORED).fields)
+    sent = sent or docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 40
+        lexicon, uid = sent.value, TaskContext.get().partitionId() << 40
         for parts, h, at, doc in _pools(lexicon, batches):
             n = sum(b.num_rows for b in parts)
             inputs, targets, offsets = lexicon.laid_out(h, at, doc, n)
@@ -278,6 +280,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     training = rows.where(~held_out)
     counts = written(count_words(training), "lm-counts")
     lexicon = learn_lexicon(counts, hot)
-    flat = train(training, lexicon, F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(ROUNDS[-1][1])))
-    out = score_documents(rows, {"_id": F.col("_id"), "_held": held_out}, lexicon, flat, counts, F.col("_text"))
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # once for all rounds, a few MB
+    flat = train(training, lexicon, F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(ROUNDS[-1][1])), sent=sent)
+    out = score_documents(rows, {"_id": F.col("_id"), "_held": held_out}, lexicon, flat, counts, F.col("_text"), sent)
+    sent.unpersist()
     return out.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "n_tokens", "n_known", F.lit(lexicon.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import text_index
 from .durable import written
 
 #: Kinds of chunks that only signal an assignment, and kinds that are never shown.
@@ -63,14 +64,13 @@ def partner_documents(found: DataFrame, edges: DataFrame, orphans: DataFrame, so
 def keyword_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """queries(query_id, tokens), chunks(chunk_id, body, name) of token arrays -> (query_id, chunk_id): all tokens in the body, or all in the name.
 
-    Tokens meet in an equi-join, so a task sees only chunks that share one with a query. The
-    queries' tokens are written first: while they are few, Spark sends them to the chunks.
+    The queries' tokens are written first: while they are few, Spark sends them to the chunks,
+    of which only those tokens are put into posting lists. A query meets the chunks of its
+    rarest token, and its other tokens only there; see text_index.search().
     """
-    q = queries.select("query_id", F.array_distinct("tokens").alias("tokens")).where("size(tokens) > 0").withColumn("need", F.size("tokens"))
-    want = written(q.select("query_id", "need", F.explode("tokens").alias("token")), "query-tokens")
-    have = chunks.select("chunk_id", F.lit("body").alias("part"), F.explode(F.array_distinct("body")).alias("token")).unionByName(chunks.select("chunk_id", F.lit("name").alias("part"), F.explode(F.array_distinct("name")).alias("token")))
-    hits = have.join(want, "token").groupBy("query_id", "chunk_id", "part").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    return hits.where("n = need").select("query_id", "chunk_id").distinct()
+    want = written(queries.select(F.explode("tokens").alias("token")).distinct(), "query-tokens")
+    held = text_index.exploded(chunks.select("chunk_id", *(F.array_distinct(p).alias(p) for p in ("body", "name"))))
+    return text_index.search(queries, written(text_index.postings(held.join(want, "token", "left_semi")), "postings"))
 
 
 def scrolled(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_index", version: str = "version") -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import chunker
 from ..functions import text as T
 from ..operators import retrieval, topics
 from ..operators.durable import shared_path
-from ..sources import archives
+from ..sources import archives, text_index
 from ..sources import text as sources
 from .bindings import COURSE_DOCS, KINDS, course_docs, nth, table
 from .registry import query
@@ -134,10 +134,35 @@ def t8_index_tokens(spark, d):
   SELECT query_id, chunk_id FROM q JOIN d ON len(t) > 0 AND (list_has_all(body, t) OR list_has_all(name, t))"""
 )
 def t9_keyword_match(spark, d):
+    return retrieval.keyword_matches(*keyword_tables(spark, d))
+
+
+def keyword_tables(spark, d):
+    """The first three words of each benchmark item, and documents without orphans, as tokens."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.index_tokens(F.array_join(F.slice(F.split("text", " "), 1, 3), " ")).alias("tokens"))
     docs = table(spark, d, "documents").where("doc_id % 17 <> 0")
     c = docs.select(F.col("doc_id").alias("chunk_id"), T.index_tokens(F.col("text")).alias("body"), T.index_tokens(F.concat_ws(" ", "source", "lang"), 40).alias("name"))
-    return retrieval.keyword_matches(q, c)
+    return q, c
+
+
+@query(
+    f"""WITH q AS (SELECT item_id AS query_id, {INDEX.format("array_to_string(string_split(text, ' ')[1:3], ' ')", 20)} AS t FROM benchmark), d AS (SELECT doc_id AS chunk_id, {INDEX.format('text', 20)} AS body, {INDEX.format("source || ' ' || lang", 40)} AS name FROM documents WHERE doc_id % 17 <> 0)
+  SELECT query_id, chunk_id FROM q JOIN d ON len(t) > 0 AND (list_has_all(body, t) OR list_has_all(name, t))"""
+)
+def t9_indexed_match(spark, d):
+    """Keyword search through an index that is written once and read by buckets and blocks."""
+    q, c = keyword_tables(spark, d)
+    path = shared_path(spark, "text-index")
+    text_index.write_index(c, path)
+    return text_index.search(q, text_index.read_index(spark, path))
+
+
+@query(f"""WITH w AS (SELECT unnest({INDEX.format('text', 20)}) AS token FROM documents WHERE doc_id % 17 <> 0) SELECT token, count(*) AS chunks, count(*) AS occurrences FROM w GROUP BY token""")
+def t8_index_frequencies(spark, d):
+    """How many chunks each token of the index has in its body; tokens of a chunk are distinct."""
+    path = shared_path(spark, "text-index")
+    text_index.write_index(keyword_tables(spark, d)[1], path)
+    return text_index.frequencies(text_index.read_index(spark, path)).where("part = 'body'").select("token", "chunks", "occurrences")
 
 
 @query("SELECT conv_id, turn, CASE WHEN conv_id % 3 = 1 THEN 'query: ' || text ELSE text END AS query FROM conversations WHERE role = 'user'")

@@ -37,10 +37,14 @@ def index_tokens(text: Column, longest: int = 20) -> Column:
     return F.array_distinct(F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 2) & (F.length(w) <= longest)))
 
 
+#: White space of any kind, for a character class.
+WHITE = r"\s\x0B\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def excerpt(text: Column, whole: int = 10_000, head: int = 8_500, tail: int = 1_500) -> Column:
     """The text, or its head, a note of how much is left out, and its tail."""
     n = F.length(text)
-    note = F.concat(F.lit("\n[... "), (n - head - tail).cast("string"), F.lit(" characters omitted ...]\n"))
+    note = F.concat(F.lit("\n\n[… "), (n - head - tail).cast("string"), F.lit(" characters omitted …]\n\n"))
     return F.when(n <= whole, text).otherwise(F.concat(F.substring(text, 1, head), note, F.right(text, F.lit(tail))))
 
 
@@ -64,8 +68,8 @@ def escaped(text: Column) -> Column:
 
 
 def no_text_in_html(html: Column) -> Column:
-    """Is nothing but white space left when tags are dropped?"""
-    return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), r"\s+", " ")) == ""
+    """Is nothing but white space, of any kind, left when tags are dropped? A bracket that closes nothing goes, and one that isn't closed takes the rest with it."""
+    return F.regexp_replace(html, r"<[^>]*(>|\z)|>", "").rlike(rf"\A[{WHITE}]*\z")
 
 
 def user_key(name: Column, source: Column, user: Column) -> Column:
@@ -74,10 +78,11 @@ def user_key(name: Column, source: Column, user: Column) -> Column:
 
 
 def url_id(url: Column) -> Column:
-    """The query parameter p, else the last part of the path."""
-    p = F.nullif(F.regexp_extract(url, r"[?&]p=([^&#]*)", 1), F.lit(""))
-    path = F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "/+$", "")
-    return F.coalesce(p, F.nullif(F.regexp_extract(path, "([^/]*)$", 1), F.lit("")))
+    """The first query parameter p that isn't empty, decoded, else the last part of the path; null where the path is empty, whatever the host."""
+    p = F.nullif(F.regexp_extract(F.regexp_extract(url, r"\A[^?#]*\?([^#]*)", 1), r"(?:\A|&)p=([^&]+)", 1), F.lit(""))
+    path = F.regexp_extract(url, r"\A(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    path = F.regexp_replace(F.regexp_replace(path, r";[^/]*\z", ""), r"/+\z", "")
+    return F.coalesce(F.try_url_decode(p), p, F.nullif(F.regexp_extract(path, r"([^/]*)\z", 1), F.lit("")))
 
 
 #: Tokens of a course code that mark a variant of the course.
@@ -122,8 +127,9 @@ def semesters_of(day: Column) -> Column:
 
 
 def in_realm(name: Column, realm: str) -> Column:
-    """local@realm, or a subdomain of the realm; trimmed, any case."""
-    return F.lower(F.trim(name)).rlike(rf"^[^@\s]+@([a-z0-9-]+\.)*{realm.replace('.', chr(92) + '.')}$")
+    """Is what follows the last @ the realm or a subdomain of it, and something before it? Trimmed, any case; the rest isn't looked at."""
+    at = F.regexp_extract(F.lower(stripped(name)), r"(?s)\A.+@([^@]+)\z", 1)
+    return (at == realm) | at.endswith(f".{realm}")
 
 
 def yes(text: Column) -> Column:
@@ -208,22 +214,25 @@ def unfenced(raw: Column) -> Column:
 
 
 def verdict(raw: Column, kinds: tuple) -> Column:
-    """struct(kind, confidence) of a classifier's JSON reply, confidence within 0 and 1; null where it isn't JSON, lacks a field or names an unknown kind."""
-    got = F.from_json(unfenced(raw), "kind string, confidence double")
-    ok = got["kind"].isin(*kinds) & got["confidence"].isNotNull()
+    """struct(kind, confidence) of a classifier's JSON reply, confidence within 0 and 1; null where it isn't JSON from end to end, lacks a field or names an unknown kind."""
+    # As the one element of a list, so that nothing may follow it.
+    all_of = F.from_json(F.concat(F.lit("["), unfenced(raw), F.lit("]")), "array<struct<kind: string, confidence: double>>")
+    got = F.get(all_of, F.lit(0))
+    ok = (F.size(all_of) == 1) & got["kind"].isin(*kinds) & got["confidence"].isNotNull()
     return F.when(ok, F.struct(got["kind"].alias("kind"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), got["confidence"])).alias("confidence")))
 
 
 def last_line(text: Column) -> Column:
-    return F.trim(F.element_at(F.split(F.regexp_replace(text, r"\r?\n$", ""), "\n"), -1))
+    """Trimmed; one line break at the end ends a line and begins none."""
+    return F.regexp_replace(F.element_at(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"), -1), rf"\A[{WHITE}]+|[{WHITE}]+\z", "")
 
 
 def sentence_boundary(text: Column, least: int = 100, long: int = 300) -> Column:
     """May a streamed text be cut at its end? Not in short ones, table rows, open code fences and list items; after a blank line, or a sentence's end in a long one."""
     in_row = lambda line: line.startswith("|") | line.startswith("- ") | line.startswith("* ")
     fences = (F.length(text) - F.length(F.replace(text, F.lit("```"), F.lit("")))) / 3
-    body = F.regexp_replace(text, r"\s+$", "")
-    ended = (F.octet_length(text) > long) & body.rlike(r"[.?!]$") & ~in_row(last_line(body))
+    body = F.regexp_replace(text, rf"[{WHITE}]+\z", "")
+    ended = (F.octet_length(text) > long) & body.rlike(r"[.?!]\z") & ~in_row(last_line(body))
     return (F.octet_length(text) >= least) & ~in_row(last_line(text)) & (fences % 2 == 0) & (text.endswith("\n\n") | ended)
 
 

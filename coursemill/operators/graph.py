@@ -9,6 +9,23 @@ THEORY = ("lecture", "reading", "transcript")
 PRACTICE = ("assignment_brief", "lab_brief", "exam", "tutorial_exercise")
 
 
+EDGE = ["src", "dst", "relation"]
+
+
+def reject_edges(edges: DataFrame, vetoes: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, vetoes) after a teacher's rejection: the edges are marked, and their keys become vetoes; keys without an edge do nothing."""
+    hit = edges.join(keys.select(*EDGE).distinct(), EDGE, "left_semi").select(*EDGE).distinct()
+    marked = edges.join(hit.withColumn("_hit", F.lit(True)), EDGE, "left").withColumn("rejected", F.col("rejected") | F.coalesce("_hit", F.lit(False)))
+    return marked.select(*edges.columns), vetoes.select(*EDGE).unionByName(hit).distinct()
+
+
+def unreject_edges(edges: DataFrame, vetoes: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, vetoes) after rejections were taken back: the edges stay, no longer marked, and their vetoes go; keys without an edge do nothing."""
+    hit = edges.join(keys.select(*EDGE).distinct(), EDGE, "left_semi").select(*EDGE).distinct()
+    cleared = edges.join(hit.withColumn("_hit", F.lit(True)), EDGE, "left").withColumn("rejected", F.col("rejected") & F.col("_hit").isNull())
+    return cleared.select(*edges.columns), vetoes.join(hit, EDGE, "left_anti")
+
+
 def neighbours(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, partner): part_of_unit both ways, applied_in from its source only; rejected edges and the node itself are left out. Where both ends are sources, only src gets the partner."""
     live = edges.where("not rejected and src <> dst")

@@ -25,15 +25,39 @@ def colliding(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def merged_documents(docs: DataFrame, source: str, target: str) -> DataFrame:
-    """Documents after one course is merged into another: collisions and their children become orphans, all move, and live ones that aren't links wait to be read anew."""
+    """Documents after one course is merged into another: collisions and their children become orphans and lose their address, all move, and live ones that aren't links wait to be read anew, without a pooled vector (column `pooled`)."""
     s, t = docs.where(F.col("course_id") == source), docs.where(F.col("course_id") == target)
     hit = colliding(s, t)
     gone = hit.unionByName(s.join(hit.select(F.col("doc_id").alias("parent_id")), "parent_id", "left_semi").select("doc_id")).distinct().withColumn("_gone", F.lit(True))
-    moved = s.join(gone, "doc_id", "left").withColumn("orphaned", F.col("orphaned") | F.coalesce("_gone", F.lit(False))).drop("_gone").withColumn("course_id", F.lit(target))
+    moved = s.join(gone, "doc_id", "left").withColumn("source_url", F.when(F.col("orphaned") | F.col("_gone").isNull(), F.col("source_url")))
+    moved = moved.withColumn("orphaned", F.col("orphaned") | F.coalesce("_gone", F.lit(False))).drop("_gone").withColumn("course_id", F.lit(target))
     moved = moved.withColumn("status", F.when(~F.col("orphaned") & ~F.col("is_link"), "pending").otherwise(F.col("status")))
+    if "pooled" in docs.columns:
+        moved = moved.withColumn("pooled", F.when(F.col("orphaned") | F.col("is_link"), F.col("pooled")))
     return docs.where(F.col("course_id").isNull() | (F.col("course_id") != source)).unionByName(moved.select(*docs.columns))
 
 
+def merge_course(t, source: str, target: str) -> None:
+    """One course merged into another, in a store's transaction with the tables documents, members(course_id, user_id, role), ledger(course_id, day, tokens), config(course_id, name) and courses(course_id, state).
+
+    Documents as in merged_documents(); members keep the higher role; tokens are added day by
+    day; names that the target has not move, the rest go; the source is marked as merged. Only
+    rows of the two courses are written, and only when the transaction is committed.
+    """
+    docs = t.read("documents")
+    moving = docs.where(F.col("course_id") == source).select(F.col("doc_id").alias("_id"))
+    t.upsert("documents", merged_documents(docs.where(F.col("course_id").isin(source, target)), source, target).join(moving, F.col("doc_id") == F.col("_id"), "left_semi"))
+    members = t.read("members").where(F.col("course_id").isin(source, target))
+    t.upsert("members", merged_members(members, source, target))
+    ledger = t.read("ledger").where(F.col("course_id") == source)
+    t.upsert("ledger", ledger.withColumn("course_id", F.lit(target)), add=("tokens",))
+    config = t.read("config").where(F.col("course_id").isin(source, target))
+    t.upsert("config", move_unless_there(config, source, target, ["name"]))
+    for name in ("members", "ledger", "config"):
+        t.delete(name, t.read(name).where(F.col("course_id") == source))
+    t.upsert("courses", t.spark.createDataFrame([(source, "merged")], "course_id string, state string"))
+
+
 def move_unless_there(rows: DataFrame, source, target, keys: list, course: str = "course_id") -> DataFrame:
     """Rows of the source course join the target's, but for keys that the target has; these go."""
     there = rows.where(F.col(course) == target)
@@ -78,13 +102,29 @@ def roster(members: DataFrame, domains) -> DataFrame:
     return rows.withColumn("refused", ~F.col("synthetic") & ~domain_allowed(F.col("name"), domains))
 
 
+#: Role names that make a teacher, wherever they are in a role.
+TEACHER_ROLES = (
+    "http://purl.imsglobal.org/vocab/lis/v2/membership#Instructor",
+    "http://purl.imsglobal.org/vocab/lis/v2/institution/person#Instructor",
+    "http://purl.imsglobal.org/vocab/lis/v2/membership#ContentDeveloper",
+    "http://purl.imsglobal.org/vocab/lis/v2/institution/person#Faculty",
+    "http://purl.imsglobal.org/vocab/lis/v2/system/person#Administrator",
+    "http://purl.imsglobal.org/vocab/lis/v2/institution/person#Administrator",
+    "http://purl.imsglobal.org/vocab/lis/v2/membership#Administrator",
+)
+
+
+def teaches(role: Column) -> Column:
+    return F.greatest(*(role.contains(r) for r in TEACHER_ROLES))
+
+
 def roster_actions(rows: DataFrame, present: DataFrame, provided: DataFrame, owners: DataFrame) -> DataFrame:
     """rows: roster(); present(name, role): members of the course; provided(context_id, name): who came by which context; owners(name) -> (name, action), one context at a time or many.
 
     add, suggest_teacher; for those that a context no longer lists: forget for owners and
     those that another context still lists, remove for others.
     """
-    live = rows.where("not refused").groupBy("context_id", "name").agg(F.max(F.exists("roles", lambda r: r.contains("Instructor"))).alias("teaches"))
+    live = rows.where("not refused").groupBy("context_id", "name").agg(F.max(F.exists("roles", teaches)).alias("teaches"))
     have = present.select("name", "role")
     known = live.join(have, "name", "left")
     add = known.where("role is null").select("name", F.lit("add").alias("action"))
@@ -146,10 +186,10 @@ def merge_suggestions(courses: DataFrame) -> DataFrame:
 
 
 def suggestion_state(courses: DataFrame, docs: DataFrame, latest: int = 3, stale_after: float = 24.0) -> DataFrame:
-    """courses(course_id, age_hours, seen): what to do with each course's suggested questions: keep young ones, touch old ones whose latest documents are the same, else make them anew."""
+    """courses(course_id, age_hours, seen): what to do with each course's suggested questions: keep young ones, touch old ones whose latest documents are the same (none counts as the same as none), else make them anew, as where there are no questions yet (a null age)."""
     w = Window.partitionBy("course_id").orderBy(F.desc("created"), F.desc("doc_id"))
     last = docs.where("status = 'ready'").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= latest)
     ids = last.groupBy("course_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "doc_id"))), lambda x: x["doc_id"]).alias("now"))
     out = courses.join(ids, "course_id", "left")
-    state = F.when(F.col("age_hours") < stale_after, "keep").when(F.col("now").eqNullSafe(F.col("seen")), "touch").otherwise("make")
+    state = F.when(F.col("age_hours") < stale_after, "keep").when(F.col("age_hours").isNotNull() & (F.coalesce("now", F.array()) == F.coalesce("seen", F.array())), "touch").otherwise("make")
     return out.select("course_id", state.alias("state"))

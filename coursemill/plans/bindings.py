@@ -12,7 +12,7 @@ AS_OF = "2024-01-15"
 RATE = "decimal(12,6)"
 #: (model, USD per million prompt tokens, per million completion tokens); null: unknown, 0: free.
 PRICES = [("click", "0.150000", "0.600000"), ("error", None, None), ("purchase", "2.500000", "10.000000"), ("signup", "0.000000", "0.000000"), ("view", "0.050000", "0.080000")]
-#: Kinds of a chunk by its number; the last is what a null is shown as.
+#: Kinds of a chunk by its number, the last is what a null is shown as; and statuses of a document.
 KINDS = ("lecture", "reading", "tutorial_exercise", "assignment_brief", "sample_solution", "lab_brief", "exam", "syllabus", "transcript", "unknown")
 STATUSES = ("awaiting_transcript", "failed", "pending", "processing", "ready", "unsupported", "awaiting_video_index")
 

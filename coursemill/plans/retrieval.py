@@ -212,14 +212,17 @@ def c7_fully_rejected(spark, d):
     return graph.fully_rejected(p.select(F.explode(rows).alias("r")).select("r.*")).toDF("a_id", "b_id")
 
 
-@query(f"WITH {EDGES} SELECT src, dst, relation, rejected OR ((src * dst) % 5 = 0 AND relation = 'part_of_unit') AS rejected FROM edges WHERE NOT (rejected AND dst % 7 = 0)")
+@query(
+    f"""WITH {EDGES}, r AS (SELECT src, dst, relation, (rejected OR ((src * dst) % 5 = 0 AND relation = 'part_of_unit')) AND NOT dst % 7 = 0 AS now FROM edges)
+  SELECT src, dst, relation, now AS rejected, now AS veto FROM r"""
+)
 def c8_reject_edges(spark, d):
-    """Edges after teachers have rejected some and taken back other rejections, which deletes the edge's veto and the edge until it is linked anew."""
+    """Edges and vetoes after teachers have rejected some and taken back rejections, whose edges stay."""
     e = edges(spark, d).select("src", "dst", "relation", "rejected")
-    new = e.where("(src * dst) % 5 = 0 and relation = 'part_of_unit'").select("src", "dst", "relation", F.lit(True).alias("now"))
-    undone = e.where("rejected and dst % 7 = 0").select("src", "dst", "relation")
-    left = e.join(undone, ["src", "dst", "relation"], "left_anti").join(new, ["src", "dst", "relation"], "left")
-    return left.select("src", "dst", "relation", (F.col("rejected") | F.coalesce("now", F.lit(False))).alias("rejected"))
+    e, vetoes = graph.reject_edges(e, e.where("rejected"), e.where("(src * dst) % 5 = 0 and relation = 'part_of_unit'"))
+    e, vetoes = graph.unreject_edges(e, vetoes, e.where("dst % 7 = 0").unionByName(e.where("dst % 7 = 1").withColumn("relation", F.lit("no_such"))))
+    v = vetoes.withColumn("veto", F.lit(True))
+    return e.join(v, ["src", "dst", "relation"], "left").select("src", "dst", "relation", "rejected", F.coalesce("veto", F.lit(False)).alias("veto"))
 
 
 @query(

@@ -231,14 +231,16 @@ def c1_ingest(spark, d):
 # People ---------------------------------------------------------------------------------
 
 ROSTER = """roster AS (SELECT c_nationkey AS context_id, 'k' || c_custkey AS user_key, CASE WHEN c_custkey % 5 <> 0 AND c_nationkey <> 6 THEN CASE WHEN c_custkey % 7 = 0 THEN 'a' || c_custkey || '@else.example' ELSE 'A' || c_custkey || '@uni.example' END END AS email,
-  CASE WHEN c_custkey % 11 = 0 THEN 'Inactive' WHEN c_custkey % 2 = 0 THEN 'Active' END AS status, c_custkey % 13 = 0 AS teaches, c_custkey FROM customer),
+  CASE WHEN c_custkey % 11 = 0 THEN 'Inactive' WHEN c_custkey % 2 = 0 THEN 'Active' END AS status, c_custkey % 13 IN (0, 1, 3) AS teaches, c_custkey FROM customer),
   act AS (SELECT *, email IS NULL AS synthetic, coalesce(lower(email), 'lti_' || user_key) AS name FROM roster WHERE coalesce(status, 'Active') = 'Active'), live AS (SELECT * FROM act WHERE synthetic OR name LIKE '%@uni.example')"""
 
 
 def rosters(spark, d):
     k = F.col("c_custkey")
     mail = F.when(k % 7 == 0, F.concat(F.lit("a"), k.cast("string"), F.lit("@else.example"))).otherwise(F.concat(F.lit("A"), k.cast("string"), F.lit("@uni.example")))
-    roles = F.when(k % 13 == 0, F.array(F.lit("membership#Instructor"))).otherwise(F.array(F.lit("membership#Learner")))
+    role = lambda name: F.lit(f"http://purl.imsglobal.org/vocab/lis/v2/{name}")
+    roles = F.when(k % 13 == 0, F.array(role("membership#Learner"), role("membership#Instructor"))).when(k % 13 == 1, F.array(role("institution/person#Faculty"))).when(k % 13 == 2, F.array(role("membership/Instructor#TeachingAssistant")))
+    roles = roles.when(k % 13 == 3, F.array(role("system/person#Administrator"))).when(k % 13 == 4, F.array(F.lit("Instructor"))).otherwise(F.array(role("membership#Learner")))
     return table(spark, d, "customer").select(
         F.col("c_nationkey").alias("context_id"), F.concat(F.lit("k"), k.cast("string")).alias("user_key"), F.when((k % 5 != 0) & (F.col("c_nationkey") != 6), mail).alias("email"),
         F.when(k % 11 == 0, "Inactive").when(k % 2 == 0, "Active").alias("status"), roles.alias("roles"), k,
@@ -393,14 +395,17 @@ def a24_merge_suggestions(spark, d):
 
 @query(
     f"""WITH {COURSE_DOCS}, last AS (SELECT course_id, array_to_string(list(doc_id ORDER BY r), ',') AS now FROM (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY n_chars DESC, doc_id DESC) AS r FROM course_docs WHERE status = 'ready') WHERE r <= 3 GROUP BY course_id),
-  c AS (SELECT DISTINCT course_id, strlen(course_id) > 2 AS odd, course_id < 'en' AS young, course_id = 'en' AS same FROM course_docs) SELECT course_id, CASE WHEN young THEN 'keep' WHEN same THEN 'touch' ELSE 'make' END AS state FROM c"""
+  c AS (SELECT DISTINCT course_id, strlen(course_id) > 2 AS odd, course_id < 'en' AS young, course_id = 'en' AS same FROM course_docs) SELECT course_id, CASE WHEN young THEN 'keep' WHEN same THEN 'touch' ELSE 'make' END AS state FROM c
+  UNION ALL SELECT course_id || '-unasked', 'make' FROM c UNION ALL SELECT course_id || '-empty', 'touch' FROM c UNION ALL SELECT course_id || '-emptied', 'make' FROM c"""
 )
 def c18_suggested_questions(spark, d):
     docs = course_docs(spark, d).withColumn("created", F.col("n_chars"))
     top = review.top_by(docs.where("status = 'ready' and course_id = 'en'"), ["course_id"], [F.desc("n_chars"), F.desc("doc_id")], 3)
     seen = top.groupBy("course_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("seen"))
     courses = docs.select("course_id").distinct().withColumn("age_hours", F.when(F.col("course_id") < "en", 23.5).otherwise(30.0)).join(seen, "course_id", "left")
-    return sync.suggestion_state(courses, docs)
+    none = lambda name, age, ids: courses.select(F.concat("course_id", F.lit(name)).alias("course_id"), F.lit(age).cast("double").alias("age_hours"), ids.cast("array<long>").alias("seen"))
+    more = none("-unasked", None, F.lit(None)).unionByName(none("-empty", 30.0, F.array())).unionByName(none("-emptied", 30.0, F.array(F.lit(1))))
+    return sync.suggestion_state(courses.unionByName(more), docs)
 
 
 @query(f"WITH {COURSE_DOCS} SELECT doc_id, filename FROM course_docs WHERE course_id = 'en' ORDER BY n_chars DESC, doc_id")

@@ -170,7 +170,7 @@ def t11_query_prefix(spark, d):
     return users(spark, d).select("conv_id", "turn", T.prefixed_query(F.col("text"), F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")), ("m1",)).alias("query"))
 
 
-@query("SELECT doc_id, sha256(CASE WHEN length(text) <= 10000 THEN text ELSE left(text, 8500) || chr(10) || '[... ' || (length(text) - 10000) || ' characters omitted ...]' || chr(10) || right(text, 1500) END) AS excerpt_hash FROM documents")
+@query("SELECT doc_id, sha256(CASE WHEN length(text) <= 10000 THEN text ELSE left(text, 8500) || chr(10) || chr(10) || '[… ' || (length(text) - 10000) || ' characters omitted …]' || chr(10) || chr(10) || right(text, 1500) END) AS excerpt_hash FROM documents")
 def t12_excerpt(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(T.excerpt(F.col("text")), 256).alias("excerpt_hash"))
 
@@ -193,7 +193,7 @@ def t14_heads_of_latest(spark, d):
 
 NTH = f"([{', '.join(repr(k) for k in KINDS)}])[CAST(doc_id % 10 AS INTEGER) + 1]"
 REPLIES = f"""replies AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '```json' || chr(10) || '{{"kind": "' || {NTH} || '", "confidence": ' || doc_id % 3 || '.5}}' || chr(10) || '```' WHEN 1 THEN ' {{"kind": "' || {NTH} || '", "confidence": 0.25}}'
-  WHEN 2 THEN '{{"kind": "poem", "confidence": 0.5}}' WHEN 3 THEN '{{"kind": "' || {NTH} || '"}}' ELSE 'I think it is a lecture.' END AS raw FROM documents)"""
+  WHEN 2 THEN '{{"kind": "poem", "confidence": 0.5}}' WHEN 3 THEN '{{"kind": "' || {NTH} || '"}}' ELSE CASE WHEN doc_id % 10 = 9 THEN '{{"kind": "exam", "confidence": 0.5}} Hope that helps!' ELSE 'I think it is a lecture.' END END AS raw FROM documents)"""
 BARE = "trim(regexp_replace(raw, '^\\s*```(?:json)?\\s*|\\s*```\\s*$|^\\s+|\\s+$', '', 'g'))"
 
 
@@ -201,7 +201,7 @@ def replies(spark, d):
     i, kind = F.col("doc_id"), nth(KINDS, F.col("doc_id") % 10)
     say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
     raw = F.when(i % 5 == 0, say('```json\n{"kind": "', kind, '", "confidence": ', (i % 3).cast("string"), ".5}\n```")).when(i % 5 == 1, say(' {"kind": "', kind, '", "confidence": 0.25}'))
-    raw = raw.when(i % 5 == 2, '{"kind": "poem", "confidence": 0.5}').when(i % 5 == 3, say('{"kind": "', kind, '"}')).otherwise("I think it is a lecture.")
+    raw = raw.when(i % 5 == 2, '{"kind": "poem", "confidence": 0.5}').when(i % 5 == 3, say('{"kind": "', kind, '"}')).when(i % 10 == 9, '{"kind": "exam", "confidence": 0.5} Hope that helps!').otherwise("I think it is a lecture.")
     return table(spark, d, "documents").select("doc_id", raw.alias("raw"))
 
 
@@ -220,9 +220,9 @@ def t16_yes(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.yes(s).alias("yes"))
 
 
-LAST = "trim(string_split(regexp_replace({0}, '\\r?\\n$', ''), chr(10))[-1])"
+LAST = "regexp_replace(string_split(regexp_replace({0}, '\\n$', ''), chr(10))[-1], '^\\s+|\\s+$', '', 'g')"
 ROW = "(starts_with({0}, '|') OR starts_with({0}, '- ') OR starts_with({0}, '* '))"
-TAILED = "(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN text || chr(10) || '| a | b.' WHEN 1 THEN text || chr(10) || chr(10) WHEN 2 THEN text || ' ``` code.' WHEN 3 THEN left(text, 90) ELSE text || ' End.' END AS s FROM documents)"
+TAILED = "(SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN text || chr(10) || '| a | b.' WHEN 1 THEN text || chr(10) || chr(10) WHEN 2 THEN text || ' ``` code.' WHEN 3 THEN left(text, 90) WHEN 6 THEN text || chr(10) || '- item' || chr(10) || chr(10) WHEN 7 THEN text || chr(10) || chr(9) || '| a | b. ' WHEN 8 THEN text || chr(10) || '* item.' || chr(13) || chr(10) ELSE text || ' End.' END AS s FROM documents)"
 BODY = "regexp_replace(s, '\\s+$', '')"
 
 
@@ -231,8 +231,9 @@ BODY = "regexp_replace(s, '\\s+$', '')"
   AND (suffix(s, chr(10) || chr(10)) OR (strlen(s) > 300 AND regexp_matches({BODY}, '[.?!]$') AND NOT {ROW.format(LAST.format(BODY))})) AS boundary FROM {TAILED}"""
 )
 def t17_sentence_boundary(spark, d):
-    i, t = F.col("doc_id") % 6, F.col("text")
-    s = F.when(i == 0, F.concat(t, F.lit("\n| a | b."))).when(i == 1, F.concat(t, F.lit("\n\n"))).when(i == 2, F.concat(t, F.lit(" ``` code."))).when(i == 3, F.substring(t, 1, 90)).otherwise(F.concat(t, F.lit(" End.")))
+    i, t = F.col("doc_id") % 9, F.col("text")
+    s = F.when(i == 0, F.concat(t, F.lit("\n| a | b."))).when(i == 1, F.concat(t, F.lit("\n\n"))).when(i == 2, F.concat(t, F.lit(" ``` code."))).when(i == 3, F.substring(t, 1, 90))
+    s = s.when(i == 6, F.concat(t, F.lit("\n- item\n\n"))).when(i == 7, F.concat(t, F.lit("\n\t| a | b. "))).when(i == 8, F.concat(t, F.lit("\n* item.\r\n"))).otherwise(F.concat(t, F.lit(" End.")))
     return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", T.sentence_boundary(F.col("s")).alias("boundary"))
 
 
@@ -315,12 +316,13 @@ def t24_escape(spark, d):
 
 
 @query(
-    """SELECT page_id, coalesce(nullif(regexp_extract(u, '[?&]p=([^&#]*)', 1), ''), nullif(regexp_extract(regexp_replace(regexp_replace(u, '[?#].*$', ''), '/+$', ''), '([^/]*)$', 1), '')) AS id
-  FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url || '?x=1&p=' || page_id ELSE url || '/' END AS u FROM pages)"""
+    """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'id ' || page_id || '/é' WHEN 1 THEN NULL WHEN 3 THEN CAST(page_id AS VARCHAR) ELSE nullif(regexp_extract(regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1), '') END AS id FROM pages"""
 )
 def t25_url_id(spark, d):
-    i = F.col("page_id")
-    u = F.when(i % 3 == 0, F.concat("url", F.lit("?x=1&p="), i.cast("string"))).otherwise(F.concat("url", F.lit("/")))
+    i, at = F.col("page_id"), F.regexp_replace("url", "[?#].*$", "")
+    say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    u = F.when(i % 6 == 0, say(at, "?x=1&p=&p=id+", i.cast("string"), "%2F%C3%A9#p=no")).when(i % 6 == 1, "https://play.example.org/?q=p").when(i % 6 == 3, say(at, "?p=", i.cast("string")))
+    u = u.when(i % 6 == 4, say(at, ";v=1?up=2#a/b")).otherwise(say(at, "/"))
     return table(spark, d, "pages").select("page_id", T.url_id(u).alias("id"))
 
 
@@ -395,12 +397,12 @@ def t34_semester_key(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.when(key < 0, -1.0).otherwise(key).alias("key"))
 
 
-REALMS = ("a@uni.example", "B@dept.uni.example", "c@otheruni.example", "@uni.example", "d@x@uni.example", "e")
+REALMS = ("a@uni.example", "B@dept.uni.example", "c@otheruni.example", "@uni.example", "d@x@uni.example", "e", " a b@uni.example ", "a@x_y.uni.example", "a@uni.example@else.example", "uni.example@")
 
 
-@query(f"SELECT c_custkey, regexp_matches(lower(trim(s)), '^[^@\\s]+@([a-z0-9-]+\\.)*uni\\.example$') AS inside FROM (SELECT c_custkey, ([{', '.join(repr(x) for x in REALMS)}])[CAST(c_custkey % 6 AS INTEGER) + 1] AS s FROM customer)")
+@query(f"SELECT c_custkey, len(string_split(s, '@')) > 1 AND ends_with('.' || lower(trim(string_split(s, '@')[-1])), '.uni.example') AND trim(s) NOT LIKE '@%' AS inside FROM (SELECT c_custkey, ([{', '.join(repr(x) for x in REALMS)}])[CAST(c_custkey % 10 AS INTEGER) + 1] AS s FROM customer)")
 def t35_realm(spark, d):
-    return table(spark, d, "customer").select("c_custkey", T.in_realm(nth(REALMS, F.col("c_custkey") % 6), "uni.example").alias("inside"))
+    return table(spark, d, "customer").select("c_custkey", T.in_realm(nth(REALMS, F.col("c_custkey") % 10), "uni.example").alias("inside"))
 
 
 @query("SELECT o_orderkey, CASE WHEN month(o_orderdate) <= 6 THEN 'VT' || year(o_orderdate) || ',HT' || year(o_orderdate) ELSE 'HT' || year(o_orderdate) || ',VT' || (year(o_orderdate) + 1) END AS semesters FROM orders")
@@ -423,9 +425,10 @@ def w8_title(spark, d):
     return first.select("conv_id", T.title(F.col("t")).alias("title"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) = '' AS empty FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '<p> <br></p>' || chr(10) ELSE html END AS h FROM pages)")
+@query("SELECT page_id, page_id % 8 IN (0, 1, 2, 4) AS empty FROM pages")
 def p17_no_text(spark, d):
-    h = F.when(F.col("page_id") % 4 == 0, "<p> <br></p>\n").otherwise(F.col("html"))
+    i = F.col("page_id") % 8
+    h = F.when(i == 0, "<p> <br></p>\n").when(i == 1, "\xa0 > <p").when(i == 2, "<p><b\n>\u2003</p>").when(i == 3, "<p> a < b").when(i == 4, "").otherwise(F.concat(F.lit("x"), "html"))
     return table(spark, d, "pages").select("page_id", T.no_text_in_html(h).alias("empty"))
 
 
@@ -487,10 +490,10 @@ def backup_files(pages):
 
 @query(
     """SELECT 'backup-' || page_id // 20 AS archive, 'activities/page_' || page_id AS folder, 'page' AS kind, left(coalesce(nullif(regexp_replace(regexp_replace(url, '[^\\p{L}\\p{N}_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'untitled'), 120) AS title, 'Body of ' || page_id AS text
-  FROM pages WHERE page_id % 5 <> 0 AND page_id % 4 <> 3 AND (page_id % 3 <> 0 OR page_id % 100 <= 50)"""
+  FROM pages WHERE page_id % 5 <> 0 AND (page_id % 3 <> 0 OR page_id % 100 <= 50)"""
 )
 def s6_archives(spark, d):
-    """Activities that are visible at time 50 in backups of 20 pages each."""
+    """Activities that are visible at time 50 in backups of 20 pages each, in hidden sections too."""
     pages = table(spark, d, "pages").select(F.concat(F.lit("backup-"), F.expr("page_id div 20").cast("string")).alias("path"), "page_id", "url")
     files = pages.groupBy("path").applyInPandas(packed, "path string, content binary")
     return archives.visible_items(archives.archive_rows(files), 50)

@@ -56,13 +56,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def visible_items(rows: DataFrame, now: int) -> DataFrame:
-    """archive_rows() -> (archive, folder, kind, title, text): the visible activities of each archive, by their module's visibility and availability and that of their section; `title` is a safe file name."""
+    """archive_rows() -> (archive, folder, kind, title, text): the visible activities of each archive, by their own module's visibility and availability, whatever their section's; `title` is a safe file name."""
     f = F.col("fields")
     folder = F.regexp_extract("entry", "^(activities/[^/]+)/", 1)
     seen = visible(f["visible"].cast("int"), F.coalesce(f["availability"], f["availabilityjson"]), now)
-    section = rows.where("tag = 'section'").select("archive", F.col("key").alias("section_id"), seen.alias("section_visible"))
-    module = rows.where("tag = 'module'").select("archive", folder.alias("folder"), f["sectionid"].alias("section_id"), f["modulename"].alias("kind"), seen.alias("shown")).where("shown")
-    module = module.join(section, ["archive", "section_id"], "left").where("coalesce(section_visible, true)")
+    module = rows.where("tag = 'module'").select("archive", folder.alias("folder"), f["modulename"].alias("kind"), seen.alias("shown")).where("shown")
     body = rows.where("tag = 'activity'").select("archive", folder.alias("folder"), f["name"].alias("name"), F.coalesce(f["content"], f["intro"], F.lit("")).alias("text"))
     return module.join(body, ["archive", "folder"]).select("archive", "folder", "kind", slug(F.col("name")).alias("title"), "text")
 

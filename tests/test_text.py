@@ -193,6 +193,6 @@ def test_archive_items(spark, tmp_path):
             info = tarfile.TarInfo(name)
             info.size = len(text.encode())
             tar.addfile(info, io.BytesIO(text.encode()))
-    now = [(r.kind, r.title, r.text) for r in archives.archive_items(spark, str(tmp_path), 50).collect()]
-    assert now == [("page", "Week_1_start", "Hello")]
-    assert {r.title for r in archives.archive_items(spark, str(tmp_path), 100).collect()} == {"Week_1_start", "Later"}
+    now = sorted((r.kind, r.title, r.text) for r in archives.archive_items(spark, str(tmp_path), 50).collect())
+    assert now == [("page", "Hidden_section", ""), ("page", "Week_1_start", "Hello")]  # a module decides for itself
+    assert {r.title for r in archives.archive_items(spark, str(tmp_path), 100).collect()} == {"Week_1_start", "Hidden_section", "Later"}

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -25,6 +26,8 @@ from .common import text_list
 #: Fixed values of HTML: elements without content, elements whose text isn't shown, block-level elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style template noscript iframe object svg math textarea select".split())
+#: Of those: elements that may hold their like, and elements that a slash closes.
+NESTED, FOREIGN = frozenset("svg math template object".split()), frozenset("svg math".split())
 BLOCK = frozenset(
     "html head body title div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th section article aside nav header footer main form fieldset legend blockquote pre figure figcaption address details summary hr center button label dialog hgroup menu search".split()
 )
@@ -43,10 +46,11 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass
 class Leaf:
-    """One leaf block."""
+    """One leaf block: its tag, its ancestors' distinct names from the outermost, the nearest part of the page, and distinct words of the ancestors' class, id and role."""
 
     tag: str
     path: tuple
+    part: str
     words: tuple
     text: str
     linked: int
@@ -100,20 +104,88 @@ def tag_finder(page: str) -> Callable[[int], tuple | None]:
     return following
 
 
+def hidden_end(page: str, name: str, at: int) -> int:
+    """Where a hidden element that was opened before `at` ends: at its own closing tag, or with the page. Those that may hold their like are counted in and out."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).finditer(page, at, page.rfind(">") + 1):
+        if m[1]:
+            depth -= 1
+        elif name in NESTED and not (name in FOREIGN and m[0].endswith("/>")):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(page)
+
+
+class Stack:
+    """The open elements, with what is asked about them kept up to date: no question looks through all of them."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.said: list[tuple] = []
+        self.at: dict[str, list[int]] = {}  # places of each open name; names in the order of their outermost
+        self.words: dict[str, int] = {}
+        self.barriers: list[int] = []
+        self.blocks: list[str] = []
+        self.parts: list[str] = []
+
+    def push(self, name: str, words: tuple) -> None:
+        i = len(self.names)
+        self.names.append(name)
+        self.said.append(words)
+        self.at.setdefault(name, []).append(i)
+        for w in words:
+            self.words[w] = self.words.get(w, 0) + 1
+        for kept, kinds, x in ((self.barriers, BARRIER, i), (self.blocks, BLOCK, name), (self.parts, PARTS, name)):
+            if name in kinds:
+                kept.append(x)
+
+    def pop_to(self, i: int) -> None:
+        while len(self.names) > i:
+            name = self.names.pop()
+            self.at[name].pop()
+            if not self.at[name]:
+                del self.at[name]
+            for w in self.said.pop():
+                self.words[w] -= 1
+                if not self.words[w]:
+                    del self.words[w]
+            for kept, kinds in ((self.barriers, BARRIER), (self.blocks, BLOCK), (self.parts, PARTS)):
+                if name in kinds:
+                    kept.pop()
+
+    def close(self, name: str) -> None:
+        """A closing tag ends the innermost element of its name; one that isn't a block doesn't reach out of its container."""
+        if name in self.at:
+            i = self.at[name][-1]
+            if name in BLOCK or not self.barriers or i >= self.barriers[-1]:
+                self.pop_to(i)
+
+    def make_room(self, name: str) -> None:
+        """An opening block ends paragraphs, and what it stands beside, inside the nearest container that isn't such itself."""
+        ends = ("p", *CLOSES.get(name, ()))
+        low = next((i for i in reversed(self.barriers) if self.names[i] not in ends), -1)
+        first = [places[k] for t in ends if (places := self.at.get(t)) and (k := bisect_right(places, low)) < len(places)]
+        if first:
+            self.pop_to(min(first))
+
+
 def leaf_blocks(page: str) -> list[Leaf]:
-    """The leaf blocks of a page in order; unclosed and stray tags are taken as browsers mostly do."""
-    stack: list[tuple[str, tuple]] = []
+    """The leaf blocks of a page in order; unclosed and stray tags are taken as browsers mostly do.
+
+    Linear in the page but for a block's distinct ancestor names and words, however deep it is.
+    """
+    stack = Stack()
     out: list[Leaf] = []
     parts: list[str] = []
-    link_depth = linked = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                tag = next((t for t, _ in reversed(stack) if t in BLOCK), "body")
-                out.append(Leaf(tag, tuple(t for t, _ in stack), tuple(w for _, ws in stack for w in ws), text, linked))
+                out.append(Leaf(stack.blocks[-1] if stack.blocks else "body", tuple(stack.at), stack.parts[-1] if stack.parts else "body", tuple(stack.words), text, linked))
             parts.clear()
         linked = 0
 
@@ -121,15 +193,9 @@ def leaf_blocks(page: str) -> list[Leaf]:
         nonlocal linked
         if a < b:
             parts.append(page[a:b])
-            if link_depth:
+            if "a" in stack.at:
                 linked += b - a
 
-    def pop_to(i: int) -> None:
-        nonlocal link_depth
-        for t, _ in stack[i:]:
-            link_depth -= t == "a"
-        del stack[i:]
-
     at, following = 0, tag_finder(page)
     while found := following(at):
         start, end, slash, name, words = found
@@ -141,31 +207,19 @@ def leaf_blocks(page: str) -> list[Leaf]:
         if name in BLOCK:
             flush()
         if slash:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
-                if name not in BLOCK and stack[i][0] in BARRIER:
-                    break
+            stack.close(name)
             continue
         if name in HIDDEN:
-            if page[end - 2] != "/":
-                shut = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = shut.end() if shut else len(page)
+            if not (name in FOREIGN and page[end - 2] == "/"):  # elsewhere the slash means nothing
+                at = hidden_end(page, name, at)
             continue
         if name == "br":
             parts.append(" ")
         if name in VOID:
             continue
         if name in BLOCK:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] in CLOSES.get(name, ()):
-                    pop_to(i)
-                elif stack[i][0] in BARRIER:
-                    break
-        if name == "a":
-            link_depth += 1
-        stack.append((name, words))
+            stack.make_room(name)
+        stack.push(name, words)
     text(at, len(page))
     flush()
     return out
@@ -193,10 +247,10 @@ def features(blocks: list[Leaf]) -> list[list[str]]:
         n = b.text.count(" ") + 1
         link = b.linked / max(len(b.text), 1)
         f = ["bias", f"tag={b.tag}", f"words={min(n.bit_length(), 7)}", f"link={0 if link < 0.2 else 1 if link < 0.7 else 2}"]
-        f += [f"in={t}" for t in dict.fromkeys(b.path)]
+        f += [f"in={t}" for t in b.path]
         # The block's tag under the nearest part of the page: a paragraph right in an article differs from a box in it.
-        f.append(f"under={next((t for t in reversed(b.path) if t in PARTS), 'body')}>{b.tag}")
-        f += [f"name={w}" for w in dict.fromkeys(b.words)]
+        f.append(f"under={b.part}>{b.tag}")
+        f += [f"name={w}" for w in b.words]
         f += [f"named={kind}" for kind, names in OTHER_NAMES.items() if not set(b.words).isdisjoint(names)]
         f.append(f"end={b.text[-1] if b.text[-1] in '.!?:,;' else 'other'}")
         if "©" in b.text:

@@ -85,3 +85,23 @@ def test_quotes_within_tags():
     assert [b.text for b in h.leaf_blocks("<p title = 'a>b' class=\">\">One</p>")] == ["One"]
     assert [b.words for b in h.leaf_blocks("<p data-x='class=no' class=side-Bar ID = \"top nav\" role='main'>One</p>")] == [("side", "bar", "top", "nav", "main")]
     assert [b.text for b in h.leaf_blocks("<p>One</p><p title='never closed>Two</p><p>Three</p>")] == ["One", "Two", "Three"]
+
+
+def test_hidden_elements_end_at_their_own_closing_tag():
+    said = lambda page: [b.text for b in h.leaf_blocks(page)]
+    for inner in ('<script src="a.js"/>var a = 1;</script>', "<script src=/js/app/>var t = 1 < 2;</script>", "<textarea/>typed words</textarea>", "<svg><svg>in</svg>more</svg>", "<svg/>", "<math/>", "<svg><svg/>x</svg>", "<template><template>a</template>b</template>", '<style>a<style>b</style>'):
+        assert said(f"<p>One.</p>{inner}<p>Two.</p>") == ["One.", "Two."], inner
+    assert said("<p>One.</p><svg><svg>never</svg><p>closed</p>") == ["One."]
+    assert said("<p>One.</p><script>x</scripty></script><p>Two.</p>") == ["One.", "Two."]
+
+
+def test_deep_and_unclosed_pages_are_linear():
+    n = 30_000
+    for page, blocks in (("<div>x" * n, n), ("<p><span>x" * n + "</b>" * n, n), ("<table><a>" + "<span>x" * n + "</a>" * n, 1), ("<svg>x" * n, 0), ("<svg " * n, 0), ("<li>x" * n + "</ul>" * n, n)):
+        began = time.process_time()
+        found = h.leaf_blocks(page)
+        h.features(found)
+        assert len(found) == blocks or page.startswith("<svg ")
+        assert time.process_time() - began < 10
+    deep = h.leaf_blocks("<div class=a><section class='b a'><div><p>x</p></div></section><p>y</p></div>")
+    assert [(b.tag, b.path, b.part, b.words) for b in deep] == [("p", ("div", "section", "p"), "section", ("a", "b")), ("p", ("div", "p"), "body", ("a",))]

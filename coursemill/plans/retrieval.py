@@ -12,6 +12,7 @@ from ..functions import text
 from ..operators import graph, ingest, retrieval, vectors
 from ..operators.durable import shared_path
 from ..sources import tables
+from ..sources.vector_index import VectorIndex, cells_for
 from .bindings import CHUNKS, COURSE_DOCS, KINDS, chunks, course_docs, nth, table
 from .registry import query
 from .text import BARE, REPLIES, replies
@@ -88,6 +89,16 @@ def k1_nearest_chunks(spark, d):
     return found(spark, d).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {FOUND} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM found")
+def k1_indexed_chunks(spark, d):
+    """The same search through an index on disk, all of whose cells are probed; orphans are left out before the best are taken."""
+    c = chunks(spark, d)
+    index = VectorIndex.build(c.select("vec_id", "v"), shared_path(spark, "vector-index"), cells_for(c.count()))
+    q = c.where(F.col("vec_id") % EACH == 0).select(F.col("vec_id").alias("query_id"), "v")
+    best = index.search(q, K, floor=FLOOR, excluded=c.where("orphaned").select("vec_id"), skip_self=True)
+    return best.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("SELECT k, greatest(least(greatest(k * 4, 30), 80), k) AS candidates FROM (SELECT CAST(range AS BIGINT) AS k FROM range(1, 121))")
 def k2_candidates(spark, d):
     return spark.range(1, 121).select(F.col("id").alias("k"), vectors.candidate_count(F.col("id")).cast("long").alias("candidates"))

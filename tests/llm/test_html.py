@@ -1,3 +1,5 @@
+import time
+
 from coursemill.llm import html_extract as h
 
 PAGE = """<!DOCTYPE html><html><head><title>Some title</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>

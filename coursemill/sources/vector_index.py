@@ -100,7 +100,7 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.vectors = spark.read.schema("vec_id long, v array<double>, cell int").parquet(f"{path}/vectors")
         rows = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
-        self.centres = np.array([r.centre for r in rows if r.cell >= 0]).reshape(sum(r.cell >= 0 for r in rows), -1)
+        self.centres = np.array([r.centre for r in rows if r.cell >= 0]) if any(r.cell >= 0 for r in rows) else np.zeros((0, 0))
         self.sizes = spark.createDataFrame([(r.cell, r.n) for r in rows], "cell int, n long")
 
     @classmethod

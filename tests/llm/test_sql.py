@@ -22,7 +22,9 @@ def test_sql_on_copies(spark, tmp_path):
     base = [[r.gauss(0, 1) for _ in range(16)] for _ in range(8)]
     vecs = [(i, r.choice([None, [0.0] * 16, [float("nan")] * 16] + [[x + r.gauss(0, 0.02) for x in base[i % 8]]] * 12)) for i in range(80)]
     spark.createDataFrame(vecs, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "vec"))
-    for folder, name in (("in", "pages"), ("vec", "embeddings")):
+    docs = [(i % 50, r.choice([None, "", "  ", "<P>", "a <M> b", *("".join(r.choice("ab é日\n\t.😀") for _ in range(r.randint(1, 60))) for _ in range(20))])) for i in range(120)]
+    spark.createDataFrame([*docs, (None, "no id here")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "doc"))
+    for folder, name in (("in", "pages"), ("vec", "embeddings"), ("doc", "documents")):
         next((tmp_path / folder).glob("part-*.parquet")).rename(tmp_path / f"{name}.parquet")
     con = twins.connect(str(tmp_path))
     for name, sql in queries.oracle_sql().items():

@@ -2,8 +2,8 @@
 
 Each source's documents get the same expected number of copies, target / size of the
 source. Whole copies are certain; the fractions are rounded in pairs: a random transfer of
-words between two documents keeps each one's chance and the words of the pair, and makes
-one of the two whole. Buckets of documents round on their own and leave one fraction each;
+words between a document and those still open keeps each one's chance and the words of all,
+and makes one of them whole, large documents first. Buckets of documents round on their own and leave one fraction each;
 those are rounded again, `FAN` buckets at a time, until one is left for a source.
 """
 
@@ -80,25 +80,41 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
 
 
 def pivot(p: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Round the chances p in turn, keeping sum(p * w); one of them may stay a fraction."""
-    p = p.astype(float).copy()
-    u, eps, held = rng.random(len(p)), 1e-12, -1
-    for i in range(len(p)):
-        if p[i] <= eps or p[i] >= 1 - eps:
-            p[i] = round(p[i])
-            continue
-        if held < 0:
-            held = i
-            continue
-        up, down = min((1 - p[held]) * w[held], p[i] * w[i]), min(p[held] * w[held], (1 - p[i]) * w[i])
-        step = up if u[i] * (up + down) < down else -down
-        p[held] += step / w[held]
-        p[i] -= step / w[i]
-        for j in (held, i):
-            if p[j] <= eps or p[j] >= 1 - eps:
-                p[j] = round(p[j])
-        open_ = [j for j in (held, i) if 0 < p[j] < 1]
-        held = open_[0] if open_ else -1
+    """Round the chances p, keeping each one's expectation and sum(p * w); one of them may stay a fraction.
+
+    The open unit of the largest w is paired with all other open ones: a random transfer of
+    words makes it whole, or one of them. So the fraction that is left is the smallest
+    unit's, unless a unit is larger than all the others can balance.
+    """
+    p, eps = p.astype(float).copy(), 1e-12
+    p[p <= eps], p[p >= 1 - eps] = 0.0, 1.0
+    left = np.flatnonzero((p > 0) & (p < 1))
+    left = left[np.argsort(-w[left], kind="stable")]
+    if len(left) > 1 and np.ptp(p[left]) == 0:
+        # Equal chances stay equal, so one number stands for all that are open.
+        q, rest, u = float(p[left[0]]), np.cumsum(w[left][::-1])[::-1], rng.random(len(left))
+        for k, i in enumerate(left[:-1]):
+            mine, others = float(w[i]), float(rest[k + 1])
+            up, down = min((1 - q) * mine, q * others), min(q * mine, (1 - q) * others)
+            if u[k] * (up + down) < down:
+                p[i], q = (1.0, q - up / others) if up < q * others else (q + up / mine, 0.0)
+            else:
+                p[i], q = (0.0, q + down / others) if down < (1 - q) * others else (q - down / mine, 1.0)
+            if q <= eps or q >= 1 - eps:
+                break
+        p[left[k + 1 :]] = round(q) if q <= eps or q >= 1 - eps else q
+        p[np.abs(p - np.round(p)) <= eps] = np.round(p[np.abs(p - np.round(p)) <= eps])
+        return p
+    while len(left) > 1:
+        i, rest = left[0], left[1:]
+        share = p[rest] * (1 - p[rest])
+        share /= (share * w[rest]).sum()
+        up, down = min((1 - p[i]) * w[i], (p[rest] / share).min()), min(p[i] * w[i], ((1 - p[rest]) / share).min())
+        step = up if rng.random() * (up + down) < down else -down
+        p[i] += step / w[i]
+        p[rest] -= step * share
+        p[left] = np.where(p[left] <= eps, 0.0, np.where(p[left] >= 1 - eps, 1.0, p[left]))
+        left = left[(p[left] > 0) & (p[left] < 1)]
     return p
 
 
@@ -116,7 +132,8 @@ def mix_sources(units: DataFrame, share: float = 1.5, most: float = 2.0, weights
     """units(id, source, size) -> (id, source, size, source_size, target, copies): one row per unit.
 
     Copies are within one of target / source_size, so a unit never exceeds `most` copies. A
-    source's words end within one (small) unit of its target. Order, file layout and reruns
+    source's words end within the smallest unit of a bucket of its target; where one unit is
+    larger than its bucket's others can balance, within half of that unit. Order, file layout and reruns
     don't change the result: buckets and random numbers follow from ids and sizes, and equal
     units, null ids included, are counted and then numbered, so they spread over buckets too.
     A null source is a source of its own and comes last; a unit of size 0 is never taken; an
@@ -149,7 +166,7 @@ def mix_sources(units: DataFrame, share: float = 1.5, most: float = 2.0, weights
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
-    # The last fraction of a source is decided by its own chance.
-    last = (F.expr(f"pmod(xxhash64(order, source, {seed + 1}), 1000003)") / 1000003) < F.col("p")
+    # The last fraction of a source goes where its words come nearest to the target.
+    last = F.col("p") >= 0.5
     copies = F.col("whole") + F.when(F.col("p").isin(0.0, 1.0), F.col("p")).otherwise(last.cast("double")).cast("long")
     return every.select("id", "source", "size", "source_size", "target", copies.alias("copies"))

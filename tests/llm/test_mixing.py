@@ -83,3 +83,34 @@ def test_equal_units_spread_over_buckets(spark, monkeypatch):
         assert abs(sum(x.copies * x.size for x in mine) - mine[0].target) <= 5
     shares = [sum(x.copies for x in got if x.source == "hot" and x.id == i) / n for i, n in ((None, 700), (1, 300))]
     assert abs(shares[0] - shares[1]) < 0.25
+
+
+def test_a_huge_document_is_balanced_by_small_ones(spark, monkeypatch):
+    r = random.Random(9)
+    small = {s: [r.randint(20, 90) for _ in range(4000)] for s in ("a", "b", "c")}
+    rows = [(i, s, n) for i, (s, n) in enumerate((s, n) for s in small for n in small[s])] + [(10**6 + k, s, 100_000) for k, s in enumerate("abc")]
+    for rows_of_bucket in (8192, 1000):
+        monkeypatch.setattr(m, "BUCKET_ROWS", rows_of_bucket)
+        for seed in range(3):
+            got = m.mix_sources(spark.createDataFrame(rows, UNITS), seed=seed).collect()
+            for s in small:
+                mine = [x for x in got if x.source == s]
+                off = abs(sum(x.copies * x.size for x in mine) - mine[0].target)
+                assert off <= (90 if rows_of_bucket == 8192 else 50_000)
+
+
+def test_the_fraction_left_is_the_smallest():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for equal in (True, False):
+        for k in range(200):
+            w = np.sort(r.integers(1, 50, 60).astype(float))[::-1].copy()
+            w[0] = 500.0
+            p = np.full(60, 0.45) if equal else r.uniform(0.3, 0.7, 60)
+            q = m.pivot(p, w, np.random.default_rng(k))
+            open_ = np.flatnonzero((q > 0) & (q < 1))
+            assert abs((q * w).sum() - (p * w).sum()) < 1e-6 and len(open_) <= 1
+            assert all(w[i] <= 50 for i in open_)
+    total = np.mean([m.pivot(np.full(6, 0.4), np.array([90.0, 20, 10, 5, 5, 1]), np.random.default_rng(i)) for i in range(8000)], axis=0)
+    assert np.abs(total - 0.4).max() < 0.03

@@ -88,11 +88,11 @@ def debounced(marks: DataFrame, sweep: float | None = None, quiet: float = DEBOU
 
 
 def bad_since(checks: DataFrame) -> DataFrame:
-    """checks(id, at, ok) -> with `since`: when the current row of failures began; null while it is well. No state but windows."""
+    """checks(id, at, ok) -> with `since`: when the current row of failures began; null while it is well. A check that is neither (ok is null) leaves it as it was. No state but windows."""
     w = Window.partitionBy("id").orderBy("at")
     runs = checks.withColumn("_run", F.count_if("ok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min(F.when(~F.col("ok"), F.col("at"))).over(Window.partitionBy("id", "_run"))
-    return runs.withColumn("since", F.when(~F.col("ok"), first)).drop("_run")
+    so_far = Window.partitionBy("id", "_run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return runs.withColumn("since", F.min(F.when(~F.col("ok"), F.col("at"))).over(so_far)).drop("_run")
 
 
 def low_confidence(tokens: DataFrame, boundary: Column, least: float = LOW) -> DataFrame:

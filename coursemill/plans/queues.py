@@ -283,3 +283,50 @@ def m9_unit_conversion(spark, d):
     return g.select("event_type", F.round(F.col("v") / 3600 / 24 / 30 * 3600 / 1e6, 12).alias("usd_per_hour"))
 
 
+def range_sql(seconds: int, step: int, node: int) -> str:
+    """The growth of each series (event_type, node) in each window, by a join of windows and samples."""
+    return f"""t AS (SELECT event_type, user_id % {node} AS node, epoch_us(ts) AS tm, CAST(n % 40 AS DOUBLE) * 2 AS v FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id % {node} ORDER BY ts, event_id) AS n FROM events)),
+  e AS (SELECT unnest(range((SELECT min(tm) FROM t) // {step * 10**6} * {step * 10**6}, (SELECT max(tm) FROM t) + {(seconds + step) * 10**6}, {step * 10**6})) AS e),
+  j AS (SELECT event_type, node, e, tm, v, lag(v) OVER (PARTITION BY event_type, node, e ORDER BY tm) AS b FROM e JOIN t ON tm > e - {seconds * 10**6} AND tm <= e),
+  g AS (SELECT event_type, node, e, count(*) AS n, min(tm) AS a, max(tm) AS z, arg_min(v, tm) AS va, arg_max(v, tm) - arg_min(v, tm) + sum(CASE WHEN b > v THEN b ELSE 0 END) AS inc FROM j GROUP BY ALL HAVING count(*) > 1),
+  q AS (SELECT *, CAST(z - a AS DOUBLE) AS span, CAST(z - a AS DOUBLE) / (n - 1) AS gap, CAST(a - (e - {seconds * 10**6}) AS DOUBLE) AS l, CAST(e - z AS DOUBLE) AS r FROM g),
+  x AS (SELECT event_type, node, make_timestamp(e) AS at_time, inc * ((span + CASE WHEN inc > 0 THEN least(CASE WHEN l >= gap * 1.1 THEN gap / 2 ELSE l END, span * (va / inc)) WHEN l >= gap * 1.1 THEN gap / 2 ELSE l END + CASE WHEN r >= gap * 1.1 THEN gap / 2 ELSE r END) / span) AS increase FROM q)"""
+
+
+def range_counters(spark, d, node: int):
+    """A counter per type and node that restarts at each 40th of its samples."""
+    from pyspark.sql import Window
+
+    k = F.col("user_id") % node
+    w = Window.partitionBy("event_type", k).orderBy("ts", "event_id")
+    return table(spark, d, "events").select("event_type", k.alias("node"), F.col("ts").cast("timestamp").alias("ts"), ((F.row_number().over(w) % 40).cast("double") * 2).alias("value"))
+
+
+@query(f"WITH {range_sql(7200, 1800, 2)} SELECT event_type, strftime(at_time, '%Y-%m-%d %H:%M') AS time, round(sum(increase / 7200.0), 6) AS rate FROM x GROUP BY ALL")
+def m1_rate_of_ranges(spark, d):
+    """sum by (event_type)(rate(c[2h])) at every half hour."""
+    r = metrics.range_increase(range_counters(spark, d, 2), ["event_type", "node"], 7200, 1800)
+    return r.groupBy("event_type", "time").agg(F.round(F.sum("rate"), 6).alias("rate")).withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm"))
+
+
+@query(f"WITH {range_sql(10800, 3600, 3)} SELECT event_type, node, strftime(at_time, '%Y-%m-%d %H:%M') AS time, round(increase, 6) AS increase FROM x")
+def m5_increase_of_ranges(spark, d):
+    """increase(c[3h]) at every hour."""
+    r = metrics.range_increase(range_counters(spark, d, 3), ["event_type", "node"], 10800, 3600)
+    return r.select("event_type", "node", F.date_format("time", "yyyy-MM-dd HH:mm").alias("time"), F.round("increase", 6).alias("increase"))
+
+
+#: Failures, successes, and statuses that are neither.
+STATES = "(SELECT user_id AS id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CASE WHEN event_type IN ('error', 'view') THEN false WHEN event_type <> 'click' THEN true END AS ok FROM events)"
+
+
+@query(
+    f"""WITH RECURSIVE s AS {STATES}, f AS (SELECT id, event_id, pos, CASE WHEN NOT ok THEN pos END AS since FROM s WHERE pos = 1
+    UNION ALL SELECT s.id, s.event_id, s.pos, CASE WHEN s.ok IS NULL THEN f.since WHEN NOT s.ok THEN coalesce(f.since, s.pos) END FROM f JOIN s ON s.id = f.id AND s.pos = f.pos + 1)
+  SELECT event_id, since FROM f"""
+)
+def st9_latch_of_three_states(spark, d):
+    """Of clicks the latch learns nothing."""
+    e = table(spark, d, "events").select("event_id", "event_type")
+    c = checks(spark, d).join(e, "event_id").withColumn("ok", F.when(F.col("event_type") != "click", F.col("ok")))
+    return queues.bad_since(c).select("event_id", "since")

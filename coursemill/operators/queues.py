@@ -124,6 +124,30 @@ def stop_reasons(steps: DataFrame, restarts: int = 5, iterations: int = 8, most_
     return first.select("run_id", F.col("f.i").alias("last"), F.col("f.reason").alias("reason"))
 
 
+def loop_ends(steps: DataFrame, token_cap: int, restarts: int = 5, iterations: int = 8, most_bytes: int = 100_000) -> DataFrame:
+    """steps(run_id, i, outcome, low, added, tokens, bytes, heading) -> (run_id, iterations, reason): how a loop of retrieval and writing ended; a run that hasn't has no row.
+
+    i counts from 1. A step's outcome is `error`, `completed`, `repeat` or `limit`; low: a
+    sentence of low confidence is there; added: its lookup brought something new, which
+    makes it a restart; heading: what was written repeats a heading of the text before it.
+    First the step is judged (error, heading, completed, repeat, restarts), then whether
+    another may follow (tokens, iterations, bytes). Steps after the last allowed one are
+    left out first, so a run has few rows. Unknown flags and numbers count as no and 0.
+    """
+    w = Window.partitionBy("run_id").orderBy("i")
+    before, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    yes, n = lambda c: F.coalesce(F.col(c), F.lit(False)), lambda c: F.coalesce(F.col(c), F.lit(0))
+    s = steps.where(F.col("i") <= iterations).select("run_id", "i", "outcome", yes("low").alias("low"), yes("added").alias("added"), n("tokens").alias("tokens"), n("bytes").alias("bytes"), yes("heading").alias("heading"))
+    s = s.withColumns({"text": F.coalesce(F.sum("bytes").over(before), F.lit(0)), "all_bytes": F.sum("bytes").over(so_far), "all_tokens": F.sum("tokens").over(so_far)})
+    limit = F.col("outcome") == "limit"
+    s = s.withColumn("again", F.coalesce(F.count_if(limit & F.col("low") & F.col("added")).over(before), F.lit(0)))
+    why = F.when(F.col("outcome") == "error", "error").when(F.col("heading") & (F.col("text") > 0) & (F.col("bytes") > 0), "heading")
+    why = why.when(F.col("outcome").isin("completed", "repeat"), F.col("outcome")).when(limit & F.col("low") & (F.col("again") >= restarts), "restarts")
+    why = why.when(F.col("all_tokens") >= token_cap, "tokens").when(F.col("i") >= iterations, "iterations").when(F.col("all_bytes") > most_bytes, "bytes")
+    first = s.withColumn("reason", why).where("reason is not null").groupBy("run_id").agg(F.min(F.struct("i", "reason")).alias("f"))
+    return first.select("run_id", F.col("f.i").alias("iterations"), F.col("f.reason").alias("reason"))
+
+
 def routed_status(ext: Column, hosted_pdf: Column, awaits: Column, supported: tuple) -> Column:
     """What becomes of a new document: links to hosted PDFs are tracked, links to a video wait for its transcript, other links and unknown types are unsupported."""
     return F.when(ext == "url", F.when(hosted_pdf, "tracked").when(awaits, "awaiting_transcript").otherwise("unsupported")).when(ext.isin(*supported), "processing").otherwise("unsupported")

@@ -44,6 +44,19 @@ def popular(messages: DataFrame, most: int = 15) -> DataFrame:
     return messages.sparkSession.createDataFrame(chosen, "place long, term string, n long")
 
 
+def topic_conversations(topics: DataFrame, messages: DataFrame) -> DataFrame:
+    """(place, term, conv_id): every conversation of each topic, those that another topic has too. Topics are few (see popular), so they are sent to the postings, which stay where they are."""
+    return terms(messages).join(F.broadcast(topics.select("place", "term")), "term").select("place", "term", "conv_id")
+
+
+def topic_overview(members: DataFrame, conversations: DataFrame) -> DataFrame:
+    """members(place, term, conv_id), conversations(conv_id, user_id, messages) -> (place, term, conversations, unique_users, total_messages); a conversation that isn't known counts, without user or messages."""
+    known = members.join(conversations.select("conv_id", "user_id", "messages"), "conv_id", "left")
+    # By user first, so that a topic of very many users isn't made distinct in one task.
+    users = known.groupBy("place", "term", "user_id").agg(F.count("*").alias("n"), F.sum("messages").alias("m"))
+    return users.groupBy("place", "term").agg(F.sum("n").alias("conversations"), F.count("user_id").alias("unique_users"), F.coalesce(F.sum("m"), F.lit(0)).alias("total_messages"))
+
+
 def kept_prefix(items: DataFrame, key: str, order: str, size: Column, budget: int = 8192, slack: int = 80) -> DataFrame:
     """(key, kept, omitted): how many leading items fit when written as a JSON array; all of them if the whole fits without slack."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

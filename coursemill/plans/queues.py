@@ -330,3 +330,29 @@ def st9_latch_of_three_states(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type")
     c = checks(spark, d).join(e, "event_id").withColumn("ok", F.when(F.col("event_type") != "click", F.col("ok")))
     return queues.bad_since(c).select("event_id", "since")
+
+
+LOOPS = """(SELECT user_id * 1000 + (i - 1) // 10 AS run_id, (i - 1) % 10 + 1 AS i, CASE WHEN event_id % 41 = 0 THEN 'error' WHEN event_id % 43 = 0 THEN 'completed' WHEN event_id % 47 = 0 THEN 'repeat' ELSE 'limit' END AS outcome,
+  event_type <> 'signup' AS low, event_id % 7 <> 0 AS added, CAST(floor(value * 10) AS BIGINT) AS tokens, CAST(floor(value * 100) AS BIGINT) AS bytes, event_id % 31 = 0 AS heading
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events))"""
+
+
+@query(
+    f"""WITH RECURSIVE s AS MATERIALIZED {LOOPS},
+  f AS (SELECT run_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS restarts, CAST(0 AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS reason FROM (SELECT DISTINCT run_id FROM s)
+    UNION ALL SELECT s.run_id, s.i, f.restarts + CASE WHEN s.outcome = 'limit' AND s.low AND s.added THEN 1 ELSE 0 END, f.tokens + s.tokens, f.bytes + s.bytes,
+      CASE WHEN s.outcome = 'error' THEN 'error' WHEN s.heading AND f.bytes > 0 AND s.bytes > 0 THEN 'heading' WHEN s.outcome <> 'limit' THEN s.outcome WHEN s.low AND f.restarts >= 5 THEN 'restarts'
+        WHEN f.tokens + s.tokens >= 3000 THEN 'tokens' WHEN s.i >= 8 THEN 'iterations' WHEN f.bytes + s.bytes > 30000 THEN 'bytes' END
+    FROM f JOIN s ON s.run_id = f.run_id AND s.i = f.i + 1 WHERE f.reason IS NULL)
+  SELECT run_id, i AS iterations, reason FROM f WHERE reason IS NOT NULL"""
+)
+def st11_loop_ends(spark, d):
+    """Runs of ten events of a user each."""
+    c = checks(spark, d).select("event_id", (F.col("at") - 1).alias("at"))
+    e, i = F.col("event_type"), F.col("event_id")
+    outcome = F.when(i % 41 == 0, "error").when(i % 43 == 0, "completed").when(i % 47 == 0, "repeat").otherwise("limit")
+    s = table(spark, d, "events").join(c, "event_id").select(
+        (F.col("user_id") * 1000 + F.expr("at div 10")).alias("run_id"), (F.col("at") % 10 + 1).alias("i"), outcome.alias("outcome"), (e != "signup").alias("low"), (i % 7 != 0).alias("added"),
+        F.floor(F.col("value") * 10).cast("long").alias("tokens"), F.floor(F.col("value") * 100).cast("long").alias("bytes"), (i % 31 == 0).alias("heading"),
+    )
+    return queues.loop_ends(s, token_cap=3000, most_bytes=30_000)

@@ -39,11 +39,32 @@ def t7_topic_candidates(spark, d):
     return topics.candidates(topics.terms(users(spark, d)))
 
 
-@query()
+#: Topics picked one after the other, with the conversations that have been picked so far.
+PICKED = f"""WITH RECURSIVE {TERMS}, cand AS MATERIALIZED (SELECT term, count(*) AS n, list(conv_id ORDER BY conv_id) AS convs FROM terms GROUP BY term HAVING count(*) >= 2),
+  f AS (SELECT CAST(0 AS BIGINT) AS place, '' AS term, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS convs, CAST([] AS BIGINT[]) AS taken
+    UNION ALL SELECT place + 1, b.term, b.n, b.convs, list_concat(taken, b.convs) FROM (SELECT f.place, f.taken, arg_min(c, (CASE WHEN instr(c.term, ' ') > 0 THEN 0 ELSE 1 END, -c.n, c.term)) AS b FROM f JOIN cand c ON len(list_filter(c.convs, lambda x: NOT list_contains(f.taken, x))) >= 2 WHERE f.place < 15 GROUP BY f.place, f.taken))"""
+
+
+@query(f"{PICKED} SELECT place, term, n FROM f WHERE place > 0")
 def a21_popular_topics(spark, d):
     return topics.popular(users(spark, d))
 
 
+@query(f"{PICKED} SELECT place, term, unnest(convs) AS conv_id FROM f WHERE place > 0")
+def a21_topic_conversations(spark, d):
+    return topics.topic_conversations(topics.popular(users(spark, d)), users(spark, d))
+
+
+@query(
+    f"""{PICKED}, m AS (SELECT conv_id, conv_id % 37 AS user_id, count(*) AS messages FROM conversations GROUP BY 1)
+  SELECT place, term, count(*) AS conversations, count(DISTINCT user_id) AS unique_users, CAST(sum(messages) AS BIGINT) AS total_messages FROM (SELECT place, term, unnest(convs) AS conv_id FROM f WHERE place > 0) JOIN m USING (conv_id) GROUP BY ALL"""
+)
+def a21_topic_overview(spark, d):
+    """Topics with their conversations, users and messages; a user has every 37th conversation."""
+    about = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages")).withColumn("user_id", F.col("conv_id") % 37)
+    return topics.topic_overview(topics.topic_conversations(topics.popular(users(spark, d)), users(spark, d)), about)
+
+
 @query(f"WITH {COURSE_DOCS} SELECT doc_id, lower(coalesce(nullif(regexp_extract(filename, '\\.([^./\\\\]+)$', 1), ''), 'bin')) AS ext FROM course_docs")
 def s5_extension(spark, d):
     return course_docs(spark, d).select("doc_id", T.extension(F.col("filename")).alias("ext"))

@@ -1,4 +1,4 @@
-"""Growth of counters over ranges, against a plain loop."""
+"""Growth of counters over ranges, latches and loops, against plain loops."""
 
 import random
 
@@ -72,3 +72,39 @@ def test_a_check_that_is_neither_leaves_the_latch(spark):
     rows = [(1, 1, None), (1, 2, False), (1, 3, None), (1, 4, False), (1, 5, True), (1, 6, None), (1, 7, False)]
     out = queues.bad_since(spark.createDataFrame(rows, "id long, at long, ok boolean")).orderBy("at").collect()
     assert [r.since for r in out] == [None, 2, 2, 2, None, None, 7]
+
+
+def brute_loop(steps, cap, most_bytes):
+    restarts = tokens = size = done = 0
+    for outcome, low, added, t, b, heading in steps:
+        done += 1
+        if outcome == "error":
+            return done, "error"
+        if heading and size > 0 and b:
+            return done, "heading"
+        if outcome != "limit":
+            return done, outcome
+        if low and restarts >= 5:
+            return done, "restarts"
+        restarts, tokens, size = restarts + bool(low and added), tokens + (t or 0), size + (b or 0)
+        for reason, holds in (("tokens", tokens >= cap), ("iterations", done >= 8), ("bytes", size > most_bytes)):
+            if holds:
+                return done, reason
+    return None
+
+
+def test_loops_end_as_a_plain_loop_does(spark):
+    r = random.Random(8)
+    rows, want = [], {}
+    for run in range(600):
+        steps = [
+            (r.choices(["limit", "error", "completed", "repeat"], [20, 1, 1, 1])[0], r.choice([True, True, True, False, None]), r.random() < 0.9, r.choice([None, 1, 10, 60]), r.choice([None, 0, 10, 40]), r.random() < 0.03)
+            for _ in range(r.randint(1, 11))
+        ]
+        rows += [(run, i, *s) for i, s in enumerate(steps, 1)]
+        if end := brute_loop(steps, 300, 150):
+            want[run] = end
+    df = spark.createDataFrame(rows, "run_id long, i long, outcome string, low boolean, added boolean, tokens long, bytes long, heading boolean")
+    got = {x.run_id: (x.iterations, x.reason) for x in queues.loop_ends(df, 300, most_bytes=150).collect()}
+    assert got == want
+    assert {reason for _, reason in want.values()} == {"error", "heading", "completed", "repeat", "restarts", "tokens", "iterations", "bytes"}

@@ -196,3 +196,16 @@ def test_archive_items(spark, tmp_path):
     now = sorted((r.kind, r.title, r.text) for r in archives.archive_items(spark, str(tmp_path), 50).collect())
     assert now == [("page", "Hidden_section", ""), ("page", "Week_1_start", "Hello")]  # a module decides for itself
     assert {r.title for r in archives.archive_items(spark, str(tmp_path), 100).collect()} == {"Week_1_start", "Hidden_section", "Later"}
+
+
+def test_topics_and_their_conversations(spark):
+    said = [(1, "graph theory"), (2, "graph theory"), (3, "graph theory basics"), (4, "basics"), (5, "basics"), (None, "basics"), (7, None)]
+    m = spark.createDataFrame(said, "conv_id long, text string")
+    about = spark.createDataFrame([(1, 10, 4), (2, 10, 1), (3, 11, 2), (4, None, 9)], "conv_id long, user_id long, messages long")
+    top = topics.popular(m)
+    members = topics.topic_conversations(top, m)
+    got = {r.term: (r.conversations, r.unique_users, r.total_messages) for r in topics.topic_overview(members, about).collect()}
+    assert got["graph theory"] == (3, 2, 7)
+    assert got["basics"] == (4, 1, 11)
+    none = spark.createDataFrame([], "conv_id long, text string")
+    assert topics.topic_overview(topics.topic_conversations(topics.popular(none), none), about).count() == 0

@@ -48,13 +48,13 @@ def s7_paged_stream(spark, sf_dir):
   (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) AS i, c_nationkey AS n FROM customer WHERE c_acctbal > 0)
   SELECT context_id, user_id, status, email, CAST(i // 100 AS INTEGER) AS page FROM m""")
 def s8_roster(spark, sf_dir):
-    """Members of every roster container, a hundred a page; a last page that links to itself ends the container."""
+    """Members of every roster container, a hundred a page, to the end, as containers grow with the table; a last page that links to itself ends the container."""
     path = shared_path(spark, "rosters")
     c = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").where("c_acctbal > 0")
     item = F.struct(F.concat(F.lit("u"), c.cast("string")).alias("user_id"), F.when(c % 7 == 0, "Inactive").otherwise("Active").alias("status"), F.concat(F.lower("c_mktsegment"), F.lit("@uni.example")).alias("email"))
     paged.store_pages(rows, "c_nationkey", "c_custkey", item, 100, path, self_link=True)
     contexts = [r[0] for r in rows.select("c_nationkey").distinct().orderBy("c_nationkey").collect()]
-    got = paged.roster_members(spark, [f"{path}/listing={x}/page=0" for x in contexts])
+    got = paged.roster_members(spark, [f"{path}/listing={x}/page=0" for x in contexts], most=0)
     m = F.from_json("item", "user_id string, status string, email string")
     return got.select(F.regexp_extract("start", "listing=([0-9]+)/", 1).cast("int").alias("context_id"), m["user_id"].alias("user_id"), m["status"].alias("status"), m["email"].alias("email"), "page")

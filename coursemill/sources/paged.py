@@ -66,10 +66,13 @@ class _Options:
         self.most, self.field, self.token = int(options.get("maxPages", 0)), options.get("field"), options.get("token")
 
     def read(self, p: Listing) -> Iterator[tuple]:
-        link, number = p.link, p.first
+        link, number, seen = p.link, p.first, set()
         while link and (p.count is None or number < p.first + p.count):
             if self.most and number >= self.most:
                 raise ValueError(f"{p.start} has more than {self.most} pages")
+            if link in seen:
+                raise ValueError(f"{p.start} comes back to {link}")
+            seen.add(link)
             items, link = fetch(link, self.field, self.token)
             for i, item in enumerate(items):
                 yield p.start, number, i, json.dumps(item, ensure_ascii=False, sort_keys=True)
@@ -108,10 +111,13 @@ class PagedStreamReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         out = {}
         for s in self.o.starts:
-            link, last, n = self._after(s, self.seen[s]), self.seen[s]["last"], self.seen[s]["pages"]
+            link, last, n, seen = self._after(s, self.seen[s]), self.seen[s]["last"], self.seen[s]["pages"], set()
             while link:
                 if self.o.most and n >= self.o.most:
                     raise ValueError(f"{s} has more than {self.o.most} pages")
+                if link in seen:
+                    raise ValueError(f"{s} comes back to {link}")
+                seen.add(link)
                 last, n, link = link, n + 1, fetch(link, self.o.field, self.o.token)[1]
             out[s] = {"last": last, "pages": n}
         self.seen = out
@@ -126,7 +132,7 @@ class PagedStreamReader(DataSourceStreamReader):
 
 
 class PagedSource(DataSource):
-    """format("paged"): options path or starts (a JSON list of first links), field, token, maxPages (0: no limit; beyond it the read fails)."""
+    """format("paged"): options path or starts (a JSON list of first links), field, token, maxPages (0: no limit; beyond it the read fails). Links that come back to a page that was read fail, too."""
 
     @classmethod
     def name(cls) -> str:
@@ -155,13 +161,13 @@ def paged(spark: SparkSession, starts: list[str], stream: bool = False, **option
     return read.format("paged").options(starts=json.dumps(starts), **options).load()
 
 
-#: Most pages of a roster; a fixed value.
+#: Most pages of a roster where no other number is given; a fixed value.
 ROSTER_PAGES = 50
 
 
-def roster_members(spark: SparkSession, containers: list[str], **options: str) -> DataFrame:
-    """Members of roster containers, read by paged() with at most ROSTER_PAGES pages each."""
-    return paged(spark, containers, maxPages=str(ROSTER_PAGES), **options)
+def roster_members(spark: SparkSession, containers: list[str], most: int = ROSTER_PAGES, **options: str) -> DataFrame:
+    """Members of roster containers, read by paged() with at most `most` pages each; 0: all, however many."""
+    return paged(spark, containers, maxPages=str(most), **options)
 
 
 def store_pages(rows: DataFrame, listing: str, order: str, item, per_page: int, path: str, self_link: bool = False) -> None:

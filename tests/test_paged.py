@@ -5,6 +5,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from coursemill.sources import paged
 from coursemill.streaming import flows
@@ -52,6 +53,24 @@ def test_a_roster_has_fifty_pages_at_most(spark, tmp_path):
         paged.roster_members(spark, [store(tmp_path, "b", 51, 51)]).count()
 
 
+def test_rosters_of_more_than_fifty_pages(spark, tmp_path):
+    from coursemill.plans import queries
+
+    members = spark.range(5101).select(F.col("id").alias("c_custkey"), F.lit(3).alias("c_nationkey"), F.lit(1.0).alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment"))
+    members.write.parquet(f"{tmp_path}/customer.parquet")
+    got = queries()["s8_roster"](spark, str(tmp_path)).groupBy("page").count().collect()
+    assert sorted((r["page"], r["count"]) for r in got) == [(i, 100) for i in range(51)] + [(51, 1)]
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_links_in_a_circle_are_an_error(spark, tmp_path, stream):
+    for a, b in ("xy", "yx"):
+        (tmp_path / a).write_text(json.dumps({"link": f'<{tmp_path}/{b}>; rel="next"', "items": [{"id": 0}]}))
+    with pytest.raises(Exception, match="comes back to"):
+        rows = paged.paged(spark, [f"{tmp_path}/x"], stream=stream)
+        (flows.run_to_end(rows, str(tmp_path / "out")) if stream else rows).count()
+
+
 def test_missing_page_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="a-2"):
         paged.paged(spark, [store(tmp_path, "a", 2, 3)]).count()

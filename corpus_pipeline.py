@@ -21,7 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     keep their names and order, whatever they are called.
     """
     fold = F.crc32(F.col("_id").cast("string").cast("binary")) % 5
-    model = quality.train_ranker(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 0)
+    found = quality.document_features(table(spark, sf_dir, "documents"), {"_id": F.col("doc_id").cast("long")})
+    model = quality.train_ranker(found, table(spark, sf_dir, "labels"), fold != 0)
     rows, names = plain(docs)
     scored = quality.score_quality(rows, model, {n: F.col(n) for n in names}, names[docs.columns.index("text")])
     return scored.where(F.col("score") >= quality.PREDICT_AT).select(*names).toDF(*docs.columns)

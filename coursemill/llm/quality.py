@@ -1,8 +1,8 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
 Features are shares that one pass over a text's bytes gives. Preference pairs of a better
-and a worse labelled document train weights by logistic loss on the difference of their
-features; a score's quantile among the labelled documents is the threshold.
+and a worse labelled document, every pair there is, train weights by logistic loss on the
+difference of their features; a score's quantile among all labelled documents is the threshold.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_BYTES, hash_words, slices, text_buffer, word_spans
+from .common import SPACE_BYTES, hash_words, slices, text_buffer, word_spans, written
 
-#: Labelled documents used for training at most, of each label, and pairs made of them.
-MAX_LABELLED, PAIRS = 8_000, 40_000
+#: Pairs that fit_ranker() draws of rows in memory; train_ranker() has all pairs of all rows.
+PAIRS = 40_000
+#: Weight of the ridge; bins of strengths, and standard deviations that they reach to; Newton steps at most, and the gain at which they end; tasks that sum.
+DECAY, BINS, REACH, STEPS, GAIN, TASKS = 1e-3, 256, 6.0, 40, 1e-7, 8
 PREDICT_AT = 0.3
 #: Classes of bytes: 1 lower case, 2 capital, 3 digit, 4 sentence mark, 5 bar, 6 other ASCII mark, 7 beyond ASCII, 8 white space, 9 control.
 CLASS = np.zeros(256, np.uint8)
@@ -103,8 +105,8 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(self.strength(x) - self.threshold + base, -30, 30)))
 
 
-def fit_ranker(x: np.ndarray, y: np.ndarray, bad_share: float, seed: int = 5, pairs: int = PAIRS, rounds: int = 300, decay: float = 1e-3) -> Ranker:
-    """Bradley-Terry strengths from pairs of a document labelled 1 and one labelled 0; without both labels every document passes."""
+def fit_ranker(x: np.ndarray, y: np.ndarray, bad_share: float, seed: int = 5, pairs: int = PAIRS, rounds: int = 300, decay: float = DECAY) -> Ranker:
+    """Bradley-Terry strengths of rows in memory, from drawn pairs of a document labelled 1 and one labelled 0; without both labels every document passes."""
     mean = x.mean(axis=0) if len(x) else np.zeros(len(NAMES))
     sd = np.maximum(x.std(axis=0), 1e-3) if len(x) else np.ones(len(NAMES))
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
@@ -129,21 +131,118 @@ def fit_ranker(x: np.ndarray, y: np.ndarray, bad_share: float, seed: int = 5, pa
     return Ranker(mean, sd, w, float((low + high) / 2))
 
 
-def train_ranker(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> Ranker:
-    """Fit on labelled documents where `trainable` holds: all if they are few, else max_labelled of each label, those with the smallest hashes of the id.
+def _bins(x: np.ndarray, y: np.ndarray, mean: np.ndarray, sd: np.ndarray, w: np.ndarray, width: float) -> np.ndarray:
+    """(2 * BINS, 2 + d + d * d): of each label and bin of strengths the rows, and the sums of their strengths, features and products of features."""
+    z = np.clip((x - mean) / sd, -8, 8)
+    s = z @ w
+    at = y * BINS + np.clip(np.floor(s / width) + BINS // 2, 0, BINS - 1).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    out = np.zeros((2 * BINS, 2 + z.shape[1] + z.shape[1] ** 2))
+    for i, j in zip(first, np.append(first[1:], len(order)), strict=True):
+        some = z[order[i:j]]
+        out[at[order[i]]] = np.concatenate([[j - i, s[order[i:j]].sum()], some.sum(axis=0), (some.T @ some).ravel()])
+    return out
+
+
+def pair_sums(bins: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, gradient, Hessian) of the mean over all pairs, with the ridge, from _bins(): the rows of a bin count with their mean strength."""
+    d = len(w)
+    n, z, zz = bins[:, 0], bins[:, 2 : 2 + d], bins[:, 2 + d :].reshape(-1, d, d)
+    bad = np.flatnonzero(n[:BINS])
+    good = np.flatnonzero(n[BINS:]) + BINS
+    gap = (bins[good, 1] / n[good])[:, None] - (bins[bad, 1] / n[bad])[None, :]
+    p = 1 / (1 + np.exp(np.clip(gap, -30, 30)))
+    q, pairs = p * (1 - p), n[good].sum() * n[bad].sum()
+    loss = n[good] @ np.logaddexp(0, -gap) @ n[bad]
+    slope = (n[good] @ p) @ z[bad] - (p @ n[bad]) @ z[good]
+    cross = z[good].T @ q @ z[bad]
+    bend = np.tensordot(q @ n[bad], zz[good], 1) + np.tensordot(n[good] @ q, zz[bad], 1) - cross - cross.T
+    return loss / pairs + DECAY / 2 * w @ w, slope / pairs + DECAY * w, bend / pairs + DECAY * np.eye(d)
+
+
+def fit_pairs(rows: DataFrame, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    """Bradley-Terry weights from all pairs of rows(x, _y), by Newton's method.
+
+    A step sums the rows by bins of their strengths, in at most TASKS tasks, and pairs the
+    bins, so it takes time in proportion to the rows, though their pairs grow with the square.
+    """
+    few = rows.select("x", F.col("_y").cast("int").alias("_y")).coalesce(TASKS)
+
+    def summed(w: np.ndarray, width: float) -> np.ndarray:
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2 * BINS, 2 + len(w) + len(w) ** 2))
+            for b in batches:
+                total += _bins(b.column(0).flatten().to_numpy().reshape(-1, len(w)), b.column(1).to_numpy().astype(np.int64), mean, sd, w, width)
+            hit = np.flatnonzero(total[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array([t.tobytes() for t in total[hit]], pa.binary())], ["i", "sums"])
+
+        total = np.zeros((2 * BINS, 2 + len(w) + len(w) ** 2))
+        for r in few.mapInArrow(of, "i long, sums binary").collect():
+            total[r["i"]] += np.frombuffer(r["sums"])
+        return total
+
+    w = np.zeros(len(mean))
+    bins = summed(w, 1.0)
+    spread = bins[:, 2 + len(w) :].sum(axis=0).reshape(len(w), -1) / bins[:, 0].sum()
+    loss, slope, bend = pair_sums(bins, w)
+    for _ in range(STEPS):
+        move, part = np.linalg.solve(bend, slope), 1.0
+        if slope @ move < GAIN:
+            break
+        while True:
+            near = w - part * move
+            new = pair_sums(summed(near, max(2 * REACH * float(np.sqrt(near @ spread @ near)) / BINS, 1e-9)), near)
+            if new[0] <= loss or part < 1e-3:
+                break
+            part /= 2
+        w, (loss, slope, bend) = near, new
+    return w
 
-    That bounds the ids that go to every task, so texts are picked where they are read. Of
-    rows that share an id the smallest features count, found in each task first, so a table
-    that repeats a labelled id doesn't outweigh the others.
+
+def kth(rows: DataFrame, rank: int, few: int = 10_000) -> float:
+    """The value of column s that has `rank` rows before it in order, by counts in ever smaller ranges."""
+    low, high = rows.agg(F.min("s"), F.max("s")).first()
+    while True:
+        inside = rows.where(F.col("s").between(low, high))
+        width = (high - low) / 1024
+        bins = {r["b"]: r for r in inside.groupBy((F.least(F.floor((F.col("s") - low) / width), F.lit(1023)) if width > 0 else F.lit(0)).alias("b")).agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).collect()}
+        for _, r in sorted(bins.items()):
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        low, high = r["low"], r["high"]
+        if low == high:
+            return low
+        if r["n"] <= few:
+            return sorted(x["s"] for x in rows.where(F.col("s").between(low, high)).select("s").collect())[rank]
+
+
+def train_ranker(features: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "doc_id", label_col: str = "quality") -> Ranker:
+    """Fit on all labelled documents where `trainable` (of column _id) holds; features(_id, x) as document_features() gives them.
+
+    Features, not texts, are joined with the labels. Of rows that share an id the smallest
+    features count, so a table that repeats a labelled id doesn't outweigh the others. Without
+    both labels every document passes, or none if all labels are bad.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label_col).cast("int").alias("_y")).where(trainable)
-    n = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    lot = F.xxhash64("_id", F.lit(17))
-    known = known.where("_y = 1").orderBy(lot, "_id").limit(max_labelled).unionByName(known.where("_y = 0").orderBy(lot, "_id").limit(max_labelled))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_body")).join(F.broadcast(known), "_id")
-    got = document_features(rows, {"_id": F.col("_id"), "_y": F.col("_y")}, "_body").groupBy("_id", "_y").agg(F.min("x").alias("x")).toArrow().sort_by("_id")
-    x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
-    return fit_ranker(x, got["_y"].to_numpy(), n.get(0, 0) / max(sum(n.values()), 1))
+    rows = written(features.where("_id is not null").join(known, "_id").groupBy("_id", "_y").agg(F.min("x").alias("x")).select("x", "_y"), "quality-labelled")
+    of = [F.col("x")[k] for k in range(len(NAMES))]
+    got = rows.agg(F.count("*"), F.count_if(F.col("_y") == 0), *(F.avg(c) for c in of), *(F.stddev_pop(c) for c in of)).first()
+    n, n_bad, d = got[0], got[1], len(NAMES)
+    mean = np.array(got[2 : 2 + d], float) if n else np.zeros(d)
+    sd = np.maximum(np.array(got[2 + d :], float), 1e-3) if n else np.ones(d)
+    if n_bad in (0, n):
+        return Ranker(mean, sd, np.zeros(d), 1.0 if n_bad else -1.0)
+    w = fit_pairs(rows, mean, sd)
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(0).flatten().to_numpy().reshape(-1, d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.clip((x - mean) / sd, -8, 8) @ w)], ["s"])
+
+    s = written(rows.select("x").mapInArrow(strengths, "s double"), "quality-strengths")
+    return Ranker(mean, sd, w, (kth(s, max(n_bad - 2, 0)) + kth(s, min(n_bad, n - 1))) / 2)
 
 
 def score_quality(docs: DataFrame, model: Ranker, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
@@ -160,6 +259,18 @@ def score_quality(docs: DataFrame, model: Ranker, keep: dict[str, Column], text_
     return rows.mapInArrow(of, schema)
 
 
+def score_features(found: DataFrame, model: Ranker) -> DataFrame:
+    """The columns of document_features(), with `score` in place of the last one, `x`."""
+    schema = found.drop("x").schema.add("score", "double")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(b.num_columns - 1).flatten().to_numpy().reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x))], names=[*schema.names])
+
+    return found.mapInArrow(of, schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0) -> DataFrame:
     """(id_col, held_out, score, predicted) per row; labels are learned only from ids whose crc32 leaves another remainder than `held`.
 
@@ -167,7 +278,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     as the lower one.
     """
     fold = lambda c: F.crc32(c.cast("string").cast("binary")) % folds
-    model = train_ranker(docs, labels, fold(F.col("_id")) != held, id_col, text_col)
-    out = score_quality(docs, model, {"id": F.col(id_col).cast("long")}, text_col)
+    found = written(document_features(docs, {"_id": F.col(id_col).cast("long")}, text_col), "quality-features")
+    model = train_ranker(found, labels, fold(F.col("_id")) != held, id_col)
+    out = score_features(found, model).select(F.col("_id").alias("id"), "score")
     held_out = F.coalesce(fold(F.col("id")) == held, F.lit(True))
     return out.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))

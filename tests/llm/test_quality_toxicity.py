@@ -119,6 +119,35 @@ def test_bradley_terry_fit_equals_newton():
     assert np.abs(got.weights - w).max() < 0.02
 
 
+def test_ranker_has_all_pairs_and_all_labels(spark):
+    """Weights and threshold against Newton over every pair of every labelled row, however many of a label."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(9)
+    d, n = len(quality.NAMES), 400
+    y = (r.random(n) < 0.7).astype(int)
+    x = r.standard_normal((n, d)) + y[:, None] * np.linspace(-0.5, 0.5, d)
+    found = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_id long, x array<double>")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    got = quality.train_ranker(found, labels, F.lit(True))
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8)
+    diff = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, d)
+    w = np.zeros(d)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(diff @ w))
+        w -= np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + quality.DECAY * np.eye(d), quality.DECAY * w - (diff * p[:, None]).mean(axis=0))
+    assert np.abs(got.weights - w).max() < 2e-3
+    s, bad = np.sort(z @ got.weights), int((y == 0).sum())
+    assert abs(got.threshold - (s[bad - 2] + s[bad]) / 2) < 1e-9
+
+
+def test_kth_value(spark):
+    r = random.Random(3)
+    values = sorted([r.gauss(0, 1) for _ in range(300)] + [0.5] * 200)
+    rows = spark.createDataFrame([(v,) for v in values], "s double")
+    assert [quality.kth(rows, k, 10) for k in (0, 7, 250, 350, 499)] == [values[k] for k in (0, 7, 250, 350, 499)]
+
+
 def test_a_repeated_labelled_id_counts_once(spark):
     docs, labels, _ = corpus(spark, 200)
     again = docs.where("doc_id = 3 or doc_id = 4")

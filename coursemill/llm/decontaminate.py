@@ -2,7 +2,7 @@
 
 1. Document frequencies of hashed words are summed over all documents.
 2. A randomised SVD, with its products summed over tasks, finds the leading directions of
-   the TF-IDF passages: a bounded sample of the corpus and the benchmark items.
+   the TF-IDF passages: all of the corpus and of the benchmark items.
 3. Every window of every document is projected on those directions and compared by cosine
    with the items of its length class, one bounded block of items after the other.
 4. Candidates are verified on the words themselves: longest common subsequence with the
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import distinct, hashed_words, plain, shared_path, slices, text_buffer, written
 
-#: Hashed vocabulary, directions kept, extra directions of the range finder, sampled passages, items searched at a time and about the bytes of their texts.
-BITS, RANK, EXTRA, SAMPLE, ITEM_BLOCK, ITEM_BYTES = 16, 64, 16, 20_000, 4_000, 32 << 20
+#: Hashed vocabulary, directions kept, extra directions of the range finder, items searched at a time and about the bytes of their texts.
+BITS, RANK, EXTRA, ITEM_BLOCK, ITEM_BYTES = 16, 64, 16, 4_000, 32 << 20
+#: The most frequent words, which are multiplied as dense columns; passages multiplied at a time; tasks of a product at most.
+COMMON, PIECE, TASKS = 512, 512, 64
 FOUND = "id long, item_id long, share double, start long, end long, answered boolean"
 STRIDE, PASSAGE = 8, 32
 #: Window widths in blocks of STRIDE words; the longest item (or part of a longer one) that each serves, and the least cosine of a candidate, which is less where a window's place matters more.
@@ -62,49 +64,70 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
 
 def _passages(rows: DataFrame) -> DataFrame:
-    """rows(id, text) -> (id, words array<int>): hashed words of the leading passage of each document of the sample, drawn at a place that its id gives."""
+    """rows(text) -> (words binary): the hashed words, 16 bits each, of every PASSAGE words of every text; a text's last passage may be shorter."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
-                h, doc, _, _ = hashed_words(*text_buffer(b.column(1)))
-                at = np.searchsorted(doc, np.arange(b.num_rows + 1))
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                out = []
-                for i in range(b.num_rows):
-                    n = int(at[i + 1] - at[i])
-                    start = at[i] + (int(ids[i]) * 7919) % max(n - PASSAGE + 1, 1)
-                    out.append(_buckets(h[start : min(start + PASSAGE, at[i + 1])]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "words"])
-
-    return rows.mapInArrow(of, "id long, words array<int>")
-
-
-def _normal_product(idf: np.ndarray, ids: np.ndarray, words: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A^T (A B) for the unit TF-IDF rows A of the passages (ids: passage of each word)."""
-    if not len(words):
-        return np.zeros_like(basis)
-    key = np.unique(ids << BITS | words, return_counts=True)
-    row, col, w = key[0] >> BITS, key[0] & ((1 << BITS) - 1), key[1] * idf[key[0] & ((1 << BITS) - 1)]
-    _, row = np.unique(row, return_inverse=True)
-    w = w / np.maximum(np.sqrt(np.bincount(row, weights=w * w)), 1e-12)[row]
-    starts = np.flatnonzero(np.diff(row, prepend=-1))
-    left = np.add.reduceat(basis[col] * w[:, None], starts, axis=0)
-    order = np.argsort(col, kind="stable")
-    col, add = col[order], (left[row] * w[:, None])[order]
-    out = np.zeros_like(basis)
-    first = np.flatnonzero(np.diff(col, prepend=-1))
-    out[col[first]] = np.add.reduceat(add, first, axis=0)
-    return out
-
-
-def latent_basis(spark: SparkSession, sample: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA, rounds: int = 2, seed: int = 13, shards: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(directions, singular values) of sample(id, words) by a randomised range finder; each round is a distributed product, made orthogonal here by its small Gram matrix.
-
-    Tasks draw the random start themselves, and products come back in small shards.
+                h, doc, _, _ = hashed_words(*text_buffer(b.column(0)))
+                if len(h):
+                    first = np.flatnonzero(np.diff(doc, prepend=-1))
+                    place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+                    at = np.append(np.flatnonzero(place % PASSAGE == 0), len(h)).astype(np.int32) * 2
+                    words = _buckets(h).astype("<u2").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(words)])], ["words"])
+
+    return rows.mapInArrow(of, "words binary")
+
+
+def _passage_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words of the passages, n + 1 offsets)."""
+    wide = pa.types.is_large_binary(col.type)
+    _, offsets, data = col.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view("<u2").astype(np.int64), (at - at[0]) // 2
+
+
+def _sparse_sums(order: np.ndarray, weights: np.ndarray, rows: np.ndarray, add: np.ndarray, to: np.ndarray) -> None:
+    """to[order] += weights * add[rows], for sorted `order`."""
+    x = add[rows]
+    x *= weights[:, None]
+    first = np.flatnonzero(np.diff(order, prepend=-1))
+    to[order[first]] += np.add.reduceat(x, first, axis=0)
+
+
+def _add_product(total: np.ndarray, idf: np.ndarray, words: np.ndarray, offsets: np.ndarray, basis: np.ndarray, common: np.ndarray, place: np.ndarray) -> None:
+    """total += A^T (A B) for the unit TF-IDF rows A of passages. common: the words whose columns are dense; place: a word's number among them, or -1."""
+    n = len(offsets) - 1
+    key = np.sort(np.repeat(np.arange(n), np.diff(offsets)) << BITS | words)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    row, col = key[first] >> BITS, key[first] & ((1 << BITS) - 1)
+    w = np.diff(np.append(first, len(key))) * idf[col]
+    w = (w / np.maximum(np.sqrt(np.bincount(row, weights=w * w, minlength=n)), 1e-12)[row]).astype(np.float32)
+    dense = place[col] >= 0
+    matrix = np.zeros((n, len(common)), np.float32)
+    matrix[row[dense], place[col[dense]]] = w[dense]
+    row, col, w = row[~dense], col[~dense], w[~dense]
+    left = matrix @ basis[common]
+    if len(row):
+        _sparse_sums(row, w, col, basis, left)
+    total[common] += matrix.T @ left
+    if len(row):
+        order = np.argsort(col.astype(np.uint16), kind="stable")
+        _sparse_sums(col[order], w[order], row[order], left, total)
+
+
+def latent_basis(spark: SparkSession, passages: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA, rounds: int = 2, seed: int = 13, shards: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(directions, singular values) of passages(words) by a randomised range finder; each round is a distributed product over all of them, made orthogonal here by its small Gram matrix.
+
+    Tasks draw the random start themselves, and products come back in small shards, of a task
+    for each core and TASKS at most, so what is shuffled doesn't grow with the passages.
     """
     size, wide = 1 << BITS, rank + extra
+    passages = passages.coalesce(min(spark.sparkContext.defaultParallelism, TASKS))
+    common = np.sort(np.argsort(idf, kind="stable")[:COMMON])
+    place = np.full(size, -1)
+    place[common] = np.arange(len(common))
     basis, values = np.zeros((size, wide), np.float32), np.ones(wide)
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(basis) if k else None
@@ -113,9 +136,10 @@ def latent_basis(spark: SparkSession, sample: DataFrame, idf: np.ndarray, rank:
             basis = sent.value if sent else np.random.default_rng(seed).standard_normal((size, wide), dtype=np.float32)
             total = np.zeros_like(basis)
             for b in batches:
-                lists = b.column(1)
-                sizes = np.diff(lists.offsets.to_numpy())
-                total += _normal_product(idf, np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy().astype(np.int64), basis)
+                words, at = _passage_words(b.column(0))
+                for i in range(0, b.num_rows, PIECE):
+                    some = at[i : i + PIECE + 1]
+                    _add_product(total, idf, words[some[0] : some[-1]], some - some[0], basis, common, place)
             yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([p.tobytes() for p in np.split(total, shards)], pa.binary())], ["shard", "part"])
 
         def added(parts: pd.DataFrame) -> pd.DataFrame:
@@ -123,7 +147,7 @@ def latent_basis(spark: SparkSession, sample: DataFrame, idf: np.ndarray, rank:
             return pd.DataFrame({"shard": parts["shard"].iloc[:1], "part": [total.astype(np.float32).tobytes()]})
 
         n = size // shards
-        for r in sample.mapInArrow(of, "shard int, part binary").groupBy("shard").applyInPandas(added, "shard int, part binary").collect():
+        for r in passages.mapInArrow(of, "shard int, part binary").groupBy("shard").applyInPandas(added, "shard int, part binary").collect():
             basis[r["shard"] * n : (r["shard"] + 1) * n] = np.frombuffer(r["part"], np.float32).reshape(n, -1)
         if sent:
             sent.destroy()
@@ -344,11 +368,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     idf = np.log((n + 1) / (count + 0.5)).astype(np.float32)
     np.maximum(idf, 0.05, out=idf)
     n_items, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    lot = lambda of, most, total: F.pmod(F.xxhash64(of, F.lit(29)), F.lit(1_000_003)) < F.lit(1_000_003 * most / max(total, 1))
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(lot(F.xxhash64("id", "text"), SAMPLE, n))
-    # Equal rows, of which a table may have very many, are one passage.
-    sample = written(_passages(sample.unionByName(items.where(lot(F.col("id"), SAMPLE, n_items)))).distinct().repartition(6), "passages")
-    basis, values = latent_basis(spark, sample, idf)
+    # Equal passages, of which a table may have very many, are one.
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).unionByName(items.select("text"))
+    basis, values = latent_basis(spark, written(_passages(texts).distinct(), "passages"), idf)
     # Directions are evened out, so that the few that all passages share don't decide.
     table = np.zeros(((1 << BITS) + 1, basis.shape[1]), np.float32)  # the last row stands for no word
     np.multiply(basis, idf[:, None], out=table[:-1])

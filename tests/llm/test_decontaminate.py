@@ -90,6 +90,42 @@ def test_against_all_stretches_and_items(spark):
     assert all(best[p] >= d.LOOSE and share <= best[p] + 1e-9 for p, share in found.items())
 
 
+def test_passages_hold_every_word(spark):
+    """Directions come from all words of all texts, not from one passage of some."""
+    r = random.Random(5)
+    texts = [prose(r, n) for n in (1, 31, 32, 33, 500)] + [None, "", " ... "]
+    got = d._passages(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    sizes = sorted(len(x.words) // 2 for x in got)
+    assert sum(sizes) == 597 and sizes[-1] == d.PASSAGE and len(sizes) == 1 + 1 + 1 + 2 + 16
+    import pyarrow as pa
+
+    words = d._buckets(d.hashed_words(*d.text_buffer(pa.array(texts)))[0])
+    assert sorted(np.concatenate([np.frombuffer(x.words, "<u2") for x in got]).tolist()) == sorted(words.tolist())
+
+
+def test_directions_of_all_passages(spark):
+    """The product equals that of plain matrices, and the directions are those of a full decomposition."""
+    r = np.random.default_rng(3)
+    near = [r.choice(1 << d.BITS, 8, replace=False) for _ in range(6)]
+    rows = [r.choice(near[i % 6], r.integers(16, 33)) for i in range(900)]
+    idf = r.random(1 << d.BITS).astype(np.float32) + 0.5
+    a = np.zeros((len(rows), 1 << d.BITS), np.float32)
+    for i, x in enumerate(rows):
+        np.add.at(a[i], x, idf[x])
+    a /= np.sqrt((a * a).sum(axis=1))[:, None]
+    basis = r.standard_normal((1 << d.BITS, 5)).astype(np.float32)
+    common, place = np.unique(near[0]), np.full(1 << d.BITS, -1)
+    place[common] = np.arange(len(common))
+    total = np.zeros_like(basis)
+    d._add_product(total, idf, np.concatenate(rows), np.cumsum([0, *map(len, rows)]), basis, common, place)
+    assert np.abs(total - a.T @ (a @ basis)).max() < 1e-3
+    df = spark.createDataFrame([(x.astype("<u2").tobytes(),) for x in rows], "words binary").repartition(3)
+    got, values = d.latent_basis(spark, df, idf, rank=6, extra=10)
+    want = np.linalg.svd(a[:, np.unique(np.concatenate(near))], full_matrices=False)[1][:6]
+    assert np.abs(values - want).max() < 0.02 * want[0]
+    assert np.linalg.norm(a - (a @ got) @ got.T) < 1.05 * np.sqrt((a * a).sum() - (want * want).sum())
+
+
 def test_long_items(spark):
     r = random.Random(11)
     words = [f"w{r.randrange(30_000)}" for _ in range(12_000)]

@@ -11,10 +11,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
+
 SIZE, OVERLAP = 2000, 250
 #: Lines under LINE bytes that occur REPEATS times or more are boilerplate.
 LINE, REPEATS = 80, 3
@@ -77,21 +79,24 @@ def chunk_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]
 def cleaned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, text): clean_text() of every document; null stays null."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "text": [t if t is None else clean_text(t) for t in b["text"]]})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t if t is None else clean_text(t) for t in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(of, "id long, text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(of, "id long, text string").withColumnRenamed("id", id_col)
 
 
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(id_col, chunk_index, text): a row per chunk; a document without text has none."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, k, c) for i, t in zip(b["id"], b["text"], strict=True) if t for k, c in enumerate(chunk_text(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "text"])
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, 1):
+                rows = [(i, k, c) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for k, c in enumerate(chunk_text(t, size, overlap))]
+                ids, at, text = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(text, pa.string())], ["id", "chunk_index", "text"])
 
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(of, "id long, chunk_index long, text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(of, "id long, chunk_index long, text string").withColumnRenamed("id", id_col)

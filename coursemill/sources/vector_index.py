@@ -18,6 +18,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Vectors that cells are fitted on, at most about; vectors and queries in a group, about.
 SAMPLE, BLOCK = 50_000, 4096
+#: Products that a task holds at a time, and rows that it sends at once, about.
+PRODUCTS, ROWS = 1 << 18, 1 << 14
 #: Cell of vectors whose length isn't the index's.
 OTHER = -1
 
@@ -38,6 +40,12 @@ def _order(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argsort(far, axis=1, kind="stable")
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The cell of the nearest centre, the first of equally near ones, some rows at a time."""
+    square, step = (centres * centres).sum(1)[None, :], max(1, PRODUCTS // max(len(centres), 1))
+    return np.concatenate([np.argmin(square - 2 * x[a : a + step] @ centres.T, axis=1) for a in range(0, len(x), step)])
+
+
 def fit_cells(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = 8, seed: int = 5) -> np.ndarray:
     """Centres by Lloyd's rounds over a sample by hash of the ids; each task sums its vectors by cell, and the sums of at most 8 tasks are added. Empty cells keep their centres."""
     n = max(vectors.count(), 1)
@@ -57,7 +65,7 @@ def fit_cells(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int
             for b in batches:
                 _, x = _matrix(b.column(0), d)
                 if len(x):
-                    c = _order(x, centres)[:, 0]
+                    c = _nearest(x, centres)
                     np.add.at(total, c, x)
                     n += np.bincount(c, minlength=len(centres))
             hit = np.flatnonzero(n)
@@ -77,10 +85,11 @@ def placed(rows: DataFrame, centres: np.ndarray, probes: int | None = 1, v: str
     keep, dim = [c for c in rows.columns if c != v], centres.shape[1]
     given = rows.where(f"{v} is not null and size({v}) > 0").select(*keep, F.col(v).cast("array<double>").alias("v"))
     schema = StructType([*given.schema.fields, StructField("cell", IntegerType())])
+    step = max(1, min(PRODUCTS // max(len(centres), 1), ROWS // max(min(probes or len(centres), len(centres)), 1)))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+            for b in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
                 col = b.column(len(keep))
                 at, x = _matrix(col, dim)
                 cells = _order(x, centres)[:, :probes] if len(x) else np.zeros((0, 0), int)
@@ -101,7 +110,8 @@ class VectorIndex:
         self.vectors = spark.read.schema("vec_id long, v array<double>, cell int").parquet(f"{path}/vectors")
         rows = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
         self.centres = np.array([r.centre for r in rows if r.cell >= 0]) if any(r.cell >= 0 for r in rows) else np.zeros((0, 0))
-        self.sizes = spark.createDataFrame([(r.cell, r.n) for r in rows], "cell int, n long")
+        self.spark, self.counts = spark, [(r.cell, r.n) for r in rows]
+        self.sizes = spark.createDataFrame(self.counts, "cell int, n long")
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str, cells: int = 256, sample: int = SAMPLE) -> VectorIndex:
@@ -115,6 +125,19 @@ class VectorIndex:
         spark.createDataFrame(about, "cell int, n long, centre array<double>").coalesce(1).write.parquet(f"{path}/cells")
         return cls(spark, path)
 
+    def _whole(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(queries, vectors, sizes) for a search of every cell: neighbouring cells of BLOCK vectors together are one, so a query is sent to as many as there are blocks of vectors, not cells."""
+        of_cell, size = [], [0]
+        for cell, n in self.counts:
+            if size[-1] and size[-1] + n > BLOCK:
+                size.append(0)
+            size[-1] += n
+            of_cell.append((cell, len(size) - 1))
+        sizes = self.spark.createDataFrame(list(enumerate(size)), "cell int, n long")
+        bundle = F.broadcast(self.spark.createDataFrame(of_cell, "cell int, bundle int"))
+        q = queries.where("v is not null and size(v) > 0").select("query_id", F.col("v").cast("array<double>").alias("v")).crossJoin(F.broadcast(sizes.select("cell")))
+        return q, self.vectors.join(bundle, "cell").select("vec_id", "v", F.col("bundle").alias("cell")), sizes
+
     def probes_for(self, queries: DataFrame, k: int, recall: float = 0.9, most: int = 200) -> int:
         """The fewest probes with which at least that share of the exact best k is found, measured on `most` queries by hash of the id."""
         some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(most)
@@ -144,10 +167,11 @@ class VectorIndex:
         out before the best are taken. Null, empty and non-finite vectors find nothing.
         """
         blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-        q = placed(queries.select(F.col("query_id").cast("long").alias("query_id"), "v"), self.centres, probes)
-        asked = q.groupBy("cell").agg(F.count("*").alias("asked")).join(self.sizes.where("n > 0"), "cell").select("cell", blocks(F.col("asked")).alias("qs"), blocks(F.col("n")).alias("vs"))
+        given = queries.select(F.col("query_id").cast("long").alias("query_id"), "v")
+        q, v, sizes = self._whole(given) if probes is None else (placed(given, self.centres, probes), self.vectors, self.sizes)
+        asked = q.groupBy("cell").agg(F.count("*").alias("asked")).join(sizes.where("n > 0"), "cell").select("cell", blocks(F.col("asked")).alias("qs"), blocks(F.col("n")).alias("vs"))
         asked = F.broadcast(asked)  # a row for each cell
-        v = self.vectors if excluded is None else self.vectors.join(excluded.select("vec_id").distinct(), "vec_id", "left_anti")
+        v = v if excluded is None else v.join(excluded.select("vec_id").distinct(), "vec_id", "left_anti")
         lot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = q.join(asked, "cell").withColumn("qb", lot("query_id", "qs")).select("cell", "qb", every("vs").alias("vb"), "query_id", "v")
@@ -160,8 +184,9 @@ class VectorIndex:
             for d in dims:
                 (i, x_d), (j, y_d) = _matrix(x, d), _matrix(y, d)
                 qid, vid = a["query_id"].to_numpy()[i], b["vec_id"].to_numpy()[j]
-                for at in range(0, len(i), 512):
-                    s, who = x_d[at : at + 512] @ y_d.T, qid[at : at + 512]
+                step = max(1, PRODUCTS // max(len(j), 1))
+                for at in range(0, len(i), step):
+                    s, who = x_d[at : at + step] @ y_d.T, qid[at : at + step]
                     s[~np.isfinite(s)] = -np.inf
                     if floor is not None:
                         s[s < floor] = -np.inf

@@ -71,3 +71,18 @@ def test_no_vectors_and_no_queries(spark, tmp_path):
     assert VectorIndex.build(none, str(tmp_path / "none")).search(q, 3).count() == 0
     some = VectorIndex.build(spark.createDataFrame([(1, [1.0])], "vec_id long, v array<double>"), str(tmp_path / "some"))
     assert some.search(q.where("query_id > 1"), 3).count() == 0 and some.search(q, 3).count() == 1
+
+
+def test_a_search_of_all_cells_sends_queries_to_blocks_of_vectors(spark, tmp_path):
+    """Not to every cell: 40 cells of 600 vectors are one block."""
+    data = rows()
+    index = VectorIndex.build(spark.createDataFrame(data, "vec_id long, v array<double>"), str(tmp_path / "i"), 40)
+    q, v, sizes = index._whole(spark.createDataFrame(data[:20], "query_id long, v array<double>"))
+    assert sizes.count() == 1 and q.count() == 20 and v.count() == sum(n for _, n in index.counts) == 602
+
+
+def test_nearest_cells_in_pieces(monkeypatch):
+    r = np.random.default_rng(2)
+    x, centres = r.normal(size=(500, 6)), r.normal(size=(30, 6))
+    monkeypatch.setattr(vector_index, "PRODUCTS", 100)
+    assert (vector_index._nearest(x, centres) == vector_index._order(x, centres)[:, 0]).all()

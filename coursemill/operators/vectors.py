@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are held at a time while all vectors pass by, and those that are multiplied at once.
-QUERY_BLOCK, QUERY_PIECE = 16_384, 1024
+#: Queries that are held at a time while all vectors pass by, and those and the vectors that are multiplied at once.
+QUERY_BLOCK, QUERY_PIECE, VECTOR_PIECE = 16_384, 256, 1024
 #: Documents of a course that a task multiplies with as many others, about.
 COURSE_BLOCK = 1024
 
@@ -75,9 +75,7 @@ def _best(rows: list, vectors: DataFrame, k: int, floor: float | None, skip_self
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for d in {d for d, _, _ in pieces}:
                 mine = np.flatnonzero(size == d)
-                for part in np.array_split(mine, max(1, len(mine) // 4096)):
-                    if not len(part):
-                        continue
+                for part in np.array_split(mine, -(-len(mine) // VECTOR_PIECE)) if len(mine) else ():
                     y = vec.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                     for at, (dim, q, x) in enumerate(pieces):
                         if dim != d:

@@ -28,3 +28,25 @@ def test_similar_documents_past_the_linkers_cap(spark, tmp_path):
     late = [i for i in ids if i > 1_900 and i % 19]
     pairs = retrieval.j11_similar_documents(spark, str(tmp_path)).where("a_id > 1900").collect()
     assert {(p.a_id, p.b_id) for p in pairs} == {(a, b) for a in late for b in late if a < b}
+
+
+def test_searching_holds_little_at_a_time(monkeypatch):
+    """1,024 queries over a batch of 8,192 vectors: products, ids and orders of a piece, not of all queries and half the batch."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    q, x = r.normal(size=(1024, 8)), r.normal(size=(8192, 8))
+    held = []
+    stand_in = SimpleNamespace(mapInArrow=lambda of, schema: held.append(of))
+    vectors._best([SimpleNamespace(q=i, v=v.tolist()) for i, v in enumerate(q)], stand_in, 5, None, False)
+    batch = pa.record_batch({"i": pa.array(range(8192)), "v": pa.array(list(x), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(held[0](iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    best = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :5]
+    assert {(a, b) for a, b in zip(got["q"].to_pylist(), got["i"].to_pylist(), strict=True)} == {(i, int(j)) for i in range(1024) for j in best[i]}

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEGMENT, BUCKETS = 1 << 14, 64
+#: Chunks for each partition in which postings are grouped.
+CHUNKS = 1 << 10
 INDEX = "bucket int, token string, part string, segment long, n int, first int, last int, places array<int>, times array<int>"
 
 
@@ -25,10 +27,11 @@ def exploded(chunks: DataFrame, parts: tuple = ("body", "name")) -> DataFrame:
     return out.where("token IS NOT NULL")
 
 
-def postings(tokens: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Index rows of exploded tokens. Both groupings share one shuffle; a repeated chunk id counts once for each of its tokens' occurrences."""
+def postings(tokens: DataFrame, buckets: int = BUCKETS, partitions: int = 1) -> DataFrame:
+    """Index rows of exploded tokens, grouped in `partitions` or as many as the session has, if those are more. Both groupings share one shuffle; a repeated chunk id counts once for each of its tokens' occurrences."""
     block = ["token", "part", "segment"]
-    each = tokens.repartition(*block).groupBy(*block, "place").agg(F.count("*").cast("int").alias("t"))
+    partitions = max(partitions, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = tokens.repartition(partitions, *block).groupBy(*block, "place").agg(F.count("*").cast("int").alias("t"))
     rows = each.groupBy(*block).agg(F.array_sort(F.collect_list(F.struct("place", "t"))).alias("p"))
     places = F.transform("p", lambda x: x["place"])
     return rows.select(
@@ -38,8 +41,11 @@ def postings(tokens: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def write_index(chunks: DataFrame, path: str, parts: tuple = ("body", "name"), buckets: int = BUCKETS) -> None:
-    """The index of chunks as a table with a folder for each bucket of tokens, sorted by token in its files."""
-    rows = postings(exploded(chunks, parts), buckets).repartition("bucket", F.pmod("segment", F.lit(8))).sortWithinPartitions("bucket", "token", "part", "segment")
+    """The index of chunks as a table with a folder for each bucket of tokens, sorted by token in its files.
+
+    Postings are grouped in a partition for each CHUNKS chunks, so a task doesn't grow with the table.
+    """
+    rows = postings(exploded(chunks, parts), buckets, -(-chunks.count() // CHUNKS)).repartition("bucket", F.pmod("segment", F.lit(8))).sortWithinPartitions("bucket", "token", "part", "segment")
     rows.write.partitionBy("bucket").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false").parquet(path)
 
 

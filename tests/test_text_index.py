@@ -52,3 +52,16 @@ def test_no_chunks_and_no_queries(spark):
     none, q = spark.createDataFrame([], C), spark.createDataFrame([(1, ["a"])], "query_id long, tokens array<string>")
     assert retrieval.keyword_matches(q, none).count() == 0
     assert retrieval.keyword_matches(q.where("query_id > 1"), spark.createDataFrame(corpus(), C)).count() == 0
+
+
+def test_postings_are_grouped_in_partitions_that_grow_with_the_chunks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from coursemill.sources import text_index
+
+    asked, before = [], text_index.postings
+    monkeypatch.setattr(text_index, "postings", lambda tokens, buckets, partitions=1: asked.append(partitions) or before(tokens, buckets, partitions))
+    chunks = spark.range(5000).select(F.col("id").alias("chunk_id"), F.array(F.lit("a")).alias("body"), F.array(F.lit("b")).alias("name"))
+    text_index.write_index(chunks, str(tmp_path / "i"))
+    assert asked == [-(-5000 // text_index.CHUNKS)]
+    assert {(r.token, r.chunks) for r in text_index.frequencies(text_index.read_index(spark, str(tmp_path / "i"))).collect()} == {("a", 5000), ("b", 5000)}

@@ -27,8 +27,8 @@ from .common import distinct, hashed_words, plain, shared_path, slices, text_buf
 
 #: Hashed vocabulary, directions kept, extra directions of the range finder, items searched at a time and about the bytes of their texts.
 BITS, RANK, EXTRA, ITEM_BLOCK, ITEM_BYTES = 16, 64, 16, 4_000, 32 << 20
-#: The most frequent words, which are multiplied as dense columns; passages multiplied at a time; tasks of a product at most.
-COMMON, PIECE, TASKS = 512, 512, 64
+#: The most frequent words, which are multiplied as dense columns; passages multiplied at a time; passages projected and words summed at a time; tasks of a product at most.
+COMMON, PIECE, SOME, WORDS, TASKS = 256, 10_000, 2_048, 512, 64
 FOUND = "id long, item_id long, share double, start long, end long, answered boolean"
 STRIDE, PASSAGE = 8, 32
 #: Window widths in blocks of STRIDE words; the longest item (or part of a longer one) that each serves, and the least cosine of a candidate, which is less where a window's place matters more.
@@ -88,33 +88,64 @@ def _passage_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view("<u2").astype(np.int64), (at - at[0]) // 2
 
 
-def _sparse_sums(order: np.ndarray, weights: np.ndarray, rows: np.ndarray, add: np.ndarray, to: np.ndarray) -> None:
-    """to[order] += weights * add[rows], for sorted `order`."""
-    x = add[rows]
-    x *= weights[:, None]
-    first = np.flatnonzero(np.diff(order, prepend=-1))
-    to[order[first]] += np.add.reduceat(x, first, axis=0)
+def _projected(idf: np.ndarray, words: np.ndarray, offsets: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """idf-weighted sums of the basis rows of each passage's words, a place of all passages at a time."""
+    out, sums = np.zeros((len(offsets) - 1, basis.shape[1]), np.float32), np.empty((SOME, basis.shape[1]), np.float32)
+    for at in range(0, len(out), SOME):
+        left, start, sizes = out[at : at + SOME], offsets[at : at + SOME], np.diff(offsets[at : at + SOME + 1])
+        part, start = sums[: len(left)], start[: len(left)]
+        for k in range(int(sizes.max())):
+            word = words[np.minimum(start + k, len(words) - 1)]
+            np.take(basis, word, axis=0, out=part, mode="clip")
+            part *= np.where(k < sizes, idf[word], np.float32(0))[:, None]
+            left += part
+    return out
+
+
+def _add_by_word(total: np.ndarray, idf: np.ndarray, words: np.ndarray, rows: np.ndarray, left: np.ndarray) -> None:
+    """total[w] += idf[w] * the sum of left[rows] where `words` is w: words of about equal counts together, an occurrence of each at a time."""
+    order = np.argsort(words.astype(np.uint16), kind="stable")
+    words, rows = words[order], rows[order]
+    first = np.flatnonzero(np.diff(words, prepend=-1))
+    counts = np.diff(np.append(first, len(words)))
+    by_count = np.argsort(-counts, kind="stable")
+    first, counts = first[by_count], counts[by_count]
+    sums, part = np.empty((2, WORDS, left.shape[1]), np.float32)
+    for at in range(0, len(first), WORDS):
+        f, n = first[at : at + WORDS], counts[at : at + WORDS]
+        np.take(left, rows[f], axis=0, out=sums[: len(f)], mode="clip")
+        for k, m in enumerate(np.searchsorted(-n, -np.arange(1, n[0])).tolist(), 1):
+            np.take(left, rows[f[:m] + k], axis=0, out=part[:m], mode="clip")
+            sums[:m] += part[:m]
+        w = words[f]
+        total[w] += idf[w, None] * sums[: len(f)]
 
 
 def _add_product(total: np.ndarray, idf: np.ndarray, words: np.ndarray, offsets: np.ndarray, basis: np.ndarray, common: np.ndarray, place: np.ndarray) -> None:
-    """total += A^T (A B) for the unit TF-IDF rows A of passages. common: the words whose columns are dense; place: a word's number among them, or -1."""
+    """total += A^T (A B) for the unit TF-IDF rows A of passages, 65,536 at most. common: the words whose columns are dense; place: a word's number among them, or -1.
+
+    A is counts times idf, each row divided by its length; the sums below are over words with
+    their repeats, so only the lengths need the counts.
+    """
     n = len(offsets) - 1
-    key = np.sort(np.repeat(np.arange(n), np.diff(offsets)) << BITS | words)
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    row, col = key[first] >> BITS, key[first] & ((1 << BITS) - 1)
-    w = np.diff(np.append(first, len(key))) * idf[col]
-    w = (w / np.maximum(np.sqrt(np.bincount(row, weights=w * w, minlength=n)), 1e-12)[row]).astype(np.float32)
-    dense = place[col] >= 0
-    matrix = np.zeros((n, len(common)), np.float32)
-    matrix[row[dense], place[col[dense]]] = w[dense]
-    row, col, w = row[~dense], col[~dense], w[~dense]
-    left = matrix @ basis[common]
-    if len(row):
-        _sparse_sums(row, w, col, basis, left)
-    total[common] += matrix.T @ left
-    if len(row):
-        order = np.argsort(col.astype(np.uint16), kind="stable")
-        _sparse_sums(col[order], w[order], row[order], left, total)
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    key = np.sort((row << BITS | words).astype(np.uint32))
+    first = np.flatnonzero(np.diff(key, prepend=key[:1] ^ 1))
+    w = np.diff(np.append(first, len(key))) * idf[key[first] & ((1 << BITS) - 1)]
+    squares = np.bincount(key[first] >> BITS, weights=w * w, minlength=n)
+    left = _projected(idf, words, offsets, basis)
+    left /= np.maximum(squares, 1e-24).astype(np.float32)[:, None]
+    col = place[words]
+    dense = np.flatnonzero(col >= 0)
+    cell, many = row[dense] * len(common) + col[dense], 512 * len(common)
+    for at in range(0, n, 512):
+        some = left[at : at + 512]
+        lo, hi = np.searchsorted(row[dense], [at, at + 512])
+        counts = np.bincount(cell[lo:hi] - at * len(common), minlength=many)[: len(some) * len(common)]
+        total[common] += idf[common, None] * (counts.astype(np.float32).reshape(len(some), -1).T @ some)
+    rare = np.flatnonzero(col < 0)
+    if len(rare):
+        _add_by_word(total, idf, words[rare], row[rare], left)
 
 
 def latent_basis(spark: SparkSession, passages: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA, rounds: int = 2, seed: int = 13, shards: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -277,6 +308,19 @@ def _candidates(sums: np.ndarray, doc: np.ndarray, items: Items) -> Iterator[tup
                 yield at + w[real], mine[i[real]]
 
 
+def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The parts of _candidates() together, `most` candidates at a time or a part more, so that an item is looked at once."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= most:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def _covered(items: Items, i: int, words: np.ndarray, low: np.ndarray, high: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Share, by IDF weight, of the item's distinct words that each stretch of hashed words holds. place: scratch space, NONE for every hashed word before and after."""
     known, none = _buckets(items.known[i]), len(items.known[i])
@@ -308,7 +352,7 @@ def _matches(h: np.ndarray, doc: np.ndarray, bounds: np.ndarray, items: Items, t
     words = _buckets(h)
     sums, of_doc, start = _window_sums(table, words, doc)
     place, out = np.full(1 << BITS, NONE, np.int32), {}
-    for blocks, which in _candidates(sums, of_doc, items):
+    for blocks, which in _gathered(_candidates(sums, of_doc, items)):
         owner = items.owner[which]
         order = np.argsort(owner, kind="stable")
         blocks, which, owner = blocks[order], which[order], owner[order]

@@ -141,3 +141,46 @@ def test_long_items(spark):
 def test_stretches_of_one_copy_are_merged():
     one = d._merged(np.array([0, 1, 0, 0]), np.array([5, 5, 5, 9]), np.array([10, 10, 8, 90]), np.array([50, 60, 48, 120]))
     assert [x.tolist() for x in one] == [[0, 0, 1], [8, 90, 10], [50, 120, 60]]
+
+
+def test_an_item_is_looked_at_once_in_a_slice(monkeypatch):
+    """Candidates of all windows of a slice come together by item, and are those of the single parts."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    pick = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, pick(r.randint(18, 60))) for i in range(8)]
+    texts = [" ".join([pick(40_000), items[k % 8][1], pick(40_000), items[k % 5][1]]) for k in range(3)]
+    table = np.random.default_rng(1).standard_normal(((1 << d.BITS) + 1, d.RANK)).astype(np.float32)
+    table[-1] = 0
+    block = d.make_items(items, table, np.ones(1 << d.BITS, np.float32))
+    h, doc, _, _ = d.hashed_words(*d.text_buffer(pa.array(texts)))
+    calls, covered = [], d._covered
+    monkeypatch.setattr(d, "_covered", lambda *a: calls.append(a[1]) or covered(*a))
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    found = d._matches(h, doc, bounds, block, table)
+    assert {(k, i) for k in range(3) for i in (k % 8, k % 5)} <= {k for k, v in found.items() if v[0] == 1.0}
+    assert len(calls) == len(set(calls))
+    whole = list(d._gathered(iter([(np.arange(n), np.arange(n) + 7) for n in (3, 1, 4)]), most=4))
+    assert [w.tolist() for w, _ in whole] == [[0, 1, 2, 0], [0, 1, 2, 3]] and whole[1][1].tolist() == [7, 8, 9, 10]
+
+
+def test_product_of_many_passages():
+    """Passages of one word to many, words repeated, more of them than are projected at a time."""
+    r = np.random.default_rng(6)
+    rows = [r.integers(0, 40, n) * 1_500 for n in r.integers(1, 50, d.SOME + 700)]
+    idf = r.random(1 << d.BITS).astype(np.float32) + 0.5
+    words, at = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+    a = np.zeros((len(rows), 40))
+    np.add.at(a, (np.repeat(np.arange(len(rows)), np.diff(at)), words // 1_500), idf[words])
+    a /= np.sqrt((a * a).sum(axis=1))[:, None]
+    basis, used = r.standard_normal((1 << d.BITS, 3)).astype(np.float32), np.arange(40) * 1_500
+    for common in (used[:7], used, used[:0]):
+        place, total = np.full(1 << d.BITS, -1), np.zeros_like(basis)
+        place[common] = np.arange(len(common))
+        d._add_product(total, idf, words, at, basis, common, place)
+        want = a.T @ (a @ basis[used])
+        assert np.abs(total[used] - want).max() < 1e-4 * np.abs(want).max()
+        total[used] = 0
+        assert not total.any()

@@ -181,8 +181,11 @@ def discovered(files: DataFrame, modules: DataFrame) -> DataFrame:
 
 def merge_suggestions(courses: DataFrame) -> DataFrame:
     """courses(course_id, semester, core, code, name) -> (semester, core, members, n): courses of one semester and core of the code, two at least, by code, then name; a null semester is one too."""
-    rows = courses.where("core is not null").groupBy("semester", "core").agg(F.array_sort(F.collect_list(F.struct("code", "name", "course_id"))).alias("m"), F.count("*").alias("n"))
-    return rows.where("n >= 2").select("semester", "core", F.transform("m", lambda x: x["course_id"]).alias("members"), "n")
+    # Rows that have no other are most of all; they are left out before lists are made.
+    n = F.count("*").over(Window.partitionBy("semester", "core"))
+    rows = courses.where("core is not null").select("semester", "core", "code", "name", "course_id", n.alias("n")).where("n >= 2")
+    rows = rows.groupBy("semester", "core").agg(F.sort_array(F.collect_list(F.struct("code", "name", "course_id"))).alias("m"), F.count("*").alias("n"))
+    return rows.select("semester", "core", F.col("m.course_id").alias("members"), "n")
 
 
 def suggestion_state(courses: DataFrame, docs: DataFrame, latest: int = 3, stale_after: float = 24.0) -> DataFrame:

@@ -1,5 +1,7 @@
 """The rules whose edges the driver's tables don't show."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,35 @@ def test_suggested_questions(spark):
     courses = spark.createDataFrame([("young", 1.0, None), ("unasked", None, None), ("none", 30.0, []), ("gone", 30.0, [1]), ("same", 30.0, [2, 1])], "course_id string, age_hours double, seen array<long>")
     docs = spark.createDataFrame([("same", 1, 1, "ready"), ("same", 2, 2, "ready")], "course_id string, doc_id long, created long, status string")
     assert {r.course_id: r.state for r in sync.suggestion_state(courses, docs).collect()} == {"young": "keep", "unasked": "make", "none": "touch", "gone": "make", "same": "touch"}
+
+
+def test_course_codes_of_any_text(spark):
+    """Brackets character by character, tokens one by one, as the rule says."""
+    import random
+
+    r = random.Random(8)
+    pieces = [*"()[]{}- -", "MAR", "s", "AB", "hi", "DIST", "x", "åß", " ", "\t", "7", "MARS", "--", "\n", "$1\\"]
+    titles = ["", "-", "S-AB-", "MAR-MAR", "(S) AB", None, "))a((", *("".join(r.choice(pieces) for _ in range(r.randint(1, 14))) for _ in range(3_000))]
+
+    def code(title):
+        depth, flat = 0, ""
+        for c in title:
+            if c in "([{":
+                depth += 1
+            elif c in ")]}":
+                depth = max(depth - 1, 0)
+            elif not depth:
+                flat += c
+        parts = [p for p in re.split(r"[-\s]+", flat.upper()) if p]
+        return "-".join([p for p in parts if p not in T.SECTION_MARKERS] or parts) or None
+
+    got = spark.createDataFrame([(t,) for t in titles], "t string").select("t", T.course_code(F.col("t")).alias("c")).collect()
+    assert len(got) == len(titles) and [x for x in got if x.c != (None if x.t is None else code(x.t))] == []
+
+
+def test_suggestions_leave_lone_courses_out_before_lists(spark):
+    rows = [(1, "a", "X", "X-B", None), (2, "a", "X", "X-A", 1), (3, "a", "X", "X-B", 0), (4, "b", "X", "X", 0), (5, None, "Y", "Y", 1), (6, None, "Y", "Y", 1), (7, "a", None, "", 0), (8, "a", None, "", 0)]
+    found = sync.merge_suggestions(spark.createDataFrame(rows, "course_id long, semester string, core string, code string, name int"))
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", "X", [2, 1, 3], 3), (None, "Y", [5, 6], 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("collect_list") < plan.index("(n#") < plan.index("Window")
